@@ -7,6 +7,7 @@ new neighbours.  The count is the initial symbols minus the merges.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from nebulark.llm._common import text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by a task at most; then it forgets them all and starts again.
-REMEMBER = 400_000
+#: Words remembered by a worker at most (about 150 MB); then it forgets them all and starts again.
+REMEMBER = 1_000_000
 _SPACE = r"\p{White_Space}"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_SPACE}])|{_SPACE}+"
 _SLOW = 1 << 50
@@ -35,28 +36,51 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
-    """Symbols left after all merges."""
-    n = len(symbols)
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-    heapq.heapify(heap)
-    merges = 0
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = nxt[i]
-        if j >= n or symbols[i] != left or symbols[j] != right:
-            continue  # one side has been merged since
-        symbols[i], symbols[j] = left + right, ""
-        merges += 1
-        nxt[i] = k = nxt[j]
-        if k < n:
-            prv[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
-        if (h := prv[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-            heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
-    return n - merges
+class Merges:
+    """The merge table over numbered symbols: the rank of a pair, and the symbol that a rank makes."""
+
+    def __init__(self, merges: list):
+        number = {c: i for i, c in enumerate(byte_symbols())}
+        self.rank, self.made = {}, []
+        for r, (left, right) in enumerate(merges):
+            made = number.setdefault(left + right, len(number))
+            self.rank[number[left] << 24 | number[right]] = r
+            self.made.append(made)
+
+    def left_over(self, piece: bytes) -> int:
+        """Symbols left of a piece after all merges: initial symbols minus merges."""
+        sym, rank, made = list(piece), self.rank.get, self.made
+        n = left = len(sym)
+        at = [rank(a << 24 | b, -1) for a, b in zip(sym, sym[1:])]  # rank of the pair that starts here
+        shift = n.bit_length()
+        heap = [r << shift | i for i, r in enumerate(at) if r >= 0]
+        if not heap:
+            return n
+        at.append(-1)
+        heapq.heapify(heap)
+        nxt, prv, low = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
+        while heap:
+            top = heapq.heappop(heap)
+            i, r = top & low, top >> shift
+            if at[i] != r:
+                continue  # one side has been merged since
+            j = nxt[i]
+            s = sym[i] = made[r]
+            at[j] = -1
+            left -= 1
+            nxt[i] = k = nxt[j]
+            at[i] = -1
+            if k < n:
+                prv[k] = i
+                r = at[i] = rank(s << 24 | sym[k], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | i)
+            h = prv[i]
+            if h >= 0:
+                r = at[h] = rank(sym[h] << 24 | s, -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << shift | h)
+        return left
 
 
 class TokenCounter:
@@ -68,32 +92,35 @@ class TokenCounter:
 
     def __init__(self, vocabulary: str):
         spec = json.loads(vocabulary)
-        self.ranks = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
+        self.merges = Merges(spec["model"]["merges"])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.symbols, self.pattern = byte_symbols(), regex.compile(PIECES)
-        counter = self
+        self.pattern = regex.compile(PIECES)
+        left_over, cut = self.merges.left_over, self.cut
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> int:
-                if len(self) >= REMEMBER:
-                    self.clear()
-                self[piece] = n = merged_length([counter.symbols[b] for b in piece.encode("utf-8", "surrogatepass")], counter.ranks)
-                return n
-
-        class Words(dict):
+        class Words(dict):  # a word's tokens, with the space before it
             def __missing__(self, word: str) -> int:
-                if not word or word[0].isspace() or word[-1].isspace():
+                if word.isalpha():
+                    n = left_over(b" " + word.encode())
+                elif word[:-1].isalpha() and word[-1] in ".,":
+                    return self[word[:-1]] + 1
+                elif not word or word[0].isspace() or word[-1].isspace():
                     return _SLOW
+                else:
+                    n = cut(" " + word)
                 if len(self) >= REMEMBER:
                     self.clear()
-                self[word] = n = counter.cut(" " + word)
+                self[word] = n
                 return n
 
-        self.pieces, self.words = Pieces(), Words()
+        self.words = Words()
 
     def cut(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        n = 0
+        for piece in self.pattern.findall(text):
+            word = piece[1:]
+            n += self.words[word] if piece[0] == " " and word.isalpha() else self.merges.left_over(piece.encode("utf-8", "surrogatepass"))
+        return n
 
     def plain(self, text: str) -> int:
         first, *rest = text.split(" ")
@@ -112,6 +139,12 @@ class TokenCounter:
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
 
+@functools.lru_cache(maxsize=2)
+def counter_of(vocabulary: str) -> TokenCounter:
+    """One counter for a Python worker, so that its tasks share what they remember."""
+    return TokenCounter(vocabulary)
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -123,7 +156,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, limit: int
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = TokenCounter(vocabulary.value)
+        counter = counter_of(vocabulary.value)
         for b in batches:
             n = [counter.count(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
