@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulark.llm import chat, exact_dedup, mixing, token_count, warc
+from nebulark.llm import chat, exact_dedup, mixing, simhash, token_count, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     digest = F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)
@@ -72,7 +76,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_chat_format, op4_token_count, op7_warc, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_chat_format, op4_token_count, op7_warc, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
