@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulark.llm import chat, exact_dedup, mixing, simhash, token_count, warc
+from nebulark.llm import chat, exact_dedup, langid, mixing, simhash, token_count, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,27 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def train_rows(doc_id: str = "doc_id") -> Column:
+    """Rows that models may learn from: crc32 of the id as text, modulo 5, is not 0."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
+
+
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, train_rows())
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs, train_rows()))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.archive_pages(_table(spark, sf_dir, "pages")))
 
@@ -76,7 +97,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_chat_format, op4_token_count, op7_warc, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_chat_format, op4_token_count, op5_toxicity, op6_language, op7_warc, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
