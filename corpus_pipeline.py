@@ -1,3 +1,63 @@
-STAGES = []
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing.
+
+Each stage reads all that the one before kept, and its decisions take effect: the first four return
+the rows of documents that stay, the last adds what the mix takes of each and leaves out documents
+of which it takes nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from nebulark.llm import decontam, exact_dedup, mixing, queries, simhash, toxicity
+from nebulark.llm._common import id_key, materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.train_rows())
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with size, source_size, target, taken, copies (whole) and spans (words taken once more)."""
+    mixed = mixing.mix_sources(docs).select(id_key("doc_id").alias("__mixed"), "size", "source_size", "target", "taken", "copies", "spans")
+    nth = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))  # noqa: E731  tells rows apart that share an id
+    mixed = mixed.withColumn("__mixed_nth", nth("__mixed", "size"))
+    rows = docs.withColumn("__id", id_key("doc_id"))
+    rows = rows.withColumn("__nth", nth("__id", mixing.word_count("text")))
+    joined = rows.join(mixed, (F.col("__id") == F.col("__mixed")) & (F.col("__nth") == F.col("__mixed_nth"))).where("taken > 0")
+    return joined.drop("__id", "__nth", "__mixed", "__mixed_nth")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix),
+]
+
+#: Scores and fingerprints cannot be written in SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,6 +46,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def id_key(column: str) -> Column:
+    """An id as a string that is never null, for joins that must keep rows without id."""
+    return F.coalesce(F.concat(F.lit("i"), F.col(column).cast("string")), F.lit("null"))
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Left-join ``groups`` (one row a key, a written table) to ``rows`` without a hot task.
 

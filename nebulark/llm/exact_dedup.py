@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nebulark.llm._common import attach_groups, keep_in_bitmap, key_bitmap, materialize, text_of
+from nebulark.llm._common import attach_groups, id_key, keep_in_bitmap, key_bitmap, materialize, text_of
 
 PREFIX_CHARS = 64
 
@@ -52,6 +53,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Rows are told apart by id and content, so an id used for two texts loses neither, and of rows
+    repeated with one id and equal texts one stays.
+    """
+    digest = F.sha2(normalised(text_of(text_col)), 256)
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("__digest"))
+    dropped = exact_dedup(known, carry=("__digest",)).where(~F.col("kept"))
+    dropped = dropped.select(id_key("doc_id").alias("__drop"), F.col("__digest").alias("__drop_digest"))
+    rows = docs.withColumn("__id", id_key(id_col)).withColumn("__digest", digest)
+    rows = rows.join(dropped, (F.col("__id") == F.col("__drop")) & (F.col("__digest") == F.col("__drop_digest")), "left_anti")
+    same = Window.partitionBy("__id", "__digest").orderBy(F.length(text_of(text_col)).desc(), text_of(text_col))
+    return rows.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").drop("__id", "__digest", "__nth")

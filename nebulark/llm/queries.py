@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulark.llm import chat, decontam, exact_dedup, langid, mixing, simhash, token_count, toxicity, warc
+from nebulark.llm import chat, decontam, exact_dedup, langid, license_scan, mixing, simhash, token_count, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -101,7 +106,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_chat_format, op4_token_count, op5_toxicity, op6_language, op7_warc, op8_decontaminate, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_chat_format, op4_token_count, op5_toxicity, op6_language, op7_warc, op8_decontaminate, op9_license_scan, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
