@@ -7,12 +7,15 @@ of which it takes nothing.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nebulark.llm import decontam, exact_dedup, mixing, queries, simhash, toxicity
 from nebulark.llm._common import id_key, materialize
+from nebulark.plans.work import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +46,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.drop("__id", "__nth", "__mixed", "__mixed_nth")
 
 
+def _shipped(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_exact_copies),
-    ("simhash_near_dedup", drop_near_copies),
-    ("benchmark_decontamination", drop_contaminated),
-    ("source_mixing", mix),
+    ("toxicity", _shipped(drop_toxic)),
+    ("exact_dedup", _shipped(drop_exact_copies)),
+    ("simhash_near_dedup", _shipped(drop_near_copies)),
+    ("benchmark_decontamination", _shipped(drop_contaminated)),
+    ("source_mixing", _shipped(mix)),
 ]
 
 #: Scores and fingerprints cannot be written in SQL; tests/llm/test_pipeline.py compares with brute force.
