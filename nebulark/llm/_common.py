@@ -46,6 +46,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def mapped(rows: DataFrame, function, schema: str) -> DataFrame:
+    """mapInPandas over rows with a doc_id, which comes out in its own type.
+
+    Ids travel as strings: pandas would make floats of integers beside a null.
+    """
+    kind = dict(rows.dtypes)["doc_id"]
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(function, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def id_key(column: str) -> Column:
     """An id as a string that is never null, for joins that must keep rows without id."""
     return F.coalesce(F.concat(F.lit("i"), F.col(column).cast("string")), F.lit("null"))

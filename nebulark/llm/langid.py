@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.llm._common import materialize, text_of
+from nebulark.llm._common import mapped, materialize, text_of
 
 TRAIN_DOCS = 2000
 SIZES = (3, 5)
@@ -93,11 +93,13 @@ class Filters:
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         shares = self.shares(texts)
         total, best = shares.sum(axis=1), shares.argmax(axis=1)
         best = np.where(total > 0, best, self.prior)
-        score = np.where(total > 0, shares.max(axis=1) / np.maximum(total, 1e-300), 1.0 / max(1, len(self.langs)))
-        known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(self.langs)
+        score = np.where(total > 0, shares.max(axis=1) / np.maximum(total, 1e-300), 1.0 / len(self.langs))
+        known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         return [self.langs[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], np.where(known, np.minimum(score, 1.0), 0.0)
 
 
@@ -165,4 +167,4 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
                 at = end
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": langs, "score": np.concatenate(scores) if scores else []})
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    return mapped(rows, run, "lang_pred string, score double")

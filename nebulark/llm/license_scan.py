@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.llm._common import text_of
+from nebulark.llm._common import mapped, text_of
 
 #: Documents whose paragraphs teach the unknown class, and paragraphs taken from them, at most.
 UNKNOWN_DOCS = 500
@@ -213,4 +213,4 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append((i, best[1], best[0], len(lines), len(found), sorted({f for _, f in found})))
             yield pd.DataFrame(out, columns=["doc_id", "family", "score", "n_paragraphs", "n_licences", "families"])
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, family string, score double, n_paragraphs long, n_licences long, families array<string>")
+    return mapped(rows, run, "family string, score double, n_paragraphs long, n_licences long, families array<string>")

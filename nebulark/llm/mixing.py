@@ -54,20 +54,21 @@ def source_targets(sources: DataFrame, weights: tuple = (3, 1, 2), share: float
     return table.withColumn("target", target.cast("double")).drop("weight", "cap", "rank")
 
 
-def divisor(shards: DataFrame, seats: int, guess: float, rounds: int = 4, width: int = 32) -> float:
-    """The divisor d for which sum(round(votes / d)) is ``seats``, or the nearest found."""
+def divisor(shards: DataFrame, seats: int, guess: float, rounds: int = 8, width: int = 32) -> float:
+    """A divisor d for which sum(round(votes / d)) is ``seats``; with tied quotients, the nearest below that seats no more.
+
+    The seats fall as d grows, so each round keeps the interval where they pass ``seats``.
+    """
     low, high = guess / 4, guess * 4
-    best = guess
     for _ in range(rounds):
         tries = [low + (high - low) * i / width for i in range(width + 1)]
         got = shards.agg(*[F.sum(F.floor(F.col("votes") / F.lit(d) + F.lit(0.5))).alias(f"d{i}") for i, d in enumerate(tries)]).first()
         found = [int(x or 0) for x in got]
-        at = min(range(width + 1), key=lambda i: (abs(found[i] - seats), abs(tries[i] - guess)))
-        best = tries[at]
-        if found[at] == seats:
-            break
-        low, high = tries[max(0, at - 1)], tries[min(width, at + 1)]
-    return best
+        if seats in found:
+            return tries[found.index(seats)]
+        above = max((i for i in range(width) if found[i] > seats), default=0)
+        low, high = tries[above], tries[above + 1]
+    return high
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:

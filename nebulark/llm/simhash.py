@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nebulark.llm._common import attach_groups, keep_in_bitmap, key_bitmap, materialize, text_of
+from nebulark.llm._common import attach_groups, keep_in_bitmap, key_bitmap, mapped, materialize, text_of
 from nebulark.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.int64)})
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return mapped(rows, run, "fp long")
 
 
 def segment_counts(fp: Column) -> Column:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.llm._common import text_of
+from nebulark.llm._common import mapped, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered by a worker at most (about 150 MB); then it forgets them all and starts again.
@@ -161,5 +161,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, limit: int
             n = [counter.count(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, counted, "n_bytes long, n_tokens long, over_limit boolean")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.llm._common import text_of
+from nebulark.llm._common import mapped, text_of
 
 #: Labelled rows that training reads at most (each with its whole text).
 TRAIN_ROWS = 20_000
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = np.array([m.score(reader.features(t)) for t in b["text"]], np.float64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
+    return mapped(rows, run, "score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

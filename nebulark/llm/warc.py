@@ -36,29 +36,30 @@ def record_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null payload is empty and has one empty chunk; every row is a record of its own, also when
     page ids repeat or are null; a null url is empty.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("record_id"), F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("data"))
+    rows = pages.select(F.monotonically_increasing_id().alias("record_id"), F.col(id_col).cast("long").cast("string").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8").alias("data"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["record_id", "page_id", "url", "chunk_no", "last", "bytes", "digest", "data"]
         for b in batches:
             out, held = [], 0
-            for record, page, url, data in zip(b["record_id"], b["page_id"].astype(object), b["url"], b["data"], strict=True):
+            for record, page, url, data in zip(b["record_id"], b["page_id"], b["url"], b["data"], strict=True):
                 view, sha, k, at = memoryview(data), hashlib.sha1(), 0, 0
                 while True:
                     piece = view[at : at + chunk_bytes]
                     sha.update(piece)
                     at += len(piece)
-                    out.append((record, None if pd.isna(page) else int(page), url, k, at >= len(view), at, _base32(sha), bytes(piece)))
+                    out.append((record, page, url, k, at >= len(view), at, _base32(sha), bytes(piece)))
                     held, k = held + len(piece), k + 1
                     if held > 16 << 20:
-                        yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
+                        yield pd.DataFrame(out, columns=names)
                         out, held = [], 0
                     if at >= len(view):
                         break
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(cut, "record_id long, page_id long, url string, chunk_no long, last boolean, bytes long, digest string, data binary")
+    out = rows.mapInPandas(cut, "record_id long, page_id string, url string, chunk_no long, last boolean, bytes long, digest string, data binary")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def record_types(chunks: DataFrame) -> DataFrame:
@@ -80,16 +81,16 @@ def _urn(page: object, record: object) -> str:
 
 def write_archives(chunks: DataFrame, types: DataFrame, folder: str) -> DataFrame:
     """Write gzip WARC files (a member a record) below ``folder``; returns the manifest (path, records)."""
-    kinds = types.select(F.col("record_id").alias("rid"), F.col("bytes").alias("total"), F.col("digest").alias("payload_digest"), "type", F.col("refers_to.page_id").alias("ref_page"), F.col("refers_to.record_id").alias("ref_record"))
+    kinds = types.select(F.col("record_id").alias("rid"), F.col("bytes").alias("total"), F.col("digest").alias("payload_digest"), "type", F.col("refers_to.page_id").cast("string").alias("ref_page"), F.col("refers_to.record_id").cast("string").alias("ref_record"))
     rows = chunks.join(kinds, F.col("record_id") == F.col("rid")).where((F.col("type") == "response") | (F.col("chunk_no") == 0))
-    rows = rows.select("record_id", "page_id", "url", "chunk_no", "last", "total", "payload_digest", "type", "ref_page", "ref_record", F.when(F.col("type") == "response", F.col("data")).alias("data"))
+    rows = rows.select("record_id", F.col("page_id").cast("string").alias("page_id"), "url", "chunk_no", "last", "total", "payload_digest", "type", "ref_page", "ref_record", F.when(F.col("type") == "response", F.col("data")).alias("data"))
     rows = rows.sortWithinPartitions("record_id", "chunk_no")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
         path, out, gz, n = "", None, None, 0
         for b in batches:
-            for r in b.astype(object).where(b.notna(), None).itertuples(index=False):
+            for r in b.itertuples(index=False):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     path = f"part-{uuid.uuid4().hex}.warc.gz"
@@ -154,13 +155,11 @@ def read_archives(manifest: DataFrame, with_data: bool = True, chunk_bytes: int
     """
     files = manifest.select("path").repartition(F.col("path"))
 
-    def page(urn: str | None) -> int | None:
-        got = urn.strip("<>").split(":")[2] if urn else ""
-        return int(got) if got else None
+    def page(urn: str | None) -> str | None:
+        return urn.strip("<>").split(":")[2] or None if urn else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "type", "ref_page", "url", "payload_digest", "payload_bytes", "chunk_no", "last", "bytes", "digest", "data"]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "ref_page": "Int64"})
         for b in batches:
             for path in b["path"]:
                 fs, name = pafs.FileSystem.from_uri(path)
@@ -180,7 +179,7 @@ def read_archives(manifest: DataFrame, with_data: bool = True, chunk_bytes: int
                             out.append((page(h["WARC-Record-ID"]), h["WARC-Type"], page(h.get("WARC-Refers-To")), h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), k, not left, at, _base32(sha), piece if with_data else None))
                             held, k = held + len(piece) + 200, k + 1
                             if held > 16 << 20:
-                                yield frame(out)
+                                yield pd.DataFrame(out, columns=names)
                                 out, held = [], 0
                             if not left:
                                 break
@@ -188,9 +187,10 @@ def read_archives(manifest: DataFrame, with_data: bool = True, chunk_bytes: int
                         while gap:
                             gap -= len(members.take(gap))
                 if out:
-                    yield frame(out)
+                    yield pd.DataFrame(out, columns=names)
 
-    return files.mapInPandas(read, "page_id long, type string, ref_page long, url string, payload_digest string, payload_bytes long, chunk_no long, last boolean, bytes long, digest string, data binary")
+    got = files.mapInPandas(read, "page_id string, type string, ref_page string, url string, payload_digest string, payload_bytes long, chunk_no long, last boolean, bytes long, digest string, data binary")
+    return got.withColumns({c: F.col(c).cast("long") for c in ("page_id", "ref_page")})
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
