@@ -14,15 +14,17 @@ LABELS = {
     "default": {"pos": "pos", "vel": "vel", "pot": "pot_total", "mass": "Mvir", "level": "child_level"},
     "alternate": {"pos": "Pos", "vel": "Vel", "pot": "Pot", "mass": "Mass", "level": "ChildLevel"},
 }
-#: Modulus and multiplier of the portable row hash (32-bit primes).
-_HASH_MOD, _HASH_MUL = 4294967291, 2654435761
+#: Modulus of the portable row hash: a prime whose squares fit a long.
+HASH_MOD = 2147483647
 
 
 def row_hash(key: Column, seed: int) -> Column:
-    """A hash of an integer key in [0, 2^32 - 5), in plain arithmetic so that any engine agrees."""
-    low = F.pmod(key.cast("long"), F.lit(1_000_003))
-    high = F.pmod(F.floor(key / F.lit(1_000_003)).cast("long"), F.lit(1_000_003))
-    return F.pmod((low * 2_147_483 + high * 7_919 + F.lit(seed * 40_503 + 12_345)) * 1_103, F.lit(_HASH_MOD))
+    """A hash of an integer key in [0, HASH_MOD): two rounds of squaring, in plain arithmetic that any engine repeats."""
+    p = F.lit(HASH_MOD)
+    k = F.pmod(key.cast("long"), p)
+    a = F.pmod(k * 48_271 + F.floor(key / p).cast("long") % p * 40_692 + F.lit(seed * 69_621 + 11), p)
+    b = F.pmod(F.pmod(a * a, p) * 16_807 + a * 40_692 + 12_345, p)
+    return F.pmod(F.pmod(b * b, p) * 48_271 + b * 69_621 + a, p)
 
 
 def select_range(df: DataFrame, column: str, low: float, high: float, closed: str = "both") -> DataFrame:
@@ -60,7 +62,7 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
 
 def sample_bernoulli(df: DataFrame, rate: float, seed: int = 100, key: str = "id") -> DataFrame:
     """Each row with probability ``rate``, decided by a hash of its key: the same rows on any cluster."""
-    return df.where(row_hash(F.col(key), seed) < F.lit(int(rate * _HASH_MOD)))
+    return df.where(row_hash(F.col(key), seed) < F.lit(int(rate * HASH_MOD)))
 
 
 def sample_exact(df: DataFrame, ratio: float, seed: int = 100, key: str = "id") -> DataFrame:
@@ -96,7 +98,7 @@ def shift_while_loading(df: DataFrame, box: Box, axis: str = "z") -> DataFrame:
 def random_catalog(spark: SparkSession, n: int, seed: int = 10) -> DataFrame:
     """n points spread evenly by hashes of their number: id, x, y, z; the same on any cluster."""
     ids = spark.range(n)
-    return ids.select("id", *[(row_hash(F.col("id") * 3 + k, seed * 31 + k) / F.lit(float(_HASH_MOD))).alias(c) for k, c in enumerate(AXES)])
+    return ids.select("id", *[(row_hash(F.col("id") * 3 + k, seed * 31 + k) / F.lit(float(HASH_MOD))).alias(c) for k, c in enumerate(AXES)])
 
 
 def corner_clusters(spark: SparkSession, n: int, width: float = 0.1, seed: int = 1) -> DataFrame:

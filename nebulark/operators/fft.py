@@ -2,7 +2,8 @@
 
 A pass transforms the planes of one axis (2-D, grouped by ix), the next the lines along it.  A group
 is one plane of n^2 cells, so memory is bounded by a plane and work spreads over n groups a pass;
-the shuffle between them is the transpose.  Cells travel as (ix, iy, iz, re, im).
+the shuffle between them is the transpose.  Cells travel as (ix, iy, iz, re, im); with ``batch``, a
+column that numbers meshes, many meshes are transformed in the same two passes.
 """
 
 from __future__ import annotations
@@ -12,46 +13,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCHEMA = "ix int, iy int, iz int, re double, im double"
+AXES = ["ix", "iy", "iz"]
+#: The axis whose planes come first, and the axis of the planes in which the last lines lie.
 LAYOUTS = {"slab": ("ix", "iy"), "slab_y": ("iy", "ix"), "slab_z": ("iz", "iy")}
 
 
-def _transform(cells: DataFrame, n: int, inverse: bool, layout: str) -> DataFrame:
+def _transform(cells: DataFrame, n: int, inverse: bool, layout: str, batch: str | None) -> DataFrame:
     first, second = LAYOUTS[layout]
-    axes = ["ix", "iy", "iz"]
     fft2, fft1 = (np.fft.ifft2, np.fft.ifft) if inverse else (np.fft.fft2, np.fft.fft)
     scale2, scale1 = (n * n, n) if inverse else (1, 1)  # unnormalised both ways
-
-    def plane(rows: pd.DataFrame, fixed: str) -> np.ndarray:
-        a, b = (c for c in axes if c != fixed)
-        out = np.zeros((n, n), complex)
-        out[rows[a], rows[b]] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-        return out
-
-    def table(values: np.ndarray, fixed: str, at: int) -> pd.DataFrame:
-        a, b = (c for c in axes if c != fixed)
+    lead = [batch] if batch else []
+    schema = ", ".join([f"{c} int" for c in lead + AXES] + ["re double", "im double"])
+
+    def on_plane(rows: pd.DataFrame, fixed: str, function) -> pd.DataFrame:
+        a, b = (c for c in AXES if c != fixed)
+        values = np.zeros((n, n), complex)
+        values[rows[a], rows[b]] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        values = function(values, [a, b])
         i, j = np.indices((n, n), dtype=np.int32)
-        return pd.DataFrame({fixed: np.int32(at), a: i.ravel(), b: j.ravel(), "re": values.real.ravel(), "im": values.imag.ravel()})[["ix", "iy", "iz", "re", "im"]]
+        out = {fixed: np.int32(rows[fixed].iloc[0]), a: i.ravel(), b: j.ravel(), "re": values.real.ravel(), "im": values.imag.ravel()}
+        out |= {c: np.int32(rows[c].iloc[0]) for c in lead}
+        return pd.DataFrame(out)[[*lead, *AXES, "re", "im"]]
 
     def planes(rows: pd.DataFrame) -> pd.DataFrame:
-        return table(fft2(plane(rows, first)) * scale2, first, int(rows[first].iloc[0]))
+        return on_plane(rows, first, lambda v, axes: fft2(v) * scale2)
 
     def lines(rows: pd.DataFrame) -> pd.DataFrame:
-        at = [c for c in axes if c != second].index(first)
-        return table(fft1(plane(rows, second), axis=at) * scale1, second, int(rows[second].iloc[0]))
+        return on_plane(rows, second, lambda v, axes: fft1(v, axis=axes.index(first)) * scale1)
 
-    cells = cells.select("ix", "iy", "iz", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
-    return cells.groupBy(first).applyInPandas(planes, _SCHEMA).groupBy(second).applyInPandas(lines, _SCHEMA)
+    cells = cells.select(*lead, *AXES, F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    return cells.groupBy(*lead, first).applyInPandas(planes, schema).groupBy(*lead, second).applyInPandas(lines, schema)
 
 
-def forward(mesh: DataFrame, n: int, layout: str = "slab") -> DataFrame:
+def forward(mesh: DataFrame, n: int, layout: str = "slab", batch: str | None = None) -> DataFrame:
     """All n^3 modes of a real mesh (ix, iy, iz, val) whose missing cells are 0, provided each plane has a cell."""
-    return _transform(mesh.select("ix", "iy", "iz", F.col("val").alias("re"), F.lit(0.0).alias("im")), n, False, layout)
+    lead = [batch] if batch else []
+    return _transform(mesh.select(*lead, *AXES, F.col("val").alias("re"), F.lit(0.0).alias("im")), n, False, layout, batch)
 
 
-def inverse(modes: DataFrame, n: int, layout: str = "slab") -> DataFrame:
+def inverse(modes: DataFrame, n: int, layout: str = "slab", batch: str | None = None) -> DataFrame:
     """Unnormalised inverse: divide by n^3 for the mesh that was transformed."""
-    return _transform(modes, n, True, layout)
+    return _transform(modes, n, True, layout, batch)
 
 
 def half_space(modes: DataFrame, n: int) -> DataFrame:

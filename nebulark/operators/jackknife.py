@@ -31,13 +31,13 @@ def shuffle_blocks(cat: DataFrame, blocks: int, seed: int = 10, key: str = "id")
     m = -(-n // blocks)
     step = (n - m) // (blocks - 1) if blocks > 1 else 0
     h = row_hash(F.col(key), seed)
-    spread = cat.withColumn("__h", h).withColumn("__part", F.floor(F.col("__h") / F.lit(1 << 22)))  # 1024 ranges
+    spread = cat.withColumn("__h", h).withColumn("__part", F.floor(F.col("__h") / F.lit(1 << 22)))  # 512 ranges
     within = Window.partitionBy("__part").orderBy("__h", key)
     sizes = spread.groupBy("__part").count()
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__off"))
     pos = F.col("__off") + F.row_number().over(within) - 1
-    numbered = spread.join(F.broadcast(offsets), "__part").withColumn("__pos", pos)  # 1024 rows at most
+    numbered = spread.join(F.broadcast(offsets), "__part").withColumn("__pos", pos)  # 512 rows at most
     slices = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(b * step).alias("lo"), F.lit(b * step + m).alias("hi")) for b in range(blocks)])
     mine = F.filter(slices, lambda s: (F.col("__pos") >= s["lo"]) & (F.col("__pos") < s["hi"]))
     return numbered.withColumn("block_id", F.explode(F.transform(mine, lambda s: s["b"]))).drop("__h", "__part", "__off", "__pos")

@@ -91,23 +91,19 @@ def correlation(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, particle
 
 def correlation_without_block(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, level: int, particles: int | None = None) -> DataFrame:
     """(block_id, ir, xi) of leave-one-cube-out meshes: the cube's contrast is 0, the rest is scaled by
-    sqrt(b / (b - 1)) for b = level^3 cubes and centred again."""
+    sqrt(b / (b - 1)) for b = level^3 cubes and centred again.  All cubes go through the same passes.
+    """
     blocks = level**3
-    delta = contrast(mesh, n)
     cube = lambda c: F.floor(F.col(c) * F.lit(level) / F.lit(n)).cast("int")
-    owner = (cube("iz") + level * (cube("iy") + level * cube("ix"))).alias("owner")
-    marked = delta.select("ix", "iy", "iz", "val", owner)
-    out = None
-    scale = (blocks / (blocks - 1)) ** 0.5
-    for b in range(blocks):  # a plan of its own for each block, as many as the caller asks for
-        cut = marked.select("ix", "iy", "iz", F.when(F.col("owner") == b, F.lit(0.0)).otherwise(F.col("val") * F.lit(scale)).alias("val"))
-        mean = cut.agg(F.avg("val").alias("m"))
-        field = cut.crossJoin(F.broadcast(mean)).select("ix", "iy", "iz", (F.col("val") - F.col("m")).alias("val"))  # one row
-        power = mode_power(fft.forward(field, n), n, scheme, shot_noise(n, particles), None, "full")
-        full = power.select("ix", "iy", "iz", F.when(F.col("k") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
-        lags = fft.inverse(full, n).select((_length(_k(n)) / F.lit(float(n))).alias("r"), (F.col("re") / F.lit(float(n) ** 6)).alias("v"))
-        part = lags.select(F.lit(b).alias("block_id"), radial_bin(F.col("r"), bins).alias("ir"), "v").where("ir is not null").groupBy("block_id", "ir").agg(F.avg("v").alias("xi"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
+    owner = cube("iz") + level * (cube("iy") + level * cube("ix"))
+    cells = contrast(mesh, n).withColumn("owner", owner).withColumn("block_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scale = F.lit((blocks / (blocks - 1)) ** 0.5)
+    cells = cells.withColumn("val", F.when(F.col("owner") == F.col("block_id"), F.lit(0.0)).otherwise(F.col("val") * scale))
+    means = cells.groupBy("block_id").agg(F.avg("val").alias("m"))
+    cells = cells.join(F.broadcast(means), "block_id").withColumn("val", F.col("val") - F.col("m"))  # a row a block
+    modes = fft.forward(cells, n, batch="block_id")
+    ks = _k(n)
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / window2(ks, n, scheme) - F.lit(shot_noise(n, particles))
+    full = modes.select("block_id", "ix", "iy", "iz", F.when(_length(ks) > 0, power).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    lags = fft.inverse(full, n, batch="block_id").select("block_id", radial_bin(_length(ks) / F.lit(float(n)), bins).alias("ir"), (F.col("re") / F.lit(float(n) ** 6)).alias("v"))
+    return lags.where("ir is not null").groupBy("block_id", "ir").agg(F.avg("v").alias("xi"))

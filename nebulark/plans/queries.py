@@ -13,13 +13,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulark.config import Box, RadialBins, SmuBins, SpspBins
+from nebulark.config import AnalysisConfig, Box, RadialBins, SmuBins, SpspBins
+from nebulark.functions import bits
 from nebulark.functions import cosmology as C
 from nebulark.functions import geometry as G
 from nebulark.functions import kernels as K
 from nebulark.functions import spectral as S
 from nebulark.operators import catalog, fft, jackknife, massfunction, mesh, moments, neighbors, ordering, pairs, pairwise, spectrum
-from nebulark.plans.fixtures import view, view_sql
+from nebulark.plans import programs
+from nebulark.plans.fixtures import VIEWS, view, view_sql
+from nebulark.plans.work import work_path
+from nebulark.sources import snapshot, tables
 
 from nebulark.streaming import mesh as streams
 
@@ -145,7 +149,7 @@ def _dw_sql(q: str, h: float) -> str:
 def _g_sql(dist: str, eps: float) -> str:
     x = f"least(2*{dist}/{d(eps)}, 2)"
     s = f"greatest({x} - 1, 0)"
-    return f"(1 + pow({x},3)*(-8/5.0 + pow({x},2)*(8/5.0 + {x}*(-0.5 + {x}*(3*{x}/20.0 - 12/35.0)))) - pow({s},6)*(3/35.0 + {s}*(18/35.0 + {s}/5.0)))"
+    return f"(1 + pow({x},3)*(-8/5.0 + pow({x},2)*(8/5.0 + {x}*(-0.5 + {x}*(3*{x}/20.0 - 12/35.0)))) - pow({s},6)*(3/35.0 + {x}*(18/35.0 + {x}/5.0)))"
 
 def _gpot_sql(dist: str, eps: float) -> str:
     x = f"(2*least({dist}, {d(eps)})/{d(eps)})"
@@ -185,9 +189,13 @@ def select_position(spark, sf_dir):
     return catalog.select_position(view(spark, sf_dir, "halos"), 0.2, 0.6, 0.05).select("id")
 
 def hash_sql(key: str, seed: int) -> str:
-    return f"(((({key} % 1000003) * 2147483 + (({key} // 1000003) % 1000003) * 7919 + {seed * 40503 + 12345}) * 1103) % 4294967291)"
+    p = catalog.HASH_MOD
+    a = f"(({key} % {p} * 48271 + {key} // {p} % {p} * 40692 + {seed * 69621 + 11}) % {p})"
+    b = f"(({a} * {a} % {p} * 16807 + {a} * 40692 + 12345) % {p})"
+    return f"(({b} * {b} % {p} * 48271 + {b} * 69621 + {a}) % {p})"
 
-@query("sample_bernoulli", f"WITH {view_sql('halos')} SELECT id FROM halos WHERE {hash_sql('id', 100)} < {int(0.3 * 4294967291)}")
+
+@query("sample_bernoulli", f"WITH {view_sql('halos')} SELECT id FROM halos WHERE {hash_sql('id', 100)} < {int(0.3 * catalog.HASH_MOD)}")
 def sample_bernoulli(spark, sf_dir):
     return catalog.sample_bernoulli(view(spark, sf_dir, "halos"), 0.3).select("id")
 
@@ -195,7 +203,7 @@ def sample_bernoulli(spark, sf_dir):
 def sample_exact(spark, sf_dir):
     return catalog.sample_exact(view(spark, sf_dir, "halos"), 0.25).select("id")
 
-@query("random_uniform", f"SELECT range AS id, {', '.join(rs(f'CAST({hash_sql(f'(range * 3 + {k})', 310 + k)} AS DOUBLE) / {d(4294967291.0)}', 9) + f' AS {c}' for k, c in enumerate(G.AXES))} FROM range(20000)")
+@query("random_uniform", f"SELECT range AS id, {', '.join(rs(f'CAST({hash_sql(f'(range * 3 + {k})', 310 + k)} AS DOUBLE) / {d(float(catalog.HASH_MOD))}', 9) + f' AS {c}' for k, c in enumerate(G.AXES))} FROM range(20000)")
 def random_uniform(spark, sf_dir):
     return _rounded(catalog.random_catalog(spark, 20000, 10), *G.AXES, digits=9)
 
@@ -829,7 +837,6 @@ def cell_rank(spark, sf_dir):
 @query("stream_mesh", f"WITH {view_sql('particles')}, {exploded_sql('particles', N, 'cic')} SELECT ix, iy, iz, {rs('sum(w)')} AS val FROM e GROUP BY 1, 2, 3")
 def stream_mesh(spark, sf_dir):
     """The mesh of a stream of particle files, read to its present end."""
-    from nebulark.plans.fixtures import VIEWS
 
     path = f"{sf_dir}/lineitem.parquet"
     schema = spark.read.parquet(path).schema
@@ -838,3 +845,91 @@ def stream_mesh(spark, sf_dir):
     name = f"mesh_{uuid.uuid4().hex}"
     streams.start_into_memory(streams.mesh_stream(live, N, "cic"), name).awaitTermination()
     return _rounded(spark.table(name), "val")
+
+# ---- round trips through sources and sinks, in the shared work folder
+
+@query(
+    "snapshot_scan",
+    f"WITH {view_sql('halos')} SELECT id, " + ", ".join(rs(f"CAST(CAST({c}*1000 AS FLOAT) AS DOUBLE)", 4) + f" AS {c}" for c in "xyz") + f" FROM halos WHERE CAST({'x'}*1000 AS FLOAT) < 500",
+)
+def snapshot_scan(spark, sf_dir):
+    """Write halos as binary snapshot files from the tasks, read them back with a filter on x."""
+    snapshot.register(spark)
+    prefix = f"{work_path(spark, 'snapshot')}/snap"
+    halos = view(spark, sf_dir, "halos").select("id", *[(F.col(c) * 1000.0).alias(c) for c in "xyz"], "vx", "vy", "vz", "pot")
+    snapshot.write(halos, prefix, 4, box=1000.0)
+    scan = spark.read.format("snapshot").option("velocities", "false").option("potentials", "false").load(prefix)
+    return _rounded(scan.where(F.col("x") < 500.0).select("id", "x", "y", "z"), "x", "y", "z", digits=4)
+
+
+@query("text_points", f"WITH {view_sql('halos')} SELECT {', '.join(rs(c, 6) + f' AS {c}' for c in 'xyz')} FROM halos")
+def text_points(spark, sf_dir):
+    """Text lines of three numbers with some broken lines among them, read back without those."""
+    path = work_path(spark, "points")
+    halos = view(spark, sf_dir, "halos")
+    line = F.concat_ws(" ", *[F.format_string("%.12f", F.col(c) * 20.0) for c in "xyz"])
+    halos.select(line.alias("value")).unionByName(spark.createDataFrame([("1 2",), ("a b c",), ("",)], "value string")).write.text(path)
+    return _rounded(tables.read_points(spark, path), "x", "y", "z")
+
+
+@query("text_catalogue", f"WITH {view_sql('halos')} SELECT count(*) AS n, {rs('sum(round(mvir, 2))', 1)} AS mass, {d(0.3)} AS omega_m FROM halos")
+def text_catalogue(spark, sf_dir):
+    path = work_path(spark, "catalogue")
+    rows = view(spark, sf_dir, "halos").select(F.concat_ws(" ", "id", "child_level", F.format_string("%.2f", F.col("mvir"))).alias("value"))
+    rows.unionByName(spark.createDataFrame([("# omega_m = 0.3",), ("# id level mass",)], "value string")).write.text(path)
+    header = tables.read_text_header(spark, path).where("key = 'omega_m'").select(F.col("number").alias("omega_m"))
+    return tables.read_text_masses(spark, path).agg(F.count(F.lit(1)).alias("n"), r(F.sum("mass"), 1).alias("mass")).crossJoin(F.broadcast(header))  # one row each
+
+
+@query("mesh_table", ORACLE["mesh_cic"])
+def mesh_table(spark, sf_dir):
+    path = work_path(spark, "mesh")
+    tables.write_mesh(mesh.assign(view(spark, sf_dir, "particles"), MESH, "cic"), path, MESH, BOX.size)
+    return _rounded(tables.read_mesh(spark, path).select("ix", "iy", "iz", "val"), "val")
+
+
+@query("radix_order", f"WITH {view_sql('halos')} SELECT id, vz, row_number() OVER (ORDER BY vz, id) - 1 AS position, true AS same FROM halos")
+def radix_order(spark, sf_dir):
+    """Rank by the order-preserving integer of a signed double, and turn it back."""
+    rows = view(spark, sf_dir, "halos").select("id", "vz").withColumn("bits", bits.ordered_long("vz"))
+    edge = float(2**63)
+    ranked = ordering.numbered(rows, F.col("bits"), -edge, edge)
+    return ranked.select("id", "vz", "position", (bits.from_ordered_long("bits") == F.col("vz")).alias("same"))
+
+
+_OWNER = f"(iz*{JK_LEVEL}//{N} + {JK_LEVEL}*(iy*{JK_LEVEL}//{N} + {JK_LEVEL}*(ix*{JK_LEVEL}//{N})))"
+_JKN = JK_LEVEL**3
+
+
+def _batch_dft_sql(source: str, name: str, sign: int, re: str) -> str:
+    ph = f"(2*pi()*((a.ix*m.ix + a.iy*m.iy + a.iz*m.iz) % {N})/{N}.0)"
+    return f"{name} AS (SELECT a.b, m.ix, m.iy, m.iz, sum({re}*cos({ph})) AS re, sum({re}*({'' if sign > 0 else '-'}sin({ph}))) AS im FROM {source} a, {_cells_sql(N)} m GROUP BY 1, 2, 3, 4)"
+
+
+@query(
+    "jk_xi_ifft",
+    f"""WITH {view_sql('particles')}, {delta_sql('particles', N, 'tsc')}, c AS (SELECT k.range AS b, ix, iy, iz, CASE WHEN {_OWNER} = k.range THEN 0 ELSE val*{d((_JKN / (_JKN - 1)) ** 0.5)} END AS v FROM delta, range({_JKN}) k),
+    cc AS (SELECT b, ix, iy, iz, v - avg(v) OVER (PARTITION BY b) AS v FROM c), {_batch_dft_sql('cc', 'modes', -1, 'v')},
+    pw AS (SELECT b, ix, iy, iz, CASE WHEN {_KLEN} > 0 THEN {_AUTO_P} ELSE 0 END AS p FROM modes), {_batch_dft_sql('pw', 'lags', 1, 'p')},
+    x AS (SELECT b, {bin_sql(f'({_KLEN}/{N}.0)', LAG_BINS)} AS ir, avg(re)/{d(float(N) ** 6)} AS xi FROM lags WHERE {_KLEN}/{N}.0 < {d(LAG_BINS.high)} GROUP BY 1, 2)
+    SELECT ir, {rs('avg(xi)', 8)} AS mean, {rs('sqrt((count(*) - 1)*var_pop(xi))', 8)} AS se FROM x GROUP BY ir""",
+)
+def jk_xi_ifft(spark, sf_dir):
+    n = view(spark, sf_dir, "particles").count()
+    xi = spectrum.correlation_without_block(_delta(spark, sf_dir), N, "tsc", LAG_BINS, JK_LEVEL, n)
+    return _rounded(jackknife.mean_and_error(xi, ["ir"]), "mean", "se", digits=8)
+
+
+PROGRAM = AnalysisConfig(mrange=(4.5, 6.0), clevel=(0, 3), rrange=(1.0, 50.0), nr=8, mesh=N, nk=4, krange=(0.005, 0.03))
+_SELECTED = f"h AS (SELECT id, x, y, {_wrap(f'z + vz*({d(1.0)}/{d(100.0 * BOX.size)})')} AS z FROM halos WHERE mvir >= {d(10.0**4.5)} AND mvir <= {d(10.0**6)} AND child_level BETWEEN 0 AND 3)"
+_PB = PROGRAM.radial_bins()
+
+
+@query(
+    "program_halo_xi",
+    f"""WITH {view_sql('halos')}, {_SELECTED}, {counts_sql('h', 'h', _PB, 'c')}
+    SELECT ir, {rs(f'1000*({d(_PB.low)} + (ir + 0.5)*{d(_PB.step)})', 6)} AS r, {rs(f'n/(CAST((SELECT count(*) FROM h) AS DOUBLE)*((SELECT count(*) FROM h) - 1)/2*{_shell(_PB)}) - 1')} AS xi FROM c""",
+)
+def program_halo_xi(spark, sf_dir):
+    halos = programs.prepared(view(spark, sf_dir, "halos"), PROGRAM, redshift_space=True)
+    return _rounded(programs.halo_xi(halos, PROGRAM), "r", "xi")

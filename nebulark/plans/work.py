@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(target))
     sc._nebulark_shipped = True
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table in the shared checkpoint folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{getpass.getuser()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,8 +14,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -42,12 +45,35 @@ def pack_header(count: int, total: int, mass: float, a: float, files: int, box:
 def write_file(path: str, header: bytes, pos: np.ndarray, vel: np.ndarray, ids: np.ndarray, pot: np.ndarray) -> None:
     """Write one file of the format (for fixtures and exports of a partition)."""
     fs, name = pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(name) as out:
         for block in (header, pos.astype("<f4").tobytes(), vel.astype("<f4").tobytes(), ids.astype("<u8").tobytes(), pot.astype("<f4").tobytes()):
             mark = struct.pack("<I", len(block))
             out.write(mark + block + mark)
 
 
+def write(particles: DataFrame, prefix: str, files: int, box: float = 1.0, a: float = 1.0, om: float = 0.3, ol: float = 0.7, h: float = 0.7) -> int:
+    """Write (id, x, y, z, vx, vy, vz, pot) as ``files`` files, one a group of rows by id; returns the row count."""
+    total = particles.count()
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        k, n = int(rows["k"].iloc[0]), len(rows)
+        stack = lambda *c: rows[list(c)].to_numpy()
+        pot = np.stack([rows["pot"].to_numpy(), np.zeros(n)], 1)
+        write_file(file_name(prefix, k, files), pack_header(n, total, 1.0, a, files, box, om, ol, h), stack("x", "y", "z"), stack("vx", "vy", "vz") / a**0.5, rows["id"].to_numpy(), pot)
+        return pd.DataFrame({"k": [k], "n": [n]})
+
+    def empty(k: int) -> None:
+        write_file(file_name(prefix, k, files), pack_header(0, total, 1.0, a, files, box, om, ol, h), *(np.zeros((0, w)) for w in (3, 3)), np.zeros(0), np.zeros((0, 2)))
+
+    numbered = particles.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(files)).cast("int"))
+    done = {r["k"] for r in numbered.groupBy("k").applyInPandas(one, "k int, n long").collect()}  # a row a file
+    for k in range(files):
+        if k not in done:
+            empty(k)
+    return total
+
+
 def file_name(prefix: str, number: int, files: int) -> str:
     return f"{prefix}.{number // 1000}/{number}" if files > 1000 else f"{prefix}.{number}"
 
