@@ -10,6 +10,7 @@ caught and a chance template is not.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ NAMES = frozenset(
 _NUMBER = re.compile(r"[+-]?(?:\d+(?:[.,:/]\d+)*|\d*\.\d+)(?:st|nd|rd|th|%)?$")
 _QUANTITY = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([a-zµ°]+)$")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: Marks the first word of a line.
+_LINE = "\0"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +65,7 @@ class Templates:
     def forget(self) -> None:
         templates = self
         self.words: list[str] = []
-        self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.empty = (np.zeros(1024, t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool))
+        self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.zeros(1024, t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool))
 
         class Known(dict):
             def __missing__(self, raw: str) -> int:
@@ -74,23 +77,25 @@ class Templates:
     def learn(self, raw: str) -> int:
         n = len(self.words)
         if n == len(self.inner):
-            self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.empty))
-        bare = _EDGES.sub("", raw)
+            self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty))
+        bare = raw if raw.isalpha() else _EDGES.sub("", raw)
         word = bare.lower()
         kind, shape = 0, word
-        if _NUMBER.match(word):
-            kind, shape = 1, "\0number"
-        elif (q := _QUANTITY.match(word)) and q[2] in UNITS:
-            kind, shape = 3, "\0quantity"
-        elif word in UNITS and len(word) > 1:
+        if word in UNITS and len(word) > 1:
             kind, shape = 3, "\0unit"
         elif word in NAMES and bare[:1].isupper():
             kind, shape = 2, "\0name"
+        elif not word.isalpha():
+            if _NUMBER.match(word):
+                kind, shape = 1, "\0number"
+            elif (q := _QUANTITY.match(word)) and q[2] in UNITS:
+                kind, shape = 3, "\0quantity"
         inside, inside_kind = (shape, kind) if kind or not (bare[:1].isupper() and bare[1:].islower()) else ("\0name", 2)
         hashed = lambda x: xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
         self.words.append(word)
         self.first[n], self.inner[n], self.kinds_first[n], self.kinds[n] = hashed(shape), hashed(inside), kind, inside_kind
         self.ends[n] = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…")
+        self.starts[n] = raw[0] == _LINE
         self.empty[n] = not word
         return n
 
@@ -98,18 +103,11 @@ class Templates:
         """Hash of each window, whether it counts, and of each token its slot kind, its word number; and the hash of each token."""
         if len(self.words) > self.MOST:
             self.forget()
-        lines = text.split("\n")
-        known, parts, starts = self.known, [], []
-        for line in lines:
-            raw = line.split()
-            if raw:
-                starts.append(sum(map(len, parts)) if len(starts) == 0 else starts[-1] + len(parts[-1]))
-                parts.append(list(map(known.__getitem__, raw)))
-        ids = np.fromiter((x for p in parts for x in p), np.int64)
-        opening = np.zeros(len(ids) + 1, bool)
-        opening[np.array(starts, np.int64)] = True
-        opening[1:] |= self.ends[ids]
-        opening = opening[:-1]
+        raw = text.replace(_LINE, " ").replace("\n", "\n" + _LINE).split()
+        ids = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
+        opening = self.starts[ids]
+        opening[1:] |= self.ends[ids][:-1]
+        opening[:1] = True
         full = ~self.empty[ids]
         ids, opening = ids[full], opening[full]
         token = np.where(opening, self.first[ids], self.inner[ids])
@@ -126,6 +124,12 @@ class Templates:
         return [f"{kind[i]}:{self.words[ids[i]]}" for i in range(at, at + WINDOW) if kind[i]]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_templates() -> Templates:
+    """One for a Python worker, so that its tasks share what they remember."""
+    return Templates()
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
@@ -141,7 +145,7 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        templates = Templates()
+        templates = worker_templates()
         bits = None if shared is None else np.unpackbits(shared.value).astype(bool)
         for b in batches:
             out = []

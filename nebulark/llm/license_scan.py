@@ -140,7 +140,9 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 3, steps: int = 2
     text = text_of(text_col)
     some = F.transform(F.slice(F.split(text, "\n"), 1, 50), lambda x: F.substring(x, 1, 2000))
     rows = docs.select(F.xxhash64(text, F.lit(seed)).alias("h"), some.alias("some"))
-    lines = rows.orderBy("h", "some").limit(UNKNOWN_DOCS).select(F.explode("some").alias("line")).where("trim(line) <> ''").orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
+    edge = rows.select("h").orderBy("h").limit(UNKNOWN_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    rows = rows.where(F.col("h") <= F.lit(edge if edge is not None else 0)).dropDuplicates(["h"])
+    lines = rows.select(F.explode("some").alias("line")).where("trim(line) <> ''").orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
     corpus = [tokens(x["line"]) for x in lines.collect()]  # UNKNOWN_PARAGRAPHS lines of 2000 characters at most
     strong = [set(p) for ts in _PAIRS.values() for p in ts]
     corpus = [w for w in corpus if w and not any(len(set(zip(w, w[1:], strict=False)) & t) >= 0.5 * len(t) for t in strong if t)]
