@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nebulark.llm._common import attach_groups, keep_in_bitmap, key_bitmap, mapped, materialize, text_of
+from nebulark.llm._common import attach_groups, id_key, keep_in_bitmap, key_bitmap, mapped, materialize, text_of
 from nebulark.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -51,15 +51,20 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (long) of every row; null texts count as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """doc_id and fp (long) of every row, with ``mark`` also the text's hash; null texts count as empty."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *[_mark(text_col).alias("mark")] * mark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.int64)})
+            fp = np.array([fingerprint(t) for t in b["text"]], np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, **({"mark": b["mark"]} if mark else {})})
 
-    return mapped(rows, run, "fp long")
+    return mapped(rows, run, "fp long, mark long" if mark else "fp long")
+
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(text_of(text_col))
 
 
 def segment_counts(fp: Column) -> Column:
@@ -144,15 +149,15 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, groups: int = GROU
     return rows.mapInPandas(lambda batches: _links_in_cells(batches, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, component_size.
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, component_size, with ``mark`` the text's hash.
 
     Fingerprints that differ in ``max_bits`` bits or fewer are linked; a component's id is its
     smallest doc_id.  Null and empty texts, and texts of white space, have fingerprint zero and link
     like any other.  A null id is a member but never a component's id unless no member has one.
     Repeated rows are members each.  Empty input gives no rows; other columns are ignored.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col), "simhash-docs")
+    marked = materialize(fingerprints(docs, id_col, text_col, mark), "simhash-docs")
     nodes = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")), "simhash-nodes")
     linked = materialize(components(near_links(nodes.select("fp"), max_bits, groups)), "simhash-linked")
     members = materialize(linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "n", "rep"), "simhash-members")
@@ -167,11 +172,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GRO
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("top")).alias("component_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("component_size"),
+        *["mark"] * mark,
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id, with all their columns."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti")
+    """The rows of ``docs`` whose id is their component's id, with all their columns.
+
+    Rows are told apart by id and text, so an id used for two texts, or a null id, loses only the
+    rows whose own component has a smaller id.  Rows that share the id that stays all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("__drop"), F.col("mark").alias("__drop_mark"))
+    rows = docs.withColumn("__id", id_key(id_col)).withColumn("__mark", _mark(text_col))
+    return rows.join(dropped, (F.col("__id") == F.col("__drop")) & (F.col("__mark") == F.col("__drop_mark")), "left_anti").drop("__id", "__mark")

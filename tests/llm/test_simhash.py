@@ -90,6 +90,16 @@ def test_near_duplicates_edge_cases(spark):
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(want.values())
 
 
+def test_ids_used_twice_or_missing_lose_only_their_copies(spark):
+    r = random.Random(9)
+    a, b, c, d = (" ".join(r.choice("abcdefghijklm") * r.randint(2, 6) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (4, a), (4, b), (None, a), (None, c), (6, d), (7, d)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, mark int")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(((x.doc_id or 0), x.text) for x in kept.collect()) == sorted([(1, a), (4, b), (0, c), (6, d)])
+
+
 def test_query_equals_brute_force(spark):
     from nebulark.llm.queries import op1_simhash
 
