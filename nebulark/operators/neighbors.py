@@ -198,8 +198,8 @@ def train_cells(vectors: DataFrame, cells: int, rounds: int = 8, sample: int = 2
     return centres
 
 
-def with_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: str = "embedding") -> DataFrame:
-    """Each vector once for each of its ``probe`` nearest centroids, as column cell."""
+def nearest_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: str = "embedding") -> DataFrame:
+    """Each vector with its ``probe`` nearest centroids, nearest first, as column cells."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("array<int>")
@@ -208,16 +208,27 @@ def with_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: str
             d = _distances(np.array(s.tolist(), np.float64), shared.value, "l2")
             yield pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)))
 
-    return vectors.withColumn("cell", F.explode(nearest(F.col(vector))))
+    return vectors.withColumn("cells", nearest(F.col(vector)))
+
+
+def with_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: str = "embedding") -> DataFrame:
+    """Each vector once for each of its ``probe`` nearest centroids, as column cell."""
+    return nearest_cells(vectors, centres, probe, vector).withColumn("cell", F.explode("cells")).drop("cells")
 
 
-def ivf_knn(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probe: int, vector: str = "embedding") -> DataFrame:
-    """Approximate (qid, id, distance, rank): exact squared distances inside the probed cells; every vector is indexed."""
+def ivf_knn(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probe: int, vector: str = "embedding", homes: int = 2) -> DataFrame:
+    """Approximate (qid, id, distance, rank): exact squared distances inside the probed cells; every vector is indexed.
+
+    A vector is filed in its ``homes`` nearest cells, so one near a border is found from either
+    side.  A pair that shares several cells is kept in the first of them, without a distinct.
+    """
     if not len(centres):
         return vector_knn(queries, vectors, k, "l2", vector=vector)
-    q = with_cells(queries.select(F.col("id").alias("qid"), F.col(vector).alias("q")).where("q is not null"), centres, probe, "q")
-    p = with_cells(vectors.select("id", vector).where(F.col(vector).isNotNull()), centres, 1, vector)
-    near = q.join(p, "cell").select("qid", "id", l2(F.col("q"), F.col(vector)).alias("distance"))
+    q = nearest_cells(queries.select(F.col("id").alias("qid"), F.col(vector).alias("q")).where("q is not null"), centres, probe, "q")
+    p = nearest_cells(vectors.select("id", vector).where(F.col(vector).isNotNull()), centres, homes, vector).withColumnRenamed("cells", "homes")
+    q, p = q.withColumn("cell", F.explode("cells")), p.withColumn("cell", F.explode("homes"))
+    near = q.join(p, "cell").where(F.col("cell") == F.array_intersect("homes", "cells")[0])
+    near = near.select("qid", "id", l2(F.col("q"), F.col(vector)).alias("distance"))
     order = Window.partitionBy("qid").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
