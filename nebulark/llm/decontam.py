@@ -108,8 +108,13 @@ class Templates:
         opening = self.starts[ids]
         opening[1:] |= self.ends[ids][:-1]
         opening[:1] = True
-        full = ~self.empty[ids]
-        ids, opening = ids[full], opening[full]
+        full = np.flatnonzero(~self.empty[ids])
+        if 0 < len(full) < len(ids):
+            # A line or sentence that begins at a lone mark (indents, bullets, quotes) goes on to the next word.
+            opening = np.logical_or.reduceat(opening[: full[-1] + 1], np.concatenate([[0], full[:-1] + 1]))
+        else:
+            opening = opening[full]
+        ids = ids[full]
         token = np.where(opening, self.first[ids], self.inner[ids])
         kind = np.where(opening, self.kinds_first[ids], self.kinds[ids])
         n = max(0, len(ids) - WINDOW + 1)

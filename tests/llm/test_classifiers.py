@@ -95,6 +95,19 @@ def test_templates_and_slots(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+LINES = ("Which Planet has eight small moons and rings", "Seen by Every child before winter comes around", "While the Old miller counts his seven sheep", "Then say how Many stones lie there tonight")
+
+
+def test_indented_quoted_and_bulleted_copies(spark):
+    item = "\n".join(LINES)
+    forms = ["\n    ", "\n> ", "\n>> - ", "\n* ", '\n" ', " .\n\n \t-- "]
+    docs = spark.createDataFrame([(i, "words" + "".join(f + x for x in LINES) + "\n--") for i, f in enumerate(forms)], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {x.doc_id: (x.coverage, x.changed) for x in got} == {i: (1.0, False) for i in range(len(forms))}
+    kinds = decontam.Templates().windows("a b\nlast Name Which\n--")[2].tolist()
+    assert kinds == [0, 0, 0, 2, 2]  # a lone mark behind the last word opens nothing
+
+
 def test_licences_found_and_no_others(spark):
     marks = {"GPL": "GNU General Public License, version 3", "CC-BY-NC": "CC BY-NC 4.0", "MIT": "under the MIT License", "Apache-2.0": "Apache License, Version 2.0"}
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
