@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier with an unknown class and a template check.
 
-Paragraphs (lines) become sparse word n-grams; a multinomial logistic regression over them names a
+Paragraphs become sparse word n-grams; a multinomial logistic regression over them names a
 licence family or ``unknown``.  It is trained here on cut and noised templates of the families and
 on a bounded sample of the corpus' own paragraphs as ``unknown``; a temperature and a threshold fitted
 on held-out paragraphs calibrate it.  A prediction stands only if a template of the family shares
-enough of its words in order with the paragraph.
+enough of its words in order with the paragraph.  A paragraph is the stretch of a text, over line
+ends and inside long lines, in which a template's word pairs lie close together, with a few words
+around it; a line without such a stretch is one paragraph.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ UNKNOWN_PARAGRAPHS = 4000
 COPIES = 60
 #: Share of a template's word pairs that must be in the paragraph.
 CONFIRM = 0.6
+#: A notice may be so many times longer than its template; the classifier also sees so many words on each side.
+REACH = 2
+CONTEXT = 4
 UNKNOWN = "unknown"
 
 # Usual notices of public licences, by family.
@@ -101,7 +106,9 @@ class Model:
 
         A paragraph without any word pair of the templates is unknown: it has no evidence for a family.
         """
-        words = tokens(paragraph)
+        return self.judge_words(tokens(paragraph))
+
+    def judge_words(self, words: list[str]) -> tuple[str, float, bool]:
         features = self.known(words)
         if not features:
             return UNKNOWN, 1.0, False
@@ -117,11 +124,75 @@ class Model:
 _PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in map(tokens, ts)] for f, ts in TEMPLATES.items()}
 
 
+_WANTED = [t for ts in _PAIRS.values() for t in ts if t]
+#: The templates (places in _WANTED) of each word pair.
+_OWNERS = {p: [k for k, t in enumerate(_WANTED) if p in t] for t in _WANTED for p in t}
+
+
 def confirmed(words: list[str], family: str) -> bool:
     have = set(zip(words, words[1:], strict=False))
     return any(len(have & t) >= CONFIRM * len(t) for t in _PAIRS[family] if t)
 
 
+def spans(hits: list[tuple[int, tuple[str, str]]]) -> list[tuple[int, int, int]]:
+    """(pairs found, start, end) of the stretches of words that hold enough of a template, from its pairs' places; best first."""
+    places: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for hit in hits:
+        for k in _OWNERS[hit[1]]:
+            places.setdefault(k, []).append(hit)
+    out = []
+    for k, seen in places.items():
+        size = len(_WANTED[k])
+        if len(seen) < CONFIRM * size:
+            continue
+        left, held = 0, {}
+        for i, pair in seen:
+            held[pair] = held.get(pair, 0) + 1
+            while i - seen[left][0] >= REACH * (size + 1) or held[seen[left][1]] > 1:
+                gone = seen[left][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+            if len(held) >= CONFIRM * size:
+                out.append((len(held), seen[left][0], i + 2))
+    return sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1]))
+
+
+def notices(m: Model, lines: list[str]) -> list[tuple[float, str]]:
+    """(score, family) of each notice in the lines of a text."""
+    words, ends = [], []
+    for line in lines:
+        words += tokens(line)
+        ends.append(len(words))
+    hits = [(i, g) for i, g in enumerate(zip(words, words[1:], strict=False)) if g in _OWNERS]
+    if not hits:
+        return []
+    found, stretches = [], spans(hits)
+    likely, taken = bytearray(len(words)), bytearray(len(words))  # words of the best stretches; of notices
+    for _, a, b in stretches:
+        if likely.find(1, a, b) < 0:
+            likely[a:b] = b"\1" * (b - a)
+    for _, a, b in stretches:
+        if taken.find(1, a, b) >= 0:
+            continue
+        # The words around, up to the next likely notice, tell kin apart and cannot outweigh this one.
+        low, high = max(likely.rfind(1, 0, a) + 1, a - CONTEXT), likely.find(1, b, b + CONTEXT)
+        family, score, ok = m.judge_words(words[low : high if high >= 0 else b + CONTEXT])
+        if ok:
+            found.append((score, family))
+            taken[a:b] = b"\1" * (b - a)
+    at = 0
+    for start, end in zip([0, *ends], ends, strict=False):
+        while at < len(hits) and hits[at][0] < start:
+            at += 1
+        if at < len(hits) and hits[at][0] < end - 1 and taken.find(1, start, end) < 0:
+            family, score, ok = m.judge_words(words[start:end])
+            if ok:
+                found.append((score, family))
+    return found
+
+
 def _noised(r: np.random.Generator, template: str, filler: list[str]) -> list[str]:
     """A template with a few words lost, changed or added, cut at an end, or set among other words."""
     words = tokens(template)
@@ -198,8 +269,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, family, score, n_paragraphs, n_licences, families.
 
     ``family`` is that of the confirmed paragraph with the highest score, ``unknown`` (score 0) if there
-    is none; ``families`` lists all confirmed families in order.  Null and empty texts have no
-    paragraphs.  Ids may be null or repeated; empty input gives no rows; other columns are ignored.
+    is none; ``families`` lists all confirmed families in order.  ``n_paragraphs`` counts lines that are
+    not blank, ``n_licences`` notices, each once.  Null and empty texts have no paragraphs.  Ids may be null or repeated; empty input gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 500 n-grams
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -210,7 +281,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = []
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 lines = [x for x in text.split("\n") if x and not x.isspace()]
-                found = [(s, f) for f, s, ok in map(m.judge, lines) if ok]
+                found = notices(m, lines)
                 best = max(found, default=(0.0, UNKNOWN))
                 out.append((i, best[1], best[0], len(lines), len(found), sorted({f for _, f in found})))
             yield pd.DataFrame(out, columns=["doc_id", "family", "score", "n_paragraphs", "n_licences", "families"])

@@ -125,3 +125,16 @@ def test_licence_edge_cases(spark):
     assert all(x.family == "unknown" and x.score == 0 for x in got if x.doc_id == 4)
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
     assert license_scan.train(spark.createDataFrame([], "text string")).judge("Released under the MIT License.")[0] == "MIT"
+
+
+def test_wrapped_notices_of_every_family(spark):
+    model = license_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    prose = "The river runs down to the sea.\nOld boats lie on the shore."
+    texts = []
+    for family, templates in license_scan.TEMPLATES.items():
+        for words in map(str.split, templates):
+            for mark in ("", "# ", " * "):
+                texts += [(family, f"{prose}\n{mark}{' '.join(words[:k])}\n{mark}{' '.join(words[k:])}\n{prose}") for k in range(1, len(words))]
+                texts += [(family, f"{prose}\n\n" + "\n".join(mark + " ".join(words[k : k + 4]) for k in range(0, len(words), 4)))]
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert [(t, got[i].families) for i, (f, t) in enumerate(texts) if got[i].families != [f] or got[i].n_licences != 1] == []
