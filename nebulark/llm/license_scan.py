@@ -25,6 +25,8 @@ from nebulark.llm._common import mapped, text_of
 #: Documents whose paragraphs teach the unknown class, and paragraphs taken from them, at most.
 UNKNOWN_DOCS = 500
 UNKNOWN_PARAGRAPHS = 4000
+#: Lines are cut into pieces of so many characters there.
+PIECE = 400
 #: Noised copies of each template.
 COPIES = 60
 #: Share of a template's word pairs that must be in the paragraph.
@@ -209,12 +211,13 @@ def _noised(r: np.random.Generator, template: str, filler: list[str]) -> list[st
 def train(docs: DataFrame, text_col: str = "text", seed: int = 3, steps: int = 250) -> Model:
     """Fit on noised templates and on paragraphs of a bounded, hashed sample of ``docs``."""
     text = text_of(text_col)
-    some = F.transform(F.slice(F.split(text, "\n"), 1, 50), lambda x: F.substring(x, 1, 2000))
-    rows = docs.select(F.xxhash64(text, F.lit(seed)).alias("h"), some.alias("some"))
+    rows = docs.select(F.xxhash64(text, F.lit(seed)).alias("h"), text.alias("whole"))
     edge = rows.select("h").orderBy("h").limit(UNKNOWN_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted
     rows = rows.where(F.col("h") <= F.lit(edge if edge is not None else 0)).dropDuplicates(["h"])
-    lines = rows.select(F.explode("some").alias("line")).where("trim(line) <> ''").orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
-    corpus = [tokens(x["line"]) for x in lines.collect()]  # UNKNOWN_PARAGRAPHS lines of 2000 characters at most
+    lines = rows.select(F.explode(F.split("whole", "\n")).alias("line")).where("trim(line) <> ''")
+    pieces = lines.select(F.explode(F.expr(f"transform(sequence(1, length(line), {PIECE}), i -> substring(line, i, {PIECE}))")).alias("line")).where("trim(line) <> ''")
+    lines = pieces.orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_PARAGRAPHS)
+    corpus = [tokens(x["line"]) for x in lines.collect()]  # UNKNOWN_PARAGRAPHS pieces of PIECE characters at most
     strong = [set(p) for ts in _PAIRS.values() for p in ts]
     corpus = [w for w in corpus if w and not any(len(set(zip(w, w[1:], strict=False)) & t) >= 0.5 * len(t) for t in strong if t)]
     filler = sorted({w for line in corpus[:500] for w in line})

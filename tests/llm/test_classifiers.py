@@ -138,3 +138,33 @@ def test_wrapped_notices_of_every_family(spark):
                 texts += [(family, f"{prose}\n\n" + "\n".join(mark + " ".join(words[k : k + 4]) for k in range(0, len(words), 4)))]
     got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), model).collect()}
     assert [(t, got[i].families) for i, (f, t) in enumerate(texts) if got[i].families != [f] or got[i].n_licences != 1] == []
+
+
+def test_notices_of_every_template_inside_one_long_line(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = license_scan.train(docs)
+    filler = " ".join(x.text for x in docs.where("lang = 'en'").limit(40).collect()).split()
+    filler = [w for w in filler if w.isalpha() and w.islower()]
+    filler = (filler * (20_000 // len(filler) + 1))[:20_000]
+    notices = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    texts = [" ".join([*filler[:at], t, *filler[at:]]) for at in (0, 7_000, 20_000) for _, t in notices]
+    texts.append(" ".join(t for _, t in notices))  # one behind the other
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (f, t) in enumerate(notices * 3):
+        alone = model.judge(t)
+        assert got[i].families == [f] == [alone[0]] and got[i].n_licences == 1, t
+    assert got[len(texts) - 1].families == sorted(license_scan.TEMPLATES)
+
+
+def test_unknown_class_is_taught_from_whole_texts(spark):
+    late = "permission to redistribute the following public work under this software"
+    rows = [(i, "\n" * 60 + "plain words " * 300 + f"{late} {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit = license_scan._fit
+    license_scan._fit = lambda model, x, y, steps: (seen.extend(x), fit(model, x, y, steps))
+    try:
+        license_scan.train(docs, steps=1)
+    finally:
+        license_scan._fit = fit
+    assert sum(set(late.split()) <= set(w) for w in seen) > 100
