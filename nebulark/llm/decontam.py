@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Words become literals or typed slots: numbers, names (a given name, or a capital inside a sentence)
-and units.  Windows of WINDOW tokens are hashed; document windows that may be a benchmark's (a
+and units.  Windows of WINDOW tokens are hashed, and a second time with capitals folded (no names but
+given ones), so that a copy in other case matches; document windows that may be a benchmark's (a
 bitmap of fixed size says) are joined with the benchmark's windows by hash.  Matches are grouped by
 document, item and diagonal (the distance of the two positions); a diagonal counts only if each
 slot value of the item meets one value in the document, so a question with new numbers or names is
@@ -83,7 +84,7 @@ class Templates:
         kind, shape = 0, word
         if word in UNITS and len(word) > 1:
             kind, shape = 3, "\0unit"
-        elif word in NAMES and bare[:1].isupper():
+        elif word in NAMES:
             kind, shape = 2, "\0name"
         elif not word.isalpha():
             if _NUMBER.match(word):
@@ -99,8 +100,8 @@ class Templates:
         self.empty[n] = not word
         return n
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each window, whether it counts, and of each token its slot kind, its word number; and the hash of each token."""
+    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each window, whether it counts, and of each token its slot kind, its word number; then hash, count and kind with capitals folded."""
         if len(self.words) > self.MOST:
             self.forget()
         raw = text.replace(_LINE, " ").replace("\n", "\n" + _LINE).split()
@@ -117,13 +118,21 @@ class Templates:
         ids = ids[full]
         token = np.where(opening, self.first[ids], self.inner[ids])
         kind = np.where(opening, self.kinds_first[ids], self.kinds[ids])
-        n = max(0, len(ids) - WINDOW + 1)
+        h, counts = self.hashed(token, kind)
+        if (kind == self.kinds_first[ids]).all():
+            return h, counts, kind, ids, h, counts, kind
+        folded = self.kinds_first[ids]
+        return h, counts, kind, ids, *self.hashed(self.first[ids], folded), folded
+
+    @staticmethod
+    def hashed(token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = max(0, len(token) - WINDOW + 1)
         h, slots = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for i in range(WINDOW):
             h = (h ^ token[i : i + n]) * _MULTIPLIER
             h ^= h >> np.uint64(31)
             slots += kind[i : i + n] > 0
-        return h, slots <= WINDOW - LITERALS, kind, ids, token
+        return h, slots <= WINDOW - LITERALS
 
     def slots(self, at: int, kind: np.ndarray, ids: np.ndarray) -> list[str]:
         return [f"{kind[i]}:{self.words[ids[i]]}" for i in range(at, at + WINDOW) if kind[i]]
@@ -145,7 +154,8 @@ _SCHEMA = "pos int, hash long, slots array<string>, total int"
 def template_windows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     """Windows (key, pos, hash, slots, total) of (key, text) rows; only those in the bitmap ``wanted``, if given.
 
-    ``total`` is how many windows of the text count.
+    A window that capitals change comes with both hashes.  ``total`` is how many windows of the text
+    count; where none does because of capitals, those that count with capitals folded.
     """
     shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
@@ -155,10 +165,19 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         for b in batches:
             out = []
             for key, text in zip(b["key"], b["text"], strict=True):
-                h, counts, kind, ids, _ = templates.windows(text)
-                ok = counts if bits is None else counts & bits[_bits(h)]
-                total = int(counts.sum())
+                h, counts, kind, ids, folded, folded_counts, folded_kind = templates.windows(text)
+                other = folded_counts & (folded != h)
+                if bits is None:  # an item: both hashes stand for the same windows
+                    total = int(counts.sum())
+                    if total:
+                        other &= counts
+                    else:
+                        total = int(folded_counts.sum())
+                    ok = counts
+                else:
+                    ok, other, total = counts & bits[_bits(h)], other & bits[_bits(folded)], 0
                 out += [(key, i, h[i].astype(np.int64), templates.slots(i, kind, ids), total) for i in np.flatnonzero(ok).tolist()]
+                out += [(key, i, folded[i].astype(np.int64), templates.slots(i, folded_kind, ids), total) for i in np.flatnonzero(other).tolist()]
             if out:
                 yield pd.DataFrame(out, columns=["key", "pos", "hash", "slots", "total"])
 

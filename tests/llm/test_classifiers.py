@@ -108,6 +108,20 @@ def test_indented_quoted_and_bulleted_copies(spark):
     assert kinds == [0, 0, 0, 2, 2]  # a lone mark behind the last word opens nothing
 
 
+def test_copies_in_other_case(spark):
+    item = "Alice has 12 apples and gives 5 apples to Bob so how many apples out of 12 does Alice have left"
+    towns = "The Train from Springfield to Ogdenville takes 3 hours while the Bus from Shelbyville needs 5 hours so which town is nearer"
+    forms = [str.lower, str.upper, str.title, str.swapcase, str]
+    rows = [(f"{k} {i}", "words here\n" + f(x)) for i, x in enumerate((item, towns)) for k, f in enumerate(forms)]
+    rows += [("renamed 0", item.replace("Alice", "Maria").replace("Bob", "Tom").lower())]
+    heads = "Greatest Rivers Of Northern Lands Beyond Windy Mountains"
+    rows += [("5 2", heads), ("6 2", heads.lower())]
+    bench = spark.createDataFrame([(0, item), (1, towns), (2, heads)], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id string, text string"), bench).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == sorted((k, int(k[-1])) for k, _ in rows)
+    assert all(x.coverage == 1 and x.changed == x.doc_id.startswith("renamed") for x in got), got
+
+
 def test_licences_found_and_no_others(spark):
     marks = {"GPL": "GNU General Public License, version 3", "CC-BY-NC": "CC BY-NC 4.0", "MIT": "under the MIT License", "Apache-2.0": "Apache License, Version 2.0"}
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
