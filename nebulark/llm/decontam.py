@@ -52,6 +52,18 @@ _LINE = "\0"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sequences(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` literal words, from their hashes, in one pass whatever the length."""
+    powers = np.full(len(words) + 1, _MULTIPLIER)
+    powers[0] = 1
+    inverse = np.full(len(words) + 1, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)))
+    inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(powers)[:-1], dtype=np.uint64)])
+    h = (sums[length:] - sums[:-length]) * np.cumprod(inverse)[: len(words) - length + 1] + np.uint64(length)
+    h = (h ^ h >> np.uint64(31)) * _MULTIPLIER
+    return h ^ h >> np.uint64(29)
+
+
 class Templates:
     """Tokens of texts: a template hash, a slot type (0 literal) and the word, for each.
 
@@ -66,7 +78,7 @@ class Templates:
     def forget(self) -> None:
         templates = self
         self.words: list[str] = []
-        self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.zeros(1024, t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool))
+        self.plain, self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.zeros(1024, t) for t in (np.uint64, np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool))
 
         class Known(dict):
             def __missing__(self, raw: str) -> int:
@@ -78,7 +90,7 @@ class Templates:
     def learn(self, raw: str) -> int:
         n = len(self.words)
         if n == len(self.inner):
-            self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty))
+            self.plain, self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.inner, self.first, self.kinds, self.kinds_first, self.ends, self.starts, self.empty))
         bare = raw if raw.isalpha() else _EDGES.sub("", raw)
         word = bare.lower()
         kind, shape = 0, word
@@ -94,6 +106,7 @@ class Templates:
         inside, inside_kind = (shape, kind) if kind or not (bare[:1].isupper() and bare[1:].islower()) else ("\0name", 2)
         hashed = lambda x: xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
         self.words.append(word)
+        self.plain[n] = hashed("\0word" + word)
         self.first[n], self.inner[n], self.kinds_first[n], self.kinds[n] = hashed(shape), hashed(inside), kind, inside_kind
         self.ends[n] = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…")
         self.starts[n] = raw[0] == _LINE
@@ -134,6 +147,18 @@ class Templates:
             slots += kind[i : i + n] > 0
         return h, slots <= WINDOW - LITERALS
 
+    def exact(self, text: str, ids: np.ndarray, length: int) -> np.ndarray:
+        """Hash of each run of ``length`` words; 0 where a run shorter than LITERALS is not whole lines."""
+        h = sequences(self.plain[ids], length)
+        if length >= LITERALS:
+            return h
+        edges, at = {0}, 0
+        for line in text.split("\n"):
+            at += sum(not self.empty[self.known[w]] for w in line.replace(_LINE, " ").split())
+            edges.add(at)
+        whole = [i in edges and i + length in edges for i in range(len(h))]
+        return np.where(whole, h, np.uint64(0))
+
     def slots(self, at: int, kind: np.ndarray, ids: np.ndarray) -> list[str]:
         return [f"{kind[i]}:{self.words[ids[i]]}" for i in range(at, at + WINDOW) if kind[i]]
 
@@ -148,11 +173,14 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-_SCHEMA = "pos int, hash long, slots array<string>, total int"
+_SCHEMA = "pos int, hash long, slots array<string>, total int, length int"
+
 
+def template_windows(rows: DataFrame, wanted: np.ndarray | None, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """Windows (key, pos, hash, slots, total, length) of (key, text) rows; only those in the bitmap ``wanted``, if given.
 
-def template_windows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """Windows (key, pos, hash, slots, total) of (key, text) rows; only those in the bitmap ``wanted``, if given.
+    Without it, a text with words but no window that counts is one run of literal words, ``length``
+    of them; with it, runs of the given ``lengths`` are looked up too.  Elsewhere ``length`` is 0.
 
     A window that capitals change comes with both hashes.  ``total`` is how many windows of the text
     count; where none does because of capitals, those that count with capitals folded.
@@ -176,10 +204,16 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                     ok = counts
                 else:
                     ok, other, total = counts & bits[_bits(h)], other & bits[_bits(folded)], 0
-                out += [(key, i, h[i].astype(np.int64), templates.slots(i, kind, ids), total) for i in np.flatnonzero(ok).tolist()]
-                out += [(key, i, folded[i].astype(np.int64), templates.slots(i, folded_kind, ids), total) for i in np.flatnonzero(other).tolist()]
+                out += [(key, i, h[i].astype(np.int64), templates.slots(i, kind, ids), total, 0) for i in np.flatnonzero(ok).tolist()]
+                out += [(key, i, folded[i].astype(np.int64), templates.slots(i, folded_kind, ids), total, 0) for i in np.flatnonzero(other).tolist()]
+                if bits is None and not total and len(ids):
+                    out.append((key, 0, sequences(templates.plain[ids], len(ids))[0].astype(np.int64), [], 1, len(ids)))
+                for length in lengths:
+                    if length <= len(ids):
+                        g = templates.exact(text, ids, length)
+                        out += [(key, i, g[i].astype(np.int64), [], 0, length) for i in np.flatnonzero(bits[_bits(g)] & (g > 0)).tolist()]
             if out:
-                yield pd.DataFrame(out, columns=["key", "pos", "hash", "slots", "total"])
+                yield pd.DataFrame(out, columns=["key", "pos", "hash", "slots", "total", "length"])
 
     return rows.select("key", "text").mapInPandas(run, f"key {dict(rows.dtypes)['key']}, {_SCHEMA}")
 
@@ -188,8 +222,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(doc_id, item_id, coverage, n_windows, changed) of each document that holds enough of an item.
 
     ``coverage`` is the share of the item's windows found on consistent diagonals, ``changed`` whether
-    a slot differs.  Null texts are empty; an item or text with fewer than WINDOW words, or with slots
-    only, matches nothing.  Rows repeated with one id are read as one document; rows without id are
+    a slot differs.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
+    words, or too many slots) matches its exact words in any case, one of fewer than LITERALS words
+    only as whole lines; a text or item without words matches nothing.  Rows repeated with one id are read as one document; rows without id are
     left out.  Empty tables give no rows; other columns are ignored.
     """
     items = benchmark.select(F.col(item_id).alias("key"), text_of(item_text).alias("text")).where("key is not null")
@@ -200,9 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     wanted = np.zeros(1 << BITMAP_BITS, bool)
     for part in known.select(place.alias("p")).distinct().toLocalIterator():
         wanted[part["p"]] = True
+    lengths = tuple(sorted(x["length"] for x in known.where("length > 0").select("length").distinct().collect()))  # a number a length
     known = F.broadcast(known) if n <= BROADCAST_WINDOWS else known
     rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).where("key is not null")
-    hits = template_windows(rows, wanted).withColumnRenamed("key", "doc_id").drop("total").join(known, "hash")
+    hits = template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total").join(known, ["hash", "length"])
     pairs = F.expr("arrays_zip(item_slots, slots)")
     diagonals = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     diagonals = diagonals.where("size(array_distinct(transform(pairs, p -> p.item_slots))) = size(pairs)")

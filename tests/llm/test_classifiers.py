@@ -122,6 +122,15 @@ def test_copies_in_other_case(spark):
     assert all(x.coverage == 1 and x.changed == x.doc_id.startswith("renamed") for x in got), got
 
 
+def test_items_without_windows_match_exactly(spark):
+    items = {1: "12 + 7 + 30 = 49 or 5 10 15 20", 2: "Alice, Bob, Maria, Tom, 3 km, 5 km", 3: "Name four rivers", 4: "1 2 3 4 5 6 7", 5: "Why not?", 6: "..."}
+    docs = [(10 * i + k, f(x)) for i, x in items.items() if i < 5 for k, f in enumerate([str, lambda x: "some words\n> " + x.lower() + " more words"])]
+    docs += [(50, "so\n- why not\nnow"), (61, "and why not go"), (62, "7 6 5 4 3 2 1 0"), (63, "name four other rivers ..."), (64, "1 2 3 4 5 6 8 7"), (65, "so why\nnot")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.coverage, x.changed) for x in got) == [(i, i // 10, 1.0, False) for i, _ in docs if i < 60]
+
+
 def test_licences_found_and_no_others(spark):
     marks = {"GPL": "GNU General Public License, version 3", "CC-BY-NC": "CC BY-NC 4.0", "MIT": "under the MIT License", "Apache-2.0": "Apache License, Version 2.0"}
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
