@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nebulark.llm._common import materialize, text_of
+from nebulark.llm._common import id_key, materialize, text_of
 
 WINDOW = 5
 #: A window has at least so many literals.
@@ -218,15 +218,13 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, lengths: tuple[
     return rows.select("key", "text").mapInPandas(run, f"key {dict(rows.dtypes)['key']}, {_SCHEMA}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, coverage, n_windows, changed) of each document that holds enough of an item.
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text; never null."""
+    return F.concat(F.xxhash64(text_of(text_col)).cast("string"), F.lit(":"), id_key(id_col))
 
-    ``coverage`` is the share of the item's windows found on consistent diagonals, ``changed`` whether
-    a slot differs.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
-    words, or too many slots) matches its exact words in any case, one of fewer than LITERALS words
-    only as whole lines; a text or item without words matches nothing.  Rows repeated with one id are read as one document; rows without id are
-    left out.  Empty tables give no rows; other columns are ignored.
-    """
+
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_id: str, item_text: str, without_id: bool) -> DataFrame:
+    """As ``contaminated``, with _row_key as doc_id."""
     items = benchmark.select(F.col(item_id).alias("key"), text_of(item_text).alias("text")).where("key is not null")
     known = materialize(template_windows(items, None), "benchmark-windows").withColumnsRenamed({"key": "item_id", "pos": "item_pos", "slots": "item_slots", "total": "n_windows"})
     n = known.count()
@@ -237,7 +235,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         wanted[part["p"]] = True
     lengths = tuple(sorted(x["length"] for x in known.where("length > 0").select("length").distinct().collect()))  # a number a length
     known = F.broadcast(known) if n <= BROADCAST_WINDOWS else known
-    rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).where("key is not null")
+    rows = docs if without_id else docs.where(F.col(id_col).isNotNull())
+    rows = rows.select(_row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     hits = template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total").join(known, ["hash", "length"])
     pairs = F.expr("arrays_zip(item_slots, slots)")
     diagonals = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
@@ -247,7 +246,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return found.withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "coverage", "n_windows", "changed")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
-    found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__drop"), "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", without_id: bool = False) -> DataFrame:
+    """(doc_id, item_id, coverage, n_windows, changed) of each document that holds enough of an item.
+
+    ``coverage`` is the share of the item's windows found on consistent diagonals, ``changed`` whether
+    a slot differs.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
+    words, or too many slots) matches its exact words in any case, one of fewer than LITERALS words
+    only as whole lines; a text or item without words matches nothing.  Rows with one id are told
+    apart by their texts, equal ones are one document; rows without id are left out unless
+    ``without_id``.  Empty tables give no rows; other columns are ignored.
+    """
+    found = _found(docs, benchmark, coverage, id_col, text_col, item_id, item_text, without_id)
+    key = F.expr("substring(doc_id, instr(doc_id, ':') + 1)")
+    doc_id = F.when(key != "null", F.substring(key, 2, 1 << 30)).cast(docs.schema[id_col].dataType)
+    return found.select(doc_id.alias("doc_id"), "item_id", "coverage", "n_windows", "changed")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns; rows without id stay unless ``without_id``."""
+    found = _found(docs, benchmark, COVERAGE, id_col, text_col, "item_id", "text", without_id).select(F.col("doc_id").alias("__drop")).distinct()
+    keyed = docs.withColumn("__row", _row_key(id_col, text_col))
+    return keyed.join(found, F.col("__row") == F.col("__drop"), "left_anti").drop("__row")

@@ -131,6 +131,21 @@ def test_items_without_windows_match_exactly(spark):
     assert sorted((x.doc_id, x.item_id, x.coverage, x.changed) for x in got) == [(i, i // 10, 1.0, False) for i, _ in docs if i < 60]
 
 
+def test_rows_of_one_id_and_rows_without_id(spark, tmp_path):
+    from corpus_pipeline import STAGES
+
+    item = "the old miller counts seven brown sheep near his quiet pond and then sells every single one again"
+    words = item.split()
+    rows = [(1, item), (1, "a clean row of the same id"), (2, " ".join(words[:7])), (2, " ".join(words[7:14])), (None, item), (None, "clean"), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(x.doc_id, x.item_id) for x in op8_decontaminate(spark, str(tmp_path)).collect()} == {(1, 1), (None, 1)}
+    kept = dict(STAGES)["benchmark_decontamination"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1] != item)
+
+
 def test_licences_found_and_no_others(spark):
     marks = {"GPL": "GNU General Public License, version 3", "CC-BY-NC": "CC BY-NC 4.0", "MIT": "under the MIT License", "Apache-2.0": "Apache License, Version 2.0"}
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
