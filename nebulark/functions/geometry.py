@@ -45,23 +45,23 @@ def radial_bin(r: Column, bins: RadialBins) -> Column:
     return F.when(inside, F.least(F.floor(place), F.lit(bins.n - 1)).cast("int"))
 
 
-def smu_bins(d: tuple[Column, Column, Column], bins: SmuBins, axis: str = "z", include_mu_one: bool = False) -> tuple[Column, Column]:
-    """(ir, imu); zero separations have no angle and no bin, and mu = 1 only with ``include_mu_one``."""
-    r = F.sqrt(square(d))
-    mu = F.try_divide(d[AXES.index(axis)], r)
+def smu_bins(r: Column, along: Column, bins: SmuBins, include_mu_one: bool = False) -> tuple[Column, Column]:
+    """(ir, imu) of a separation and its part along the line of sight.
+
+    Zero separations have no angle and no bin, and mu = 1 only with ``include_mu_one``.
+    """
+    mu = F.try_divide(along, r)
     mu = F.abs(mu) if bins.half else mu
     place = F.floor((mu - F.lit(bins.mu_low)) / F.lit(bins.mu_step)).cast("int")
     place = F.least(place, F.lit(bins.n_mu - 1)) if include_mu_one else place
     return radial_bin(r, bins.r), F.when((place >= 0) & (place < bins.n_mu), place)
 
 
-def spsp_bins(d: tuple[Column, Column, Column], bins: SpspBins, axis: str = "z") -> tuple[Column, Column]:
-    """(iperp, ipar); the transverse separation comes from the two other components."""
-    k = AXES.index(axis)
-    par = F.abs(d[k]) if bins.half else d[k]
-    perp = F.sqrt(square(tuple(x for i, x in enumerate(d) if i != k)))
+def spsp_bins(across: Column, along: Column, bins: SpspBins) -> tuple[Column, Column]:
+    """(iperp, ipar) of a separation's parts across and along the line of sight."""
+    par = F.abs(along) if bins.half else along
     place = F.floor((par - F.lit(bins.par_low)) / F.lit(bins.par_step)).cast("int")
-    return radial_bin(perp, bins.perp), F.when((place >= 0) & (place < bins.n_par), place)
+    return radial_bin(across, bins.perp), F.when((place >= 0) & (place < bins.n_par), place)
 
 
 def cell(x: Column, n: int) -> Column:

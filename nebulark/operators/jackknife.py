@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from nebulark.config import RadialBins
 from nebulark.functions import geometry as G
 from nebulark.operators.catalog import row_hash
-from nebulark.operators.pairs import range_pairs, spine
+from nebulark.operators.pairs import counted, range_pairs, separated, spine
 
 
 def spatial_blocks(cat: DataFrame, level: int) -> DataFrame:
@@ -52,10 +52,9 @@ def leave_one_out(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, bloc
 
     Each row of the catalogues has one block.
     """
-    pairs = range_pairs(cat, cat2, bins.high, keep=("block_id",))
-    ir = G.radial_bin(F.sqrt(G.square(tuple(F.col(c) for c in ("dx", "dy", "dz")))), bins)
-    touched = F.array_distinct(F.array("block_id1", "block_id2"))
-    tagged = pairs.select(ir.alias("ir"), touched.alias("touched")).where("ir is not null").groupBy("ir", "touched").agg(F.count(F.lit(1)).alias("n"))
+    pairs = separated(range_pairs(cat, cat2, bins.high, keep=("block_id",)), "block_id1", "block_id2")
+    ends = counted(pairs.select(G.radial_bin(F.col("r"), bins).alias("ir"), "block_id1", "block_id2"), "ir", "block_id1", "block_id2")
+    tagged = ends.select("ir", F.array_distinct(F.array("block_id1", "block_id2")).alias("touched"), "n")
     totals = tagged.groupBy("ir").agg(F.sum("n").alias("total"))
     gone = tagged.select("ir", F.explode("touched").alias("block_id"), "n").groupBy("ir", "block_id").agg(F.sum("n").alias("gone"))
     spark = cat.sparkSession

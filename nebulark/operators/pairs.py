@@ -1,9 +1,9 @@
 """Pair counts and two-point estimators.
 
-A periodic range join is an equi-join on grid cells at least as wide as the reach: the left side is
-copied to the cells around its own, the exact distance is a condition of the join, so only pairs in
-reach leave it.  A self-join visits each unordered pair once by looking at half of the neighbours.
-Counts are partial sums a task and meet as one row a bin.
+A periodic range join is an equi-join on grid cells that reach at least one reach together: the left
+side is copied to the cells around its own, both sides are shuffled by cell, and the exact distance is
+a condition of the join, so only pairs in reach leave it.  A self-join visits each unordered pair once
+by looking at half of the neighbours.  Counts are partial sums a task and meet as one row a bin.
 """
 
 from __future__ import annotations
@@ -22,38 +22,48 @@ AXES = G.AXES
 MAX_CELLS = 512
 
 
-def cells_for(reach: float) -> int:
-    return max(1, min(MAX_CELLS, int(math.floor(1.0 / reach + 1e-9))))
+def cells_for(reach: float, split: int = 1) -> int:
+    return max(1, min(MAX_CELLS, int(math.floor(split / reach + 1e-9))))
 
 
-def neighbour_offsets(nc: int, half: bool) -> list[tuple[int, int, int]]:
-    """Offsets of distinct neighbour cells; with ``half`` one of each opposite two, and the own cell."""
-    span = sorted({o % nc for o in (-1, 0, 1)})
-    full = list(product(span, span, span))
-    if not half or nc < 3:
+def neighbour_offsets(nc: int, half: bool, split: int = 1) -> list[tuple[int, int, int]]:
+    """Offsets of distinct cells within ``split`` cells' width; with ``half`` one of each opposite two, and the own cell."""
+    span = sorted({o % nc for o in range(-split, split + 1)})
+    gap = lambda o: max(0, min(o, nc - o) - 1)  # noqa: E731  whole cells that lie between
+    full = [o for o in product(span, span, span) if sum(gap(x) ** 2 for x in o) < split * split]
+    if not half:
         return full
     return [o for o in full if o <= tuple(-x % nc for x in o)]
 
 
-def range_pairs(left: DataFrame, right: DataFrame | None, reach: float, keep: tuple[str, ...] = (), closed: bool = False, periodic: bool = True) -> DataFrame:
+def _copies(a: DataFrame, nc: int, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """Rows of ``a`` (columns l_x, l_y, l_z) once for each neighbour cell: l_cell and whether it is the own one.
+
+    The offsets are one constant array, so the code of the stage stays small whatever their number.
+    """
+    near = F.explode(F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip(AXES, o, strict=True)], F.lit(o == (0, 0, 0)).alias("home")) for o in offsets]))
+    out = a.withColumns({f"__{c}": G.cell(F.col(f"l_{c}"), nc) for c in AXES}).withColumn("__o", near)
+    at = [F.pmod(F.col(f"__{c}") + F.col(f"__o.{c}"), F.lit(nc)) for c in AXES]
+    return out.select(*a.columns, (at[2] + nc * (at[1] + nc * at[0])).alias("l_cell"), F.col("__o.home").alias("home"))
+
+
+def range_pairs(left: DataFrame, right: DataFrame | None, reach: float, keep: tuple[str, ...] = (), closed: bool = False, periodic: bool = True, split: int = 1) -> DataFrame:
     """Pairs nearer than ``reach`` (or at it, if ``closed``) with id1, id2, dx, dy, dz and the ``keep`` columns of both.
 
     ``right`` None joins the catalogue with itself, each unordered pair once (id1 <> id2, either
     order); ids must be unique then.  Otherwise all ordered pairs, zero distances included.
+    ``split`` cells span the reach: more of them test fewer candidates and copy rows to more cells,
+    which pays where a cell of the reach's width holds hundreds of points.
     """
     auto = right is None
-    nc = cells_for(reach * (1 + 1e-12))
-    half = auto and nc >= 3 and periodic
-    offsets = neighbour_offsets(nc, half)
+    nc = cells_for(reach * (1 + 1e-12), split)
+    half = auto and nc >= 2 * split + 1 and periodic
+    offsets = neighbour_offsets(nc, half, split)
     cols = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", *AXES, *keep)])
-    a, b = cols(left, "l_"), cols(left if auto else right, "r_")
-    own = [G.cell(F.col(f"l_{c}"), nc) for c in AXES]
-    copies = []
-    for o in offsets:
-        cx, cy, cz = (F.pmod(c + F.lit(s), F.lit(nc)) for c, s in zip(own, o, strict=True))
-        copies.append(F.struct((cz + nc * (cy + nc * cx)).alias("cell"), F.lit(o == (0, 0, 0)).alias("home")))
-    a = a.withColumn("__c", F.explode(F.array(*copies))).select("*", F.col("__c.cell").alias("l_cell"), F.col("__c.home").alias("home")).drop("__c")
-    b = b.withColumn("r_cell", G.cell_id(nc, ("r_x", "r_y", "r_z")))
+    a = _copies(cols(left, "l_"), nc, offsets)
+    b = cols(left if auto else right, "r_")
+    # Both sides move by cell, also where one is small: the pairs, not the rows, are the work to spread.
+    b = b.withColumn("r_cell", G.cell_id(nc, ("r_x", "r_y", "r_z"))).hint("merge")
     d = G.separations("l_", "r_", periodic)
     r2, lim = G.square(d), F.lit(reach * reach)
     on = (F.col("l_cell") == F.col("r_cell")) & ((r2 <= lim) if closed else (r2 < lim))
@@ -81,11 +91,32 @@ def _dense(counts: DataFrame, bins: RadialBins) -> DataFrame:
     return bare.join(F.broadcast(counts), "ir", "left").select("ir", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # a row a bin
 
 
-def count_r(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins) -> DataFrame:
+def counted(binned: DataFrame, *bins: str) -> DataFrame:
+    """Rows with a bin (none of ``bins`` null) by bin, as n.
+
+    The bins come out as maxima of themselves: a condition on those stays above the sums, while one
+    on grouping columns would be pushed into the join and work out every separation once more.
+    """
+    sums = binned.groupBy(*[F.col(c).alias(f"__{c}") for c in bins]).agg(*[F.max(c).alias(c) for c in bins], F.count(F.lit(1)).alias("n"))
+    return sums.where(" and ".join(f"{c} is not null" for c in bins)).select(*bins, "n")
+
+
+def separated(pairs: DataFrame, *keep: str) -> DataFrame:
+    """r and the ``keep`` columns of pairs, r worked out once."""
+    return pairs.select(F.sqrt(G.square(_d())).alias("r"), *keep)
+
+
+def count_r(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, split: int = 1) -> DataFrame:
     """(ir, n) for every bin: pairs by separation."""
-    pairs = range_pairs(cat, cat2, bins.high)
-    counts = pairs.select(G.radial_bin(F.sqrt(G.square(_d())), bins).alias("ir")).where("ir is not null").groupBy("ir").agg(F.count(F.lit(1)).alias("n"))
-    return _dense(counts, bins)
+    pairs = separated(range_pairs(cat, cat2, bins.high, split=split))
+    return _dense(counted(pairs.select(G.radial_bin(F.col("r"), bins).alias("ir")), "ir"), bins)
+
+
+def _oriented(pairs: DataFrame, turned: bool) -> DataFrame:
+    """The separations, going to the larger id if ``turned``."""
+    if not turned:
+        return pairs.select(*_D)
+    return pairs.select(*[F.when(F.col("id1") < F.col("id2"), F.col(c)).otherwise(-F.col(c)).alias(c) for c in _D])
 
 
 def count_smu(cat: DataFrame, cat2: DataFrame | None, bins: SmuBins, axis: str = "z") -> DataFrame:
@@ -93,20 +124,19 @@ def count_smu(cat: DataFrame, cat2: DataFrame | None, bins: SmuBins, axis: str =
 
     A full-angle self count gives each pair the sign it has going to the larger id.
     """
-    d = _d()
-    if cat2 is None and not bins.half:
-        d = tuple(F.when(F.col("id1") < F.col("id2"), x).otherwise(-x) for x in d)
-    ir, imu = G.smu_bins(d, bins, axis)
-    return range_pairs(cat, cat2, bins.r.high).select(ir.alias("ir"), imu.alias("imu")).where("ir is not null and imu is not null").groupBy("ir", "imu").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _oriented(range_pairs(cat, cat2, bins.r.high), cat2 is None and not bins.half)
+    pairs = separated(pairs, F.col(f"d{axis}").alias("along"))
+    ir, imu = G.smu_bins(F.col("r"), F.col("along"), bins)
+    return counted(pairs.select(ir.alias("ir"), imu.alias("imu")), "ir", "imu")
 
 
 def count_spsp(cat: DataFrame, cat2: DataFrame | None, bins: SpspBins, axis: str = "z") -> DataFrame:
     """(iperp, ipar, n) of bins with pairs."""
-    d = _d()
-    if cat2 is None and not bins.half:
-        d = tuple(F.when(F.col("id1") < F.col("id2"), x).otherwise(-x) for x in d)
-    ip, il = G.spsp_bins(d, bins, axis)
-    return range_pairs(cat, cat2, bins.reach).select(ip.alias("iperp"), il.alias("ipar")).where("iperp is not null and ipar is not null").groupBy("iperp", "ipar").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _oriented(range_pairs(cat, cat2, bins.reach), cat2 is None and not bins.half)
+    across = F.sqrt(G.square(tuple(F.col(c) for c in _D if c != f"d{axis}")))
+    pairs = pairs.select(across.alias("across"), F.col(f"d{axis}").alias("along"))
+    ip, il = G.spsp_bins(F.col("across"), F.col("along"), bins)
+    return counted(pairs.select(ip.alias("iperp"), il.alias("ipar")), "iperp", "ipar")
 
 
 def pair_total(n1: int, n2: int | None = None, natural: bool = False) -> float:

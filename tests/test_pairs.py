@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nebulark.config import AnalysisConfig, Box, RadialBins, SmuBins
+from nebulark.config import AnalysisConfig, Box, RadialBins, SmuBins, SpspBins
 from nebulark.operators import catalog, jackknife, neighbors, pairs
 from nebulark.plans import programs
 
@@ -128,3 +128,28 @@ def test_programs_run(spark):
     assert programs.power(cat, c).where("p0 is not null").count() > 0
     assert programs.xi_by_transform(cat, c).count() > 0
     assert programs.moment(halos.withColumn("mass", F.lit(1.0)), c, "sigma").count() > 0
+
+
+@pytest.mark.parametrize("split", [2])
+@pytest.mark.parametrize("reach", [0.12, 0.34])
+def test_split_cells_find_the_same_pairs(spark, split, reach):
+    rows = points(120, 3)
+    df, other = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(points(90, 4), SCHEMA)
+    for right in (None, other):
+        found = lambda s: sorted((*(sorted((r.id1, r.id2)) if right is None else (r.id1, r.id2)),) for r in pairs.range_pairs(df, right, reach, split=s).collect())
+        assert found(split) == found(1)
+
+
+def test_join_methods_stay_small_enough_to_be_compiled(spark):
+    """The JVM never compiles methods of more than 8000 bytes."""
+    df = spark.createDataFrame(points(50, 5), SCHEMA)
+    bins = RadialBins(0.0, 0.05, 5)
+    counts = [pairs.count_r(df, None, bins), pairs.count_smu(df, None, SmuBins(bins, 4)), pairs.count_smu(df, None, SmuBins(bins, 4, half=False)), pairs.count_spsp(df, None, SpspBins(bins, 0.03, 3)), jackknife.leave_one_out(jackknife.spatial_blocks(df, 2), None, bins, 8)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for c in counts:
+            stages = c._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()) if "Join" in stages.apply(i)._1() or "Generate" in stages.apply(i)._1()]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
