@@ -1,4 +1,4 @@
-"""Mass assignment: a stencil per axis, exploded to cells, summed by cell.
+"""Mass assignment: a stencil per axis, one explode to cells, summed by cell number.
 
 A mesh is a sparse table (ix, iy, iz, val).  Partial aggregation sums a task's particles before the
 shuffle, so what moves is bounded by cells, not by particles times stencil.
@@ -6,6 +6,7 @@ shuffle, so what moves is bounded by cells, not by particles times stencil.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -49,22 +50,37 @@ def stencil(x: Column, n: int, scheme: str, centering: str = "node", periodic: b
     return F.array(*[F.struct(at(i).alias("i"), w.alias("w")) for i, w in parts])
 
 
+#: Cells of an axis that a scheme touches.
+WIDTH = {"ngp": 1, "cic": 2, "tsc": 3, "pcs": 4}
+
+
 def exploded(df: DataFrame, n: int, scheme: str, centering: str = "node", periodic: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each particle and cell it touches: ix, iy, iz, w and the ``keep`` columns."""
-    out = df.select(*keep, *[stencil(F.col(c), n, scheme, centering, periodic).alias(f"s{c}") for c in AXES])
-    for c in AXES:
-        out = out.withColumn(f"s{c}", F.explode(f"s{c}"))
-    w = reduce(lambda a, b: a * b, [F.col(f"s{c}.w") for c in AXES])
-    out = out.select(*[F.col(f"s{c}.i").alias(f"i{c}") for c in AXES], w.alias("w"), *keep)
+    """One row for each particle and cell it touches: cell (a long, see :func:`by_cell`), w and the ``keep`` columns.
+
+    The three stencils are worked out once a particle; one explode of a constant array walks their product.
+    """
+    places = range(WIDTH.get(scheme, 0))
+    product = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(AXES, o, strict=True)]) for o in itertools.product(places, places, places)])
+    out = df.select(*keep, *[stencil(F.col(c), n, scheme, centering, periodic).alias(f"s{c}") for c in AXES]).withColumn("__o", F.explode(product))
+    x, y, z = (F.col(f"s{c}")[F.col(f"__o.{c}")] for c in AXES)
     if not periodic:
-        out = out.where(" and ".join(f"i{c} >= 0 and i{c} < {n}" for c in AXES))
-    return out
+        out = out.where(reduce(lambda a, b: a & b, [(s["i"] >= 0) & (s["i"] < n) for s in (x, y, z)]))
+    cell = z["i"] + F.lit(n).cast("long") * (y["i"] + F.lit(n).cast("long") * x["i"])
+    return out.select(cell.alias("cell"), (x["w"] * y["w"] * z["w"]).alias("w"), *keep)
+
+
+def by_cell(rows: DataFrame, n: int, *sums: Column, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """Sums of exploded rows by cell: ix, iy, iz and the sums.  The key of the shuffle is one long."""
+    table = rows.groupBy(*keys, "cell").agg(*sums)
+    c, m = F.col("cell"), F.lit(n).cast("long")
+    at = [F.expr(f"cell div {n * n}"), F.expr(f"cell div {n}") % m, c % m]
+    return table.select(*[k for k in table.columns if k != "cell"][: len(keys)], *[v.cast("int").alias(k) for v, k in zip(at, CELL, strict=True)], *[k for k in table.columns if k != "cell"][len(keys) :])
 
 
 def assign(df: DataFrame, n: int, scheme: str = "tsc", value: str | None = None, centering: str = "node", periodic: bool = True) -> DataFrame:
     """Sparse mesh (ix, iy, iz, val): the sum of weights, or of weights times ``value``."""
     rows = exploded(df, n, scheme, centering, periodic, (value,) if value else ())
-    return rows.groupBy(*CELL).agg(F.sum(F.col("w") * F.col(value) if value else F.col("w")).alias("val"))
+    return by_cell(rows, n, F.sum(F.col("w") * F.col(value) if value else F.col("w")).alias("val"))
 
 
 def all_cells(spark: SparkSession, n: int) -> DataFrame:

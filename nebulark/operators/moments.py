@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.operators.mesh import CELL, dense, exploded
+from nebulark.operators.mesh import CELL, by_cell, dense, exploded
 
 VELOCITY = ("vx", "vy", "vz")
 TENSOR = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
+
+
+def _mw() -> Column:
+    return F.col("mass") * F.col("w")
+
+
 def density(particles: DataFrame, n: int, scheme: str = "tsc", background: float | None = None) -> DataFrame:
     """rho = sum of m w by cell; with a background mass above 1, 1 + rho n^3 / background on every cell."""
-    rho = exploded(particles, n, scheme, keep=("mass",)).groupBy(*CELL).agg(F.sum(F.col("mass") * F.col("w")).alias("rho"))
+    rho = by_cell(exploded(particles, n, scheme, keep=("mass",)), n, F.sum(_mw()).alias("rho"))
     if background is None:
         return rho
     if background <= 1:
@@ -21,26 +27,32 @@ def density(particles: DataFrame, n: int, scheme: str = "tsc", background: float
     return dense(rho, n, "rho").withColumn("rho", F.lit(1.0) + F.col("rho") * F.lit(n**3 / background))
 
 
+def _per_mass(column: str) -> Column:
+    return F.when(F.col("rho") > 0, F.col(column) / F.col("rho")).otherwise(F.lit(0.0))
+
+
 def mean_velocity(particles: DataFrame, n: int, scheme: str = "tsc") -> DataFrame:
     """rho and u = sum of m w v / rho by cell; 0 where rho is not positive."""
     rows = exploded(particles, n, scheme, keep=("mass", *VELOCITY))
-    mw = F.col("mass") * F.col("w")
-    sums = rows.groupBy(*CELL).agg(F.sum(mw).alias("rho"), *[F.sum(mw * F.col(v)).alias(f"p{v}") for v in VELOCITY])
-    return sums.select(*CELL, "rho", *[F.when(F.col("rho") > 0, F.col(f"p{v}") / F.col("rho")).otherwise(F.lit(0.0)).alias(f"u{v[1]}") for v in VELOCITY])
+    sums = by_cell(rows, n, F.sum(_mw()).alias("rho"), *[F.sum(_mw() * F.col(v)).alias(f"p{v}") for v in VELOCITY])
+    return sums.select(*CELL, "rho", *[_per_mass(f"p{v}").alias(f"u{v[1]}") for v in VELOCITY])
 
 
 def dispersion(particles: DataFrame, n: int, scheme: str = "tsc") -> DataFrame:
-    """rho, u and the central second moments / rho by cell, in two passes.
+    """rho and the central second moments / rho by cell, in one pass of partial sums.
 
-    The second pass joins the cells' means back to the particles' cells, which keeps the differences
-    small before they are squared.
+    Velocities are taken from the mean of all particles, so that the squares stay small; the cell's own
+    mean goes off by algebra: <(v-u)(v-u)> = <dd> - <d><d> for d = v - mean.
     """
-    means = mean_velocity(particles, n, scheme)
-    rows = exploded(particles, n, scheme, keep=("mass", *VELOCITY)).join(means, CELL)
-    mw = F.col("mass") * F.col("w")
-    off = {c: F.col(f"v{c}") - F.col(f"u{c}") for c in "xyz"}
-    sums = rows.groupBy(*CELL).agg(F.first("rho").alias("rho"), *[F.sum(mw * off[t[0]] * off[t[1]]).alias(t) for t in TENSOR])
-    return sums.select(*CELL, "rho", *[F.when(F.col("rho") > 0, F.col(t) / F.col("rho")).otherwise(F.lit(0.0)).alias(f"s{t}") for t in TENSOR])
+    mean = particles.agg(*[F.avg(v).alias(f"__{v}") for v in VELOCITY])
+    moved = particles.crossJoin(F.broadcast(mean)).withColumns({v: F.col(v) - F.coalesce(f"__{v}", F.lit(0.0)) for v in VELOCITY})  # one row
+    rows = exploded(moved, n, scheme, keep=("mass", *VELOCITY))
+    first = [F.sum(_mw() * F.col(v)).alias(f"p{v[1]}") for v in VELOCITY]
+    second = [F.sum(_mw() * F.col(f"v{t[0]}") * F.col(f"v{t[1]}")).alias(t) for t in TENSOR]
+    sums = by_cell(rows, n, F.sum(_mw()).alias("rho"), *first, *second)
+    u = {c: _per_mass(f"p{c}") for c in "xyz"}
+    central = {t: _per_mass(t) - u[t[0]] * u[t[1]] for t in TENSOR}
+    return sums.select(*CELL, "rho", *[(F.greatest(v, F.lit(0.0)) if t[0] == t[1] else v).alias(f"s{t}") for t, v in central.items()])
 
 
 def dispersion_trace(tensor: DataFrame) -> DataFrame:
