@@ -11,11 +11,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, one of our own, but on a single machine only."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{getpass.getuser()}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or f"file:///tmp/checkpoints/{getpass.getuser()}")
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,5 +50,4 @@ def ship(spark: SparkSession) -> None:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table in the shared checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{getpass.getuser()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
