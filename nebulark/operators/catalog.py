@@ -89,10 +89,11 @@ def shift_gravitational(df: DataFrame, box: Box, axis: str = "z", a: Column | No
     return df.withColumn(axis, wrap(F.col(axis) - F.col("pot") * factor))
 
 
-def shift_while_loading(df: DataFrame, box: Box, axis: str = "z") -> DataFrame:
-    """The loaders' shift: in length units, with a single wrap at the box's ends."""
+def shift_while_loading(df: DataFrame, box: Box, axis: str = "z", by: str = "velocity") -> DataFrame:
+    """The loaders' shift by ``velocity`` or ``pot``: in length units, with a single wrap at the box's ends."""
     factor = F.lit(1.0) / (F.lit(box.a) * C.hubble_a(F.lit(box.a), box.omega_m, box.omega_l))
-    return df.withColumn(axis, wrap_once(F.col(axis) + F.col(f"v{axis}") * factor, box.size))
+    move = F.col(f"v{axis}") * factor if by == "velocity" else -F.col("pot") * F.lit(C.LIGHT_KMS) * factor
+    return df.withColumn(axis, wrap_once(F.col(axis) + move, box.size))
 
 
 def random_catalog(spark: SparkSession, n: int, seed: int = 10) -> DataFrame:

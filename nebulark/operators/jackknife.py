@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nebulark.config import RadialBins
+from nebulark.config import RadialBins, SmuBins
 from nebulark.functions import geometry as G
 from nebulark.operators.catalog import row_hash
-from nebulark.operators.pairs import counted, range_pairs, separated, spine
+from nebulark.operators.pairs import counted, project_smu, range_pairs, separated, spine
 
 
 def spatial_blocks(cat: DataFrame, level: int) -> DataFrame:
@@ -47,6 +47,16 @@ def block_sizes(cat: DataFrame) -> DataFrame:
     return cat.groupBy("block_id").agg(F.count(F.lit(1)).alias("m"))
 
 
+def _without(ends: DataFrame, frame: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """(block_id, keys, n) from pairs by bin and both ends' blocks: all pairs less those that touch the block."""
+    tagged = ends.select(*keys, F.array_distinct(F.array("block_id1", "block_id2")).alias("touched"), "n")
+    totals = tagged.groupBy(*keys).agg(F.sum("n").alias("total"))
+    gone = tagged.select(*keys, F.explode("touched").alias("block_id"), "n").groupBy(*keys, "block_id").agg(F.sum("n").alias("gone"))
+    cubes = frame.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block_id"))
+    out = frame.crossJoin(F.broadcast(cubes)).join(F.broadcast(totals), keys, "left").join(F.broadcast(gone), [*keys, "block_id"], "left")  # bins x blocks
+    return out.select("block_id", *keys, (F.coalesce("total", F.lit(0)) - F.coalesce("gone", F.lit(0))).cast("long").alias("n"))
+
+
 def leave_one_out(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, blocks: int) -> DataFrame:
     """(block_id, ir, n): pairs with no end in the block, for every block and bin.
 
@@ -54,13 +64,17 @@ def leave_one_out(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, bloc
     """
     pairs = separated(range_pairs(cat, cat2, bins.high, keep=("block_id",)), "block_id1", "block_id2")
     ends = counted(pairs.select(G.radial_bin(F.col("r"), bins).alias("ir"), "block_id1", "block_id2"), "ir", "block_id1", "block_id2")
-    tagged = ends.select("ir", F.array_distinct(F.array("block_id1", "block_id2")).alias("touched"), "n")
-    totals = tagged.groupBy("ir").agg(F.sum("n").alias("total"))
-    gone = tagged.select("ir", F.explode("touched").alias("block_id"), "n").groupBy("ir", "block_id").agg(F.sum("n").alias("gone"))
-    spark = cat.sparkSession
-    frame = spine(spark, bins).select("ir").crossJoin(F.broadcast(spark.range(blocks).select(F.col("id").cast("int").alias("block_id"))))  # bins x blocks
-    out = frame.join(F.broadcast(totals), "ir", "left").join(F.broadcast(gone), ["ir", "block_id"], "left")
-    return out.select("block_id", "ir", (F.coalesce("total", F.lit(0)) - F.coalesce("gone", F.lit(0))).cast("long").alias("n"))
+    return _without(ends, spine(cat.sparkSession, bins).select("ir"), ["ir"], blocks)
+
+
+def leave_one_out_smu(cat: DataFrame, bins: SmuBins, blocks: int, axis: str = "z") -> DataFrame:
+    """(block_id, ir, imu, n) of one catalogue with the line-of-sight angle folded."""
+    pairs = separated(range_pairs(cat, None, bins.r.high, keep=("block_id",)), F.col(f"d{axis}").alias("along"), "block_id1", "block_id2")
+    ir, imu = G.smu_bins(F.col("r"), F.col("along"), bins)
+    ends = counted(pairs.select(ir.alias("ir"), imu.alias("imu"), "block_id1", "block_id2"), "ir", "imu", "block_id1", "block_id2")
+    mus = cat.sparkSession.range(bins.n_mu).select(F.col("id").cast("int").alias("imu"))
+    frame = spine(cat.sparkSession, bins.r).select("ir").crossJoin(F.broadcast(mus))  # bins x bins
+    return _without(ends, frame, ["ir", "imu"], blocks)
 
 
 def xi_blocks(dd: DataFrame, rr: DataFrame, dr: DataFrame | None, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int) -> DataFrame:
@@ -77,6 +91,30 @@ def xi_blocks(dd: DataFrame, rr: DataFrame, dr: DataFrame | None, data_sizes: Da
     return table.select("block_id", "ir", F.when(F.col("rr") > 0, F.try_divide(top, F.col("rr"))).otherwise(F.lit(0.0)).alias("xi"))
 
 
+def xi_blocks_cross(dd: DataFrame, rr: DataFrame, d1r2: DataFrame, d2r1: DataFrame, sizes: list[DataFrame], totals: list[int]) -> DataFrame:
+    """(block_id, ir, xi) of two catalogues, Landy-Szalay; sizes and totals of data 1, data 2, randoms 1, randoms 2."""
+    keys = ["block_id", "ir"]
+    table = dd.withColumnRenamed("n", "dd")
+    for name, counts in (("rr", rr), ("d1r2", d1r2), ("d2r1", d2r1)):
+        table = table.join(counts.withColumnRenamed("n", name), keys)
+    left = []
+    for i, (size, total) in enumerate(zip(sizes, totals, strict=True)):
+        table = table.join(F.broadcast(size.withColumnRenamed("m", f"m{i}")), "block_id", "left")  # a row a block
+        left.append(F.lit(float(total)) - F.coalesce(f"m{i}", F.lit(0)))
+    f1, f2 = F.try_divide(left[2], left[0]), F.try_divide(left[3], left[1])
+    top = f1 * f2 * F.col("dd") - f1 * F.col("d1r2") - f2 * F.col("d2r1") + F.col("rr")
+    return table.select(*keys, F.when(F.col("rr") > 0, F.try_divide(top, F.col("rr"))).otherwise(F.lit(0.0)).alias("xi"))
+
+
+def xi_smu_blocks(dd: DataFrame, rr: DataFrame, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int) -> DataFrame:
+    """(block_id, ir, xi): each block's f^2 DD / RR - 1 by (ir, imu), projected to xi(s) with its RR as weight."""
+    sizes = data_sizes.withColumnRenamed("m", "md").join(random_sizes.withColumnRenamed("m", "mr"), "block_id", "outer")
+    f = F.try_divide(F.lit(float(n_random)) - F.coalesce("mr", F.lit(0)), F.lit(float(n_data)) - F.coalesce("md", F.lit(0)))
+    table = dd.withColumnRenamed("n", "dd").join(rr.withColumnRenamed("n", "rr"), ["block_id", "ir", "imu"]).join(F.broadcast(sizes), "block_id", "left")  # a row a block
+    xi = F.when(F.col("rr") > 0, f * f * F.col("dd") / F.col("rr") - F.lit(1.0)).otherwise(F.lit(0.0))
+    return project_smu(table.select("block_id", "ir", "rr", xi.alias("xi")), "block_id")
+
+
 def mean_and_error(xi: DataFrame, keys: list[str], value: str = "xi") -> DataFrame:
     """Mean over blocks and its jackknife error sqrt((n - 1) / n * sum of squared deviations)."""
     n = F.count(value)

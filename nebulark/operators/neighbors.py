@@ -10,7 +10,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,8 +21,9 @@ from nebulark.operators.pairs import range_pairs
 from nebulark.plans.work import cut
 
 AXES = G.AXES
-#: Query vectors that a task compares with its rows at a time.
-QUERY_BLOCK = 4096
+#: Query vectors and vectors of a block: every block of the ones meets every block of the others.
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 8192
 
 
 def radius_search(queries: DataFrame, points: DataFrame, r: float, closed: bool = True, periodic: bool = False) -> DataFrame:
@@ -98,54 +100,56 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", where: Column | None = None, vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """Rows packed into arrays of about ``size``, one row a block."""
+    n = max(1, -(-rows.count() // size))
+    packed = [F.collect_list(c).alias(c) for c in columns]
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(*packed).drop("block")
+
+
+def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", where: Column | None = None, vector: str = "embedding", keep: tuple[str, ...] = (), per: str | None = None) -> DataFrame:
     """(qid, id, distance, rank) of the k nearest vectors of each query (id, embedding), by brute force.
 
-    ``where`` filters the vectors before they are ranked.  Queries go out in blocks of QUERY_BLOCK; a
-    task keeps its own k best of each query, and only those are ranked together.  Metrics: l2
-    (squared), l1, ip (1 - inner product), so2 (wrapped angle, one component).  Null vectors are left out; ``keep`` columns come along.
+    ``where`` filters the vectors before they are ranked.  Both sides are packed into blocks, every
+    query block meets every vector block in some task, and a meeting keeps its own k best of each query;
+    only those are ranked together.  ``per`` names a kept column of whose values each gives its own k.
+    Metrics: l2 (squared), l1, ip (1 - inner product), so2 (wrapped angle, one component).  Null vectors
+    are left out; ``keep`` columns come along.
     """
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select("id", vector, *keep).where(F.col(vector).isNotNull())
     asked = queries.select("id", vector).where(F.col(vector).isNotNull())
-    schema = "qid long, id long, distance double" + "".join(f", {c} {dict(pool.dtypes)[c]}" for c in keep)
-    out, block = None, []
-
-    def near(rows: list) -> DataFrame:
-        shared = pool.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))  # a block
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            held: pd.DataFrame | None = None
-            for b in batches:
-                v = np.array(b[vector].tolist(), np.float64)
-                if not len(v):
-                    continue
-                d, at = _distances(q, v, metric), b["id"].to_numpy(np.int64)
-                m, who, place = min(k, len(v)), [], []
-                for i in range(len(q)):
-                    p = np.flatnonzero(d[i] <= np.partition(d[i], m - 1)[m - 1])
-                    place.append(p[np.lexsort((at[p], d[i][p]))[:m]])
-                    who.append(np.full(len(place[-1]), i))
+    kinds = dict(pool.dtypes)
+    schema = "qid long, id long, distance double" + "".join(f", {c} {kinds[c]}" for c in keep)
+    q = _blocks(asked, QUERY_BLOCK, "id", vector).withColumnsRenamed({"id": "qid", vector: "__q"})
+    v = _blocks(pool.withColumn("__keep", F.struct(F.lit(1).alias("one"), *keep)), VECTOR_BLOCK, "id", vector, "__keep")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].values for name in batch.schema.names}
+                qid, at = (row[c].to_numpy(zero_copy_only=False) for c in ("qid", "id"))
+                matrix = lambda c, n: row[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                d = _distances(matrix("__q", len(qid)), matrix(vector, len(at)), metric)
+                kept = row["__keep"]
+                group = np.zeros(len(at), np.int64) if per is None else pd.factorize(kept.field(per).to_pandas(), use_na_sentinel=False)[0]
+                who, place = [], []
+                for members in (np.flatnonzero(group == g) for g in np.unique(group)):
+                    m = min(k, len(members))
+                    for j in range(len(qid)):
+                        one = d[j, members]
+                        p = np.flatnonzero(one <= np.partition(one, m - 1)[m - 1])
+                        p = members[p[np.lexsort((at[members[p]], one[p]))[:m]]]
+                        place.append(p)
+                        who.append(np.full(m, j))
                 who, place = np.concatenate(who), np.concatenate(place)
-                part = pd.DataFrame({"qid": ids[who], "id": at[place], "distance": d[who, place], **{c: b[c].to_numpy()[place] for c in keep}})
-                held = part if held is None else pd.concat([held, part])
-                held = held.sort_values(["qid", "distance", "id"]).groupby("qid").head(k)
-            if held is not None:
-                yield held
-
-        return pool.mapInPandas(best, schema)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part, block = near(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = near(block) if block else pool.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance"), *keep).limit(0)
-        out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                columns = [pa.array(qid[who], pa.int64()), pa.array(at[place], pa.int64()), pa.array(d[who, place])]
+                columns += [kept.field(c).take(pa.array(place)) for c in keep]
+                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "distance", *keep])
+
+    near = q.crossJoin(v).mapInArrow(best, schema)  # blocks of the query set x blocks of the vectors
+    order = Window.partitionBy("qid", *([per] if per else [])).orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def within_distance(ranked: DataFrame, eps: float, least: int = 0, most: int | None = None) -> DataFrame:
@@ -162,6 +166,21 @@ def until_documents(ranked: DataFrame, documents: int, doc: str = "label") -> Da
     return by_doc.withColumn("doc_rank", F.dense_rank().over(order)).where(F.col("doc_rank") <= documents).drop("__first")
 
 
+def in_documents(queries: DataFrame, vectors: DataFrame, documents: int, doc: str = "label", vector: str = "embedding") -> DataFrame:
+    """All vectors of the ``documents`` nearest documents of each query: qid, id, doc, distance, doc_rank, in squared L2.
+
+    A document is as near as its nearest vector (ties: the smaller vector id).  Blocks keep one row for
+    each query and document, so pairs of single vectors are never ranked; the vectors of the documents
+    found are joined back by document.
+    """
+    near = vector_knn(queries, vectors, 1, "l2", vector=vector, keep=(doc,), per=doc)
+    order = Window.partitionBy("qid").orderBy("distance", "id")
+    first = near.withColumn("doc_rank", F.row_number().over(order)).where(F.col("doc_rank") <= documents).select("qid", F.col(doc).alias("__doc"), "doc_rank")
+    asked = queries.select(F.col("id").alias("qid"), F.col(vector).alias("__q"))
+    found = first.join(asked, "qid").join(vectors.where(F.col(vector).isNotNull()), F.col("__doc").eqNullSafe(F.col(doc)))
+    return found.select("qid", "id", doc, l2(F.col("__q"), F.col(vector)).alias("distance"), "doc_rank")
+
+
 def octree_leaves(points: DataFrame, cap: int = 16, levels: int = 10) -> DataFrame:
     """(level, path, n): octants with at most ``cap`` points (or at the deepest level) whose parent has more.
 
@@ -216,6 +235,23 @@ def with_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: str
     return nearest_cells(vectors, centres, probe, vector).withColumn("cell", F.explode("cells")).drop("cells")
 
 
+def _probe(queries: DataFrame, centres: np.ndarray, probe: int, vector: str) -> DataFrame:
+    q = nearest_cells(queries.select(F.col("id").alias("qid"), F.col(vector).alias("q")).where("q is not null"), centres, probe, "q")
+    return q.withColumn("cell", F.explode("cells"))
+
+
+def _filed(vectors: DataFrame, centres: np.ndarray, homes: int, vector: str) -> DataFrame:
+    p = nearest_cells(vectors.select("id", vector).where(F.col(vector).isNotNull()), centres, homes, vector).withColumnRenamed("cells", "homes")
+    return p.withColumn("cell", F.explode("homes"))
+
+
+def _nearest_filed(q: DataFrame, p: DataFrame, k: int, vector: str) -> DataFrame:
+    near = q.join(p, "cell").where(F.col("cell") == F.array_intersect("homes", "cells")[0])
+    near = near.select("qid", "id", l2(F.col("q"), F.col(vector)).alias("distance"))
+    order = Window.partitionBy("qid").orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def ivf_knn(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probe: int, vector: str = "embedding", homes: int = 2) -> DataFrame:
     """Approximate (qid, id, distance, rank): exact squared distances inside the probed cells; every vector is indexed.
 
@@ -224,13 +260,48 @@ def ivf_knn(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray,
     """
     if not len(centres):
         return vector_knn(queries, vectors, k, "l2", vector=vector)
-    q = nearest_cells(queries.select(F.col("id").alias("qid"), F.col(vector).alias("q")).where("q is not null"), centres, probe, "q")
-    p = nearest_cells(vectors.select("id", vector).where(F.col(vector).isNotNull()), centres, homes, vector).withColumnRenamed("cells", "homes")
-    q, p = q.withColumn("cell", F.explode("cells")), p.withColumn("cell", F.explode("homes"))
-    near = q.join(p, "cell").where(F.col("cell") == F.array_intersect("homes", "cells")[0])
-    near = near.select("qid", "id", l2(F.col("q"), F.col(vector)).alias("distance"))
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _nearest_filed(_probe(queries, centres, probe, vector), _filed(vectors, centres, homes, vector), k, vector)
+
+
+def save_index(vectors: DataFrame, centres: np.ndarray, path: str, homes: int = 2, vector: str = "embedding") -> None:
+    """An inverted file on storage: ``path``/centres, and the filed vectors in ``path``/cells, a folder a cell."""
+    spark = vectors.sparkSession
+    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    _filed(vectors, centres, homes, vector).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+
+
+def load_centres(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # a row a cell
+
+
+def add_to_index(vectors: DataFrame, path: str, batch: str, homes: int = 2, vector: str = "embedding") -> None:
+    """File new vectors under the saved centres, as a batch that takes its own place when it is written again."""
+    filed = _filed(vectors, load_centres(vectors.sparkSession, path), homes, vector)
+    filed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/added/{batch}")
+
+
+def delete_from_index(ids: DataFrame, path: str, batch: str) -> None:
+    """Tombstones: these ids are left out of every search."""
+    ids.select("id").write.mode("overwrite").parquet(f"{path}/deleted/{batch}")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, probe: int, vector: str = "embedding") -> DataFrame:
+    """The k nearest of each query in a saved index; the folders of cells that no query probes are not read."""
+    centres = load_centres(spark, path)
+    q = _probe(queries, centres, probe, vector)
+    filed = spark.read.parquet(f"{path}/cells")
+    for batch in _folders(spark, f"{path}/added"):
+        filed = filed.unionByName(spark.read.parquet(batch))
+    if gone := _folders(spark, f"{path}/deleted"):
+        ids = spark.read.parquet(*gone).select(F.col("id").alias("__gone")).distinct()
+        filed = filed.join(ids, F.col("id") == F.col("__gone"), "left_anti")
+    return _nearest_filed(q, filed, k, vector)
 
 
 def in_degrees(neighbours: DataFrame) -> DataFrame:

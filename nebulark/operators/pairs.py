@@ -112,6 +112,13 @@ def count_r(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, split: int
     return _dense(counted(pairs.select(G.radial_bin(F.col("r"), bins).alias("ir")), "ir"), bins)
 
 
+def weighted_r(cat: DataFrame, cat2: DataFrame | None, bins: RadialBins, weight: str = "weight") -> DataFrame:
+    """(ir, n, w) of bins with pairs: their number and the sum of the products of both ends' weights."""
+    pairs = separated(range_pairs(cat, cat2, bins.high, keep=(weight,)), (F.col(f"{weight}1") * F.col(f"{weight}2")).alias("ww"))
+    sums = pairs.select(G.radial_bin(F.col("r"), bins).alias("__ir"), "ww").groupBy("__ir").agg(F.max("__ir").alias("ir"), F.count(F.lit(1)).alias("n"), F.sum("ww").alias("w"))
+    return sums.where("ir is not null").select("ir", "n", "w")
+
+
 def _oriented(pairs: DataFrame, turned: bool) -> DataFrame:
     """The separations, going to the larger id if ``turned``."""
     if not turned:
@@ -183,6 +190,29 @@ def xi_from_counts(counts: DataFrame, f1: float, f2: float, estimator: str, auto
     return counts.withColumn("xi", F.when(rr > 0, top / rr).otherwise(F.lit(0.0)))
 
 
+def xi_normalised(counts: DataFrame, n1: int, n2: int, r1: int, r2: int, auto: bool) -> DataFrame:
+    """Landy-Szalay xi from counts over their numbers of pairs, n^2 of a catalogue with itself.
+
+    Rows have dd and rr, and dr (auto: all D x R pairs) or d1r2 and d2r1; unordered counts of one
+    catalogue are doubled, so that a pair counts both ways as in n^2.
+    """
+    both = 2.0 if auto else 1.0
+    dd, rr = F.col("dd") * F.lit(both / (float(n1) * n2)), F.col("rr") * F.lit(both / (float(r1) * r2))
+    one = F.col("dr" if auto else "d1r2") / F.lit(float(n1) * r2)
+    two = one if auto else F.col("d2r1") / F.lit(float(n2) * r1)
+    return counts.withColumn("xi", F.when(F.col("rr") > 0, (dd - one - two + rr) / rr).otherwise(F.lit(0.0)))
+
+
+def xi_smu_rr(cat: DataFrame, random: DataFrame, bins: SmuBins, axis: str = "z") -> DataFrame:
+    """(ir, imu, n, rr, xi) of a catalogue against randoms: f^2 DD / RR - 1, 0 where there are no randoms."""
+    n, m = cat.count(), random.count()
+    rr = count_smu(random, None, bins, axis).withColumnRenamed("n", "rr")
+    f2 = F.lit((m / n) ** 2 if n else 0.0)
+    dd = F.coalesce("n", F.lit(0))
+    joined = rr.join(F.broadcast(count_smu(cat, None, bins, axis)), ["ir", "imu"], "left")  # a row a bin
+    return joined.select("ir", "imu", dd.cast("long").alias("n"), "rr", (f2 * dd / F.col("rr") - F.lit(1.0)).alias("xi"))
+
+
 def _beside(bins_of: DataFrame, name: str) -> DataFrame:
     return bins_of.withColumnRenamed("n", name)
 
@@ -201,7 +231,12 @@ def xi_auto(cat: DataFrame, bins: RadialBins, estimator: str = "ideal", random:
 
 
 def xi_cross(cat1: DataFrame, cat2: DataFrame, bins: RadialBins, estimator: str = "ideal", random1: DataFrame | None = None, random2: DataFrame | None = None) -> DataFrame:
-    """xi(r) of two catalogues; zero distances of shared points count in a bin that starts at 0."""
+    """xi(r) of two catalogues; zero distances of shared points count in a bin that starts at 0.
+
+    One catalogue given twice is that catalogue's own xi, with its first randoms.
+    """
+    if cat2 is cat1:
+        return xi_auto(cat1, bins, estimator, random1)
     n1, n2 = cat1.count(), cat2.count()
     dd = count_r(cat1, cat2, bins)
     if estimator == "ideal":
@@ -213,10 +248,34 @@ def xi_cross(cat1: DataFrame, cat2: DataFrame, bins: RadialBins, estimator: str
     return xi_from_counts(table, f1, f2, estimator, False)
 
 
-def project_smu(xi: DataFrame) -> DataFrame:
-    """xi(s): the RR-weighted mean over mu, 0 without weight."""
+def xi_2d(cat: DataFrame, bins: SmuBins | SpspBins, estimator: str = "ideal", random: DataFrame | None = None, cat2: DataFrame | None = None, random2: DataFrame | None = None, axis: str = "z") -> DataFrame:
+    """xi by (ir, imu) or (iperp, ipar): the bin, n (DD), rr and xi of every bin; ideal, RR or LS, one catalogue or two.
+
+    The line of sight of a full-angle count goes to the larger id, of two catalogues to the first.
+    """
+    smu = isinstance(bins, SmuBins)
+    keys = ["ir", "imu"] if smu else ["iperp", "ipar"]
+    count = lambda a, b: (count_smu if smu else count_spsp)(a, b, bins, axis)
+    n1, n2 = cat.count(), None if cat2 is None else cat2.count()
+    frame = (ideal_smu if smu else ideal_spsp)(cat.sparkSession, bins, pair_total(n1, n2))
+    if estimator == "ideal":
+        return xi_ideal(count(cat, cat2), frame, keys)
+    table = frame.select(*keys)
+    other = random if cat2 is None else random2
+    f1, f2 = random.count() / n1 if n1 else 0.0, other.count() / (n2 or n1) if n2 or n1 else 0.0
+    parts = {"dd": count(cat, cat2), "rr": count(random, None if cat2 is None else random2)}
+    if estimator == "LS":
+        parts |= {"dr": count(cat, random).withColumn("n", F.col("n") / F.lit(2.0))} if cat2 is None else {"d1r2": count(cat, random2), "d2r1": count(cat2, random)}
+    for name, counts in parts.items():
+        table = table.join(F.broadcast(counts.withColumnRenamed("n", name)), keys, "left")  # a row a bin
+    table = table.withColumns({name: F.coalesce(name, F.lit(0)) for name in parts})
+    return xi_from_counts(table, f1, f2, estimator, cat2 is None).select(*keys, F.col("dd").alias("n"), "rr", "xi")
+
+
+def project_smu(xi: DataFrame, *by: str) -> DataFrame:
+    """xi(s): the RR-weighted mean over mu, 0 without weight; of each value of the columns ``by``."""
     w = F.sum("rr")
-    return xi.groupBy("ir").agg(F.when(w > 0, F.sum(F.col("rr") * F.col("xi")) / w).otherwise(F.lit(0.0)).alias("xi"))
+    return xi.groupBy(*by, "ir").agg(F.when(w > 0, F.sum(F.col("rr") * F.col("xi")) / w).otherwise(F.lit(0.0)).alias("xi"))
 
 
 def project_spsp(xi: DataFrame, bins: SpspBins) -> DataFrame:

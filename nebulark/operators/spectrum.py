@@ -89,21 +89,30 @@ def correlation(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, particle
     return lags.select(radial_bin(F.col("r"), bins).alias("ir"), "v").where("ir is not null").groupBy("ir").agg(F.count(F.lit(1)).alias("cells"), F.avg("v").alias("xi"))
 
 
-def correlation_without_block(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, level: int, particles: int | None = None) -> DataFrame:
+def correlation_without_block(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, level: int, particles: int | None = None, mesh2: DataFrame | None = None) -> DataFrame:
     """(block_id, ir, xi) of leave-one-cube-out meshes: the cube's contrast is 0, the rest is scaled by
     sqrt(b / (b - 1)) for b = level^3 cubes and centred again.  All cubes go through the same passes.
+    Two meshes give their cross correlation, without shot noise.
     """
     blocks = level**3
     cube = lambda c: F.floor(F.col(c) * F.lit(level) / F.lit(n)).cast("int")
     owner = cube("iz") + level * (cube("iy") + level * cube("ix"))
-    cells = contrast(mesh, n).withColumn("owner", owner).withColumn("block_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     scale = F.lit((blocks / (blocks - 1)) ** 0.5)
-    cells = cells.withColumn("val", F.when(F.col("owner") == F.col("block_id"), F.lit(0.0)).otherwise(F.col("val") * scale))
-    means = cells.groupBy("block_id").agg(F.avg("val").alias("m"))
-    cells = cells.join(F.broadcast(means), "block_id").withColumn("val", F.col("val") - F.col("m"))  # a row a block
-    modes = fft.forward(cells, n, batch="block_id")
-    ks = _k(n)
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / window2(ks, n, scheme) - F.lit(shot_noise(n, particles))
+
+    def modes_of(field: DataFrame) -> DataFrame:
+        cells = contrast(field, n).withColumn("owner", owner).withColumn("block_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        cells = cells.withColumn("val", F.when(F.col("owner") == F.col("block_id"), F.lit(0.0)).otherwise(F.col("val") * scale))
+        means = cells.groupBy("block_id").agg(F.avg("val").alias("m"))
+        cells = cells.join(F.broadcast(means), "block_id").withColumn("val", F.col("val") - F.col("m"))  # a row a block
+        return fft.forward(cells, n, batch="block_id")
+
+    modes, ks = modes_of(mesh), _k(n)
+    if mesh2 is None:
+        power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / window2(ks, n, scheme) - F.lit(shot_noise(n, particles))
+    else:
+        cell = ["block_id", "ix", "iy", "iz"]
+        modes = modes.join(modes_of(mesh2).select(*cell, F.col("re").alias("re2"), F.col("im").alias("im2")), cell)
+        power = (F.col("re") * F.col("re2") + F.col("im") * F.col("im2")) / window2(ks, n, scheme)
     full = modes.select("block_id", "ix", "iy", "iz", F.when(_length(ks) > 0, power).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
     lags = fft.inverse(full, n, batch="block_id").select("block_id", radial_bin(_length(ks) / F.lit(float(n)), bins).alias("ir"), (F.col("re") / F.lit(float(n) ** 6)).alias("v"))
     return lags.where("ir is not null").groupBy("block_id", "ir").agg(F.avg("v").alias("xi"))

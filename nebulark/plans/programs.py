@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nebulark.config import AnalysisConfig, RadialBins, SmuBins, SpspBins
@@ -38,16 +38,35 @@ def halo_xi(halos: DataFrame, config: AnalysisConfig, halos2: DataFrame | None =
     return out.join(F.broadcast(mid), "ir").select("ir", "r", "xi")  # a row a bin
 
 
-def halo_xi_2d(halos: DataFrame, config: AnalysisConfig, mode: str = "smu", n2: int = 10, halos2: DataFrame | None = None) -> DataFrame:
-    """2-D xi with ideal pair numbers: (ir, imu, n, rr, xi) or (iperp, ipar, n, rr, xi); linear bins."""
+def bins_2d(config: AnalysisConfig, mode: str, n2: int) -> SmuBins | SpspBins:
+    """The 2-D bins of a program, linear in r."""
     r = config.radial_bins()
     r = RadialBins(r.low, r.high, r.n)
-    spark, total = halos.sparkSession, pairs.pair_total(halos.count(), halos2.count() if halos2 is not None else None)
-    if mode == "smu":
-        bins = SmuBins(r, n2, config.half_angle)
-        return pairs.xi_ideal(pairs.count_smu(halos, halos2, bins, config.axis), pairs.ideal_smu(spark, bins, total), ["ir", "imu"])
-    bins = SpspBins(r, r.high, n2, config.half_angle)
-    return pairs.xi_ideal(pairs.count_spsp(halos, halos2, bins, config.axis), pairs.ideal_spsp(spark, bins, total), ["iperp", "ipar"])
+    return SmuBins(r, n2, config.half_angle) if mode == "smu" else SpspBins(r, r.high, n2, config.half_angle)
+
+
+def halo_xi_2d(halos: DataFrame, config: AnalysisConfig, mode: str = "smu", n2: int = 10, halos2: DataFrame | None = None) -> DataFrame:
+    """2-D xi: (ir, imu, n, rr, xi) or (iperp, ipar, n, rr, xi), with the configured estimator."""
+    random = random2 = None
+    if config.estimator != "ideal":
+        random = _randoms(halos, config, 10 if halos2 is None else 1)
+        random2 = None if halos2 is None else _randoms(halos2, config, 2)
+    return pairs.xi_2d(halos, bins_2d(config, mode, n2), config.estimator, random, halos2, random2, config.axis)
+
+
+def projected(xi: DataFrame, config: AnalysisConfig, mode: str = "smu", n2: int = 10) -> DataFrame:
+    """The 1-D companion of a 2-D result: xi(s) by ir, or w_p by iperp."""
+    return pairs.project_smu(xi) if mode == "smu" else pairs.project_spsp(xi, bins_2d(config, mode, n2))
+
+
+def matter(spark: SparkSession, prefix: str, config: AnalysisConfig, redshift_space: bool = False, gravitational: bool = False) -> DataFrame:
+    """Particles of a snapshot in box units (id, x, y, z), shifted while they are read; blocks that no shift needs are skipped."""
+    out = spark.read.format("snapshot").option("velocities", str(redshift_space).lower()).option("potentials", str(gravitational).lower()).load(prefix)
+    if redshift_space:
+        out = catalog.shift_while_loading(out, config.box, config.axis)
+    if gravitational:
+        out = catalog.shift_while_loading(out, config.box, config.axis, "pot")
+    return out.select("id", *[(F.col(c) / F.lit(config.box.size)).alias(c) for c in ("x", "y", "z")])
 
 
 def halo_xi_jackknife(halos: DataFrame, config: AnalysisConfig) -> DataFrame:

@@ -760,12 +760,10 @@ def eps_range(spark, sf_dir):
 @query(
     "knn_multivector_docs",
     f"""{_vec_sql('l2')}, f AS (SELECT *, min(rank) OVER (PARTITION BY qid, label) AS first FROM k), g AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY qid ORDER BY first) AS INT) AS doc_rank FROM f)
-    SELECT qid, id, label, {rs('distance')} AS distance, rank, doc_rank FROM g WHERE doc_rank <= 3""",
+    SELECT qid, id, label, {rs('distance')} AS distance, doc_rank FROM g WHERE doc_rank <= 3""",
 )
 def knn_multivector_docs(spark, sf_dir):
-    asked, v = _vectors(spark, sf_dir)
-    ranked = neighbors.vector_knn(asked, v, v.count(), "l2", keep=("label",))
-    return _rounded(neighbors.until_documents(ranked, 3), "distance").select("qid", "id", "label", "distance", "rank", "doc_rank")
+    return _rounded(neighbors.in_documents(*_vectors(spark, sf_dir), 3), "distance")
 
 _ANGLE = f"(CASE WHEN abs(p.x - q.x)*{d(2 * math.pi)} > pi() THEN {d(2 * math.pi)} - abs(p.x - q.x)*{d(2 * math.pi)} ELSE abs(p.x - q.x)*{d(2 * math.pi)} END)"
 
@@ -779,6 +777,16 @@ def ivf_knn(spark, sf_dir):
     asked, v = _vectors(spark, sf_dir)
     return neighbors.ivf_knn(asked, v, 10, neighbors.train_cells(v, 16), 8)
 
+@query("ivf_recall", "SELECT CAST(count(*) AS BIGINT)*10 AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark, sf_dir):
+    """Of the exact ten neighbours of each query, at least nine in ten are found by the saved index."""
+    asked, v = _vectors(spark, sf_dir)
+    path = work_path(spark, "cells")
+    neighbors.save_index(v, neighbors.train_cells(v, 16), path)
+    exact = neighbors.vector_knn(asked, v, 10).select("qid", "id")
+    found = neighbors.search_index(spark, path, asked, 10, 8).select("qid", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
 @query("knn_in_degree", f"{_vec_sql('l2')} SELECT id, count(*) AS n, CAST(sum(CASE WHEN id = qid THEN 1 ELSE 0 END) AS BIGINT) AS self_links, CAST(0 AS BIGINT) AS repeats FROM k WHERE rank <= 10 GROUP BY id")
 def knn_in_degree(spark, sf_dir):
     return neighbors.in_degrees(neighbors.vector_knn(*_vectors(spark, sf_dir), 10, "l2"))
@@ -792,8 +800,9 @@ def _path_sql(level: int) -> str:
 
 @query(
     "octree_leaves",
-    f"""WITH {view_sql('halos')}, c AS ({' UNION ALL '.join(f"SELECT {lv} AS level, {_path_sql(lv)} AS path, count(*) AS n FROM halos GROUP BY 2" for lv in range(_LEVELS + 1))})
-    SELECT CAST(c.level AS INT) AS level, c.path, c.n FROM c LEFT JOIN c p ON p.level = c.level - 1 AND p.path = c.path >> 3 WHERE (c.n <= 16 OR c.level = {_LEVELS}) AND (c.level = 0 OR p.n > 16)""",
+    f"""WITH {view_sql('halos')}, deep AS (SELECT {_path_sql(_LEVELS)} AS path, count(*) AS n FROM halos GROUP BY 1),
+    c AS (SELECT CAST(l.range AS INT) AS level, path >> CAST(3*({_LEVELS} - l.range) AS INT) AS path, CAST(sum(n) AS BIGINT) AS n FROM deep, range({_LEVELS + 1}) l GROUP BY 1, 2)
+    SELECT c.level, c.path, c.n FROM c LEFT JOIN c p ON p.level = c.level - 1 AND p.path = c.path >> 3 WHERE (c.n <= 16 OR c.level = {_LEVELS}) AND (c.level = 0 OR p.n > 16)""",
 )
 def octree_leaves(spark, sf_dir):
     return neighbors.octree_leaves(view(spark, sf_dir, "halos"), 16, _LEVELS)

@@ -2,8 +2,8 @@
 
 A file is a sequence of blocks, each framed by its length as a 4-byte integer: a 256-byte header,
 then positions (f32 x 3), velocities (f32 x 3), ids (u64) and potentials (f32 x 2).  One file is one
-input partition; blocks that the query does not need are skipped; a position range given as a filter
-is applied while reading.  Files are named prefix.N, or prefix.D/N with D = N / 1000.
+input partition, read in slices; blocks that the options leave out are skipped; a position range given as
+a filter is applied while reading.  Files are named prefix.N, or prefix.D/N with D = N / 1000.
 
 Files are opened through pyarrow, so a path may be a URI of any file system it knows.
 """
@@ -25,15 +25,19 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 # The header's layout (6 species), padded to 256 bytes.
 HEADER = struct.Struct("<6I6d2d2i6I2i4d2i6I")
 HEADER_BYTES = 256
+#: Particles read at a time.
+SLICE = 1 << 16
+#: Particles of a file, if the number of files is left open.
+FILE_ROWS = 1 << 22
 SCHEMA = StructType([StructField("id", LongType()), *[StructField(c, DoubleType()) for c in ("x", "y", "z", "vx", "vy", "vz", "pot")]])
 
 
 def header_of(raw: bytes) -> dict:
     """Counts, scale factor, box and cosmology; total = low word + 2^32 high word; particle mass in 1e10 units."""
     v = HEADER.unpack_from(raw)
-    n, mass, (a, z), total, high = v[:6], v[6:12], v[12:14], v[16:22], v[28:34]
+    n, mass, (a, z), total, high = v[:6], v[6:12], v[12:14], v[16:22], v[30:36]
     nfiles, (box, om, ol, h) = v[23], v[24:28]
-    return {"count": n[1], "total": total[1] + (v[30 + 1] << 32), "mass": mass[1] * 1e10, "a": a, "z": z, "files": nfiles, "box": box, "omega_m": om, "omega_l": ol, "h": h, "high": high}
+    return {"count": n[1], "total": total[1] + (high[1] << 32), "mass": mass[1] * 1e10, "a": a, "z": z, "files": nfiles, "box": box, "omega_m": om, "omega_l": ol, "h": h}
 
 
 def pack_header(count: int, total: int, mass: float, a: float, files: int, box: float, om: float, ol: float, h: float) -> bytes:
@@ -52,9 +56,13 @@ def write_file(path: str, header: bytes, pos: np.ndarray, vel: np.ndarray, ids:
             out.write(mark + block + mark)
 
 
-def write(particles: DataFrame, prefix: str, files: int, box: float = 1.0, a: float = 1.0, om: float = 0.3, ol: float = 0.7, h: float = 0.7) -> int:
-    """Write (id, x, y, z, vx, vy, vz, pot) as ``files`` files, one a group of rows by id; returns the row count."""
+def write(particles: DataFrame, prefix: str, files: int | None = None, box: float = 1.0, a: float = 1.0, om: float = 0.3, ol: float = 0.7, h: float = 0.7) -> int:
+    """Write (id, x, y, z, vx, vy, vz, pot) as ``files`` files, one a group of rows by id; returns the row count.
+
+    A task holds a file's rows: left open, ``files`` follows the number of rows, about FILE_ROWS each.
+    """
     total = particles.count()
+    files = files or max(1, -(-total // FILE_ROWS))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         k, n = int(rows["k"].iloc[0]), len(rows)
@@ -105,32 +113,26 @@ class _Reader(DataSourceReader):
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         fs, name = pafs.FileSystem.from_uri(split.path)
         with fs.open_input_file(name) as f:
-            at = 0
-
-            def block(wanted: bool = True) -> bytes:
-                nonlocal at
-                (n,) = struct.unpack("<I", f.read_at(4, at))
-                raw = f.read_at(n, at + 4) if wanted else b""
-                at += n + 8
-                return raw
-
-            head = header_of(block())
-            n = head["count"]
-            pos = np.frombuffer(block(), "<f4").reshape(n, 3).astype(np.float64)
-            pos = np.where(pos < 0, pos + head["box"], np.where(pos >= head["box"], pos - head["box"], pos))
-            vel = np.frombuffer(block(self.need_vel), "<f4").reshape(-1, 3).astype(np.float64) * head["a"] ** 0.5
-            ids = np.frombuffer(block(), "<u8").astype(np.int64)
-            pot = np.frombuffer(block(self.need_pot), "<f4").reshape(-1, 2).astype(np.float64).sum(1)
-        keep = np.ones(n, bool)
-        tests = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal, EqualTo: np.equal}
-        for r in self.ranges:
-            keep &= tests[type(r)](pos[:, "xyz".index(r.attribute[0])], r.value)
-        none = pa.nulls(int(keep.sum()), pa.float64())
-        cols = [pa.array(ids[keep]), *[pa.array(pos[keep, i]) for i in range(3)]]
-        cols += [pa.array(vel[keep, i]) if len(vel) else none for i in range(3)] + [pa.array(pot[keep]) if len(pot) else none]
-        batch = pa.RecordBatch.from_arrays(cols, names=SCHEMA.names)
-        for i in range(0, batch.num_rows, 1 << 16):
-            yield batch.slice(i, 1 << 16)
+            at, starts = 0, []
+            while len(starts) < 5:  # header, positions, velocities, ids, potentials
+                starts.append(at + 4)
+                at += struct.unpack("<I", f.read_at(4, at))[0] + 8
+            head = header_of(f.read_at(HEADER_BYTES, starts[0]))
+            tests = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal, EqualTo: np.equal}
+            for first in range(0, head["count"], SLICE):
+                n = min(SLICE, head["count"] - first)
+                part = lambda k, kind, width: np.frombuffer(f.read_at(n * width * np.dtype(kind).itemsize, starts[k] + first * width * np.dtype(kind).itemsize), kind).reshape(n, width)  # noqa: B023, E731
+                pos = part(1, "<f4", 3).astype(np.float64)
+                pos = np.where(pos < 0, pos + head["box"], np.where(pos >= head["box"], pos - head["box"], pos))
+                keep = np.ones(n, bool)
+                for r in self.ranges:
+                    keep &= tests[type(r)](pos[:, "xyz".index(r.attribute[0])], r.value)
+                none = pa.nulls(int(keep.sum()), pa.float64())
+                cols = [pa.array(part(3, "<u8", 1)[keep, 0].astype(np.int64)), *[pa.array(pos[keep, i]) for i in range(3)]]
+                vel = part(2, "<f4", 3).astype(np.float64) * head["a"] ** 0.5 if self.need_vel else None
+                cols += [none if vel is None else pa.array(vel[keep, i]) for i in range(3)]
+                cols.append(pa.array(part(4, "<f4", 2).astype(np.float64).sum(1)[keep]) if self.need_pot else none)
+                yield pa.RecordBatch.from_arrays(cols, names=SCHEMA.names)
 
 
 class SnapshotSource(DataSource):

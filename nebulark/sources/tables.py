@@ -11,12 +11,19 @@ PARTICLES = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c,
 
 
 def read_halos(spark: SparkSession, *paths: str, fields: tuple[str, ...] | None = None) -> DataFrame:
-    """A catalogue of one or many Parquet parts; only the named fields are read.  ValueError if one is missing."""
+    """A catalogue of one or many Parquet parts; only the named fields are read.
+
+    ValueError if one is missing, or if its type is not a number where one is wanted (a widening is no error).
+    """
     df = spark.read.parquet(*paths)
     wanted = fields or tuple(HALOS.names)
     if missing := [c for c in wanted if c not in df.columns]:
         raise ValueError(f"the catalogue lacks {', '.join(missing)}")
     kinds = {f.name: f.dataType for f in HALOS.fields}
+    found = {f.name: f.dataType for f in df.schema.fields}
+    for c in wanted:
+        if c in kinds and (not isinstance(found[c], T.NumericType) or isinstance(kinds[c], T.IntegralType) and not isinstance(found[c], T.IntegralType)):
+            raise ValueError(f"{c} is {found[c].simpleString()}, not {kinds[c].simpleString()}")
     return df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in wanted])
 
 
@@ -66,6 +73,52 @@ def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Names of the cell axes.
+CELL = ("ix", "iy", "iz")
+
+
+def write_field(field: DataFrame, path: str, n: int, size: float, *values: str) -> None:
+    """A moment field on storage: cells with their values as 32-bit floats, the mesh size and the box; one component or many."""
+    rows = field.select(*CELL, *[F.col(v).cast("float").alias(v) for v in values])
+    rows.withColumns({"n": F.lit(n), "size": F.lit(size)}).repartition("ix").write.mode("overwrite").parquet(path)
+
+
+def read_field(spark: SparkSession, path: str, *values: str) -> DataFrame:
+    """Cells and the named components (all, if none is named) of a field; only their columns are read."""
+    df = spark.read.parquet(path)
+    names = values or tuple(c for c in df.columns if c not in (*CELL, "n", "size"))
+    return df.select(*CELL, *names)
+
+
+def write_modes(modes: DataFrame, path: str, n: int, size: float) -> None:
+    """The stored half (iz up to n/2) of a Fourier mesh: ix, iy, iz, re, im, with n, the count of floats and the box."""
+    half = modes.where(F.col("iz") <= n // 2).select(*CELL, "re", "im")
+    half.withColumns({"n": F.lit(n), "floats": F.lit(2 * n * n * (n // 2 + 1)).cast("long"), "size": F.lit(size)}).repartition("ix").write.mode("overwrite").parquet(path)
+
+
+#: Columns behind r and xi of the four layouts of xi(r).
+XI_LAYOUTS = {"auto": ("dd", "rr"), "LS": ("dd", "dr", "rr"), "cross LS": ("dd", "d1r2", "d2r1", "rr"), "transform": ("weight",)}
+
+
+def write_xi(table: DataFrame, path: str, lead: tuple[str, ...] = ("r",), value: str = "xi", layout: str | None = "auto") -> None:
+    """xi, or a 2-D or projected one, as text: a # line of names, then a line a bin in scientific notation, in order.
+
+    ``lead`` are the bin's coordinates, ``layout`` names what follows the value (None: nothing).  A row a bin: one file.
+    """
+    names = [*lead, value, *(XI_LAYOUTS[layout] if layout else ())]
+    line = F.concat_ws(" ", *[F.format_string("%.10e", F.col(c).cast("double")) for c in names])
+    rows = table.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(lead)], line.alias("value")).orderBy(*[f"o{i}" for i in range(len(lead))])
+    head = table.sparkSession.createDataFrame([("# " + " ".join(names),)], "value string")
+    head.unionByName(rows.select("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_columns(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """Numbers of a text table whose # lines are comments, under the given names."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(parts.alias("p"))
+    return rows.select(*[F.col("p")[i].cast("double").alias(c) for i, c in enumerate(names)])
+
+
 def write_columns(table: DataFrame, path: str, *order: str) -> None:
     """Space-separated text sorted by ``order``: spectra and correlation functions."""
     table.orderBy(*order).write.mode("overwrite").option("sep", " ").csv(path)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from nebulark.plans.queries import ORACLE, QUERIES
+from nebulark.plans.analyses import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
