@@ -21,7 +21,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     digest = F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)
-    return exact_dedup.exact_dedup(docs.withColumn("text_sha256", digest), carry=("text_sha256",))
+    return exact_dedup.exact_dedup(docs.withColumn("text_sha256", digest), carry=("text_sha256",), digest="text_sha256")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
