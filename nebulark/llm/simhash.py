@@ -4,9 +4,9 @@ A 64-bit fingerprint is cut into 32 segments of two bits and mapped to its count
 The Manhattan distance of two count vectors never exceeds the Hamming distance, so it prunes first.
 The counts are kept in unary (0, 01, 11): then the Manhattan distance is itself a popcount.
 
-Range join: the segments form GROUPS groups; vectors within MAX_BITS of each other agree exactly on
-at least GROUPS - MAX_BITS groups, so each choice of so many groups is a grid whose cells hold all
-pairs in reach.  Only distinct fingerprints enter; cells with one member are dropped; a cell with
+Range join: the segments form MAX_BITS + s groups; vectors within MAX_BITS of each other agree exactly
+on at least s groups, so each choice of s groups is a grid whose cells hold all pairs in reach.  More
+fingerprints get more groups: more grids, each much finer, so cells stay sparse.  Only distinct fingerprints enter; cells with one member are dropped; a cell with
 more than BLOCK members is dealt out as pairs of blocks.  A task emits a link only between
 fingerprints that its earlier links have not joined already, so a dense cell gives about as many
 links as members, and components come out the same.
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nebulark.llm._common import attach_groups, id_key, keep_in_bitmap, key_bitmap, mapped, materialize, text_of
+from nebulark.llm._common import attach_groups, id_key, keep_in_bitmap, key_bitmap, mapped, materialize, row_key, text_of, without_rows
 from nebulark.llm.components import components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-GROUPS = 7
+#: Groups of segments beyond the bits that may differ, by the number of distinct fingerprints up to which they are used.
+SPARE_GROUPS = ((1 << 23, 3), (1 << 29, 5), (1 << 63, 7))
 BLOCK = 2048
 _PART = 1 << 15  # shingles hashed at a time
 _ODD = 0x5555555555555555
@@ -130,8 +131,14 @@ def _links_in_cells(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[
         yield links(*gathered())
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def groups_for(fingerprints: int, max_bits: int = MAX_BITS) -> int:
+    """Groups of segments for so many distinct fingerprints; any number above ``max_bits`` finds all links."""
+    return max_bits + next(s for n, s in SPARE_GROUPS if fingerprints <= n)
+
+
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints (column fp) within ``max_bits``, as components see them."""
+    groups = groups or groups_for(distinct.count(), max_bits)
     emb = segment_counts(F.col("fp"))
     grids = F.array(*[F.xxhash64(F.lit(i), F.col("emb").bitwiseAND(F.lit(m))) for i, m in enumerate(grid_masks(groups, max_bits))])
     rows = distinct.select("fp", emb.alias("emb")).select("fp", "emb", F.explode(grids).alias("cell"))
@@ -149,16 +156,18 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, groups: int = GROU
     return rows.mapInPandas(lambda batches: _links_in_cells(batches, max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, component_size, with ``mark`` the text's hash.
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, component_size; with ``mark`` also mark and stays.
 
     Fingerprints that differ in ``max_bits`` bits or fewer are linked; a component's id is its
     smallest doc_id.  Null and empty texts, and texts of white space, have fingerprint zero and link
     like any other.  A null id is a member but never a component's id unless no member has one.
-    Repeated rows are members each.  Empty input gives no rows; other columns are ignored.
+    Repeated rows are members each.  Empty input gives no rows; other columns are ignored.  ``mark`` is
+    the text's hash, ``stays`` true for the rows with the smallest id and, of those, the smallest mark.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, mark), "simhash-docs")
-    nodes = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")), "simhash-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *["mark"] * mark))
+    nodes = materialize(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), first.alias("rep")), "simhash-nodes")
     linked = materialize(components(near_links(nodes.select("fp"), max_bits, groups)), "simhash-linked")
     members = materialize(linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "n", "rep"), "simhash-members")
     tops = materialize(members.groupBy("root").agg(F.min("rep").alias("top"), F.sum("n").alias("size")), "simhash-tops")
@@ -167,22 +176,23 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GRO
     groups_ = materialize(joined.unionByName(single).withColumn("key", F.col("fp").cast("string")).drop("fp"), "simhash-groups")
     out = attach_groups(marked.withColumn("key", F.col("fp").cast("string")), groups_, "key", "n")
     alone = F.col("n").isNull()
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("top.id")) & (F.col("mark") == F.col("top.mark"))) if mark else None
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("top")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.id")).alias("component_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("component_size"),
-        *["mark"] * mark,
+        *(["mark", stays.alias("stays")] if mark else []),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id, with all their columns.
+    """One row of each component of ``docs``, the one with the smallest id, with all its columns.
 
     Rows are told apart by id and text, so an id used for two texts, or a null id, loses only the
-    rows whose own component has a smaller id.  Rows that share the id that stays all stay.
+    rows whose own component has a smaller id (or, of one id, a text with a smaller hash).  Rows with
+    equal ids and texts stay or go together: exact dedup tells those.  Only rows that may have to go move.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("__drop"), F.col("mark").alias("__drop_mark"))
-    rows = docs.withColumn("__id", id_key(id_col)).withColumn("__mark", _mark(text_col))
-    return rows.join(dropped, (F.col("__id") == F.col("__drop")) & (F.col("__mark") == F.col("__drop_mark")), "left_anti").drop("__id", "__mark")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, mark=True).where("not stays")
+    gone = found.select(F.concat(F.col("mark").cast("string"), F.lit(":"), id_key("doc_id")).alias("key"))
+    return without_rows(docs, row_key(id_col, text_col), materialize(gone, "simhash-gone"))
