@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from nebulark.llm._common import id_key, materialize, text_of
+from nebulark.llm._common import materialize, row_key, text_of, without_rows
 
 WINDOW = 5
 #: A window has at least so many literals.
@@ -218,13 +218,8 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, lengths: tuple[
     return rows.select("key", "text").mapInPandas(run, f"key {dict(rows.dtypes)['key']}, {_SCHEMA}")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    """Tells rows apart by id and text; never null."""
-    return F.concat(F.xxhash64(text_of(text_col)).cast("string"), F.lit(":"), id_key(id_col))
-
-
 def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_id: str, item_text: str, without_id: bool) -> DataFrame:
-    """As ``contaminated``, with _row_key as doc_id."""
+    """As ``contaminated``, with row_key as doc_id."""
     items = benchmark.select(F.col(item_id).alias("key"), text_of(item_text).alias("text")).where("key is not null")
     known = materialize(template_windows(items, None), "benchmark-windows").withColumnsRenamed({"key": "item_id", "pos": "item_pos", "slots": "item_slots", "total": "n_windows"})
     n = known.count()
@@ -236,7 +231,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str,
     lengths = tuple(sorted(x["length"] for x in known.where("length > 0").select("length").distinct().collect()))  # a number a length
     known = F.broadcast(known) if n <= BROADCAST_WINDOWS else known
     rows = docs if without_id else docs.where(F.col(id_col).isNotNull())
-    rows = rows.select(_row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = rows.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     hits = template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total").join(known, ["hash", "length"])
     pairs = F.expr("arrays_zip(item_slots, slots)")
     diagonals = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
@@ -264,6 +259,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns; rows without id stay unless ``without_id``."""
-    found = _found(docs, benchmark, COVERAGE, id_col, text_col, "item_id", "text", without_id).select(F.col("doc_id").alias("__drop")).distinct()
-    keyed = docs.withColumn("__row", _row_key(id_col, text_col))
-    return keyed.join(found, F.col("__row") == F.col("__drop"), "left_anti").drop("__row")
+    found = _found(docs, benchmark, COVERAGE, id_col, text_col, "item_id", "text", without_id).select(F.col("doc_id").alias("key")).distinct()
+    return without_rows(docs, row_key(id_col, text_col), materialize(found, "benchmark-found"))
