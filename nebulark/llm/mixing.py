@@ -71,24 +71,32 @@ def divisor(shards: DataFrame, seats: int, guess: float, rounds: int = 8, width:
     return high
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, whole_rows: bool = False) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies, spans.
 
+    With ``whole_rows`` the columns of ``docs`` come first instead of doc_id and source; they move once, with the
+    shuffle that lays shards out, and one of theirs that has the name of a column added here gives way.
+
     ``copies`` is how often the whole document is taken, ``spans`` (start, end) are the word ranges
     taken once more; ``taken`` is the words of both.  A null text has size 0 and takes nothing; a
-    null source is a source of its own, last in order.  Repeated rows count each; null ids are
-    allowed.  Empty input gives no rows; other columns are ignored.  The same input and seed give
+    null source is a source of its own, last in order.  Repeated rows count each (those equal in id and
+    text may exchange what is taken of them); null ids are allowed.  Empty input gives no rows; other columns are ignored.  The same input and seed give
     the same mix whatever the partitioning.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    mark = F.xxhash64(text_of(text_col), F.col(id_col), F.lit(seed))  # rows without id, or of one id, spread too
     skey = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = materialize(sized.withColumn("skey", skey), "mix-sizes")
+    row = [F.struct(*docs.columns).alias("__row")] * whole_rows
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), mark.alias("__mark"), *row).withColumn("skey", skey)
+    sized = materialize(plain.drop("__row"), "mix-sizes")
     sources = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     targets = materialize(source_targets(sources, weights, share, most), "mix-targets")
     slices = F.greatest(F.lit(1), F.ceil(F.col("source_docs") / F.lit(SHARD_DOCS)))
-    placed = attach_groups(sized, targets.drop("source"), "skey", "source_docs")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), slices).cast("long")).drop("source_docs")
 
+    def place(rows: DataFrame) -> DataFrame:
+        rows = attach_groups(rows, targets.drop("source"), "skey", "source_docs", F.col("__mark"))
+        return rows.withColumn("shard", F.pmod("__mark", slices).cast("long")).drop("source_docs")
+
+    placed = place(sized)
     by_shard = ["skey", "shard"]
     shards = placed.groupBy(*by_shard).agg(F.sum("size").alias("shard_size"), F.first("target").alias("t"), F.first("source_size").alias("z"))
     votes = F.when(F.col("z") > 0, F.col("t") * F.col("shard_size") / F.col("z")).otherwise(F.lit(0.0))
@@ -99,7 +107,8 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), sha
     quota = F.least(F.floor(F.col("votes") / F.lit(d) + F.lit(0.5)).cast("long"), F.floor(blocks * F.lit(most)).cast("long"))
 
     whole = Window.partitionBy(*by_shard)
-    inside = whole.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = whole.orderBy(F.xxhash64("__mark", F.lit(seed + 1)), "doc_id", "__mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = place(plain) if whole_rows else placed
     rows = placed.withColumn("end_", F.sum("size").over(inside)).withColumn("start_", F.col("end_") - F.col("size")).withColumn("shard_size", F.sum("size").over(whole))
     rows = rows.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("blocks", blocks).withColumn("quota", quota)
@@ -114,4 +123,6 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple = (3, 1, 2), sha
     )
     rows = rows.withColumn("spans", chosen)
     taken = F.col("size") * F.col("copies") + F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "copies", "spans")
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long"), "copies": F.col("copies"), "spans": F.col("spans")}
+    own = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in added] if whole_rows else ["doc_id", "source"]
+    return rows.select(*own, *[v.alias(c) for c, v in added.items()])
