@@ -8,13 +8,12 @@ of which it takes nothing.
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nebulark.llm import decontam, exact_dedup, mixing, queries, simhash, toxicity
-from nebulark.llm._common import id_key, materialize
+from nebulark.llm._common import drop_work_tables, materialize, scratch
 from nebulark.plans.work import ship
 
 
@@ -37,13 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with size, source_size, target, taken, copies (whole) and spans (words taken once more)."""
-    mixed = mixing.mix_sources(docs).select(id_key("doc_id").alias("__mixed"), "size", "source_size", "target", "taken", "copies", "spans")
-    nth = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))  # noqa: E731  tells rows apart that share an id
-    mixed = mixed.withColumn("__mixed_nth", nth("__mixed", "size"))
-    rows = docs.withColumn("__id", id_key("doc_id"))
-    rows = rows.withColumn("__nth", nth("__id", mixing.word_count("text")))
-    joined = rows.join(mixed, (F.col("__id") == F.col("__mixed")) & (F.col("__nth") == F.col("__mixed_nth"))).where("taken > 0")
-    return joined.drop("__id", "__nth", "__mixed", "__mixed_nth")
+    return mixing.mix_sources(docs, whole_rows=True).where("taken > 0")
 
 
 def _shipped(stage):
@@ -68,8 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each one's result written before the next reads it.
+
+    A stage's work tables, and the result of the one before, go once its own result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as outside:
+            folder = f"{outside}/pipeline-{uuid.uuid4().hex}"
+            docs = materialize(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            drop_work_tables(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
