@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from nebulark.llm._common import materialize, row_key, text_of, without_rows
@@ -67,7 +69,7 @@ def sequences(words: np.ndarray, length: int) -> np.ndarray:
 class Templates:
     """Tokens of texts: a template hash, a slot type (0 literal) and the word, for each.
 
-    Raw words are remembered in growing arrays, up to a bound.
+    Raw words are remembered in growing arrays, up to a bound (some 90 MB).
     """
 
     MOST = 500_000
@@ -215,13 +217,19 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, lengths: tuple[
             if out:
                 yield pd.DataFrame(out, columns=["key", "pos", "hash", "slots", "total", "length"])
 
-    return rows.select("key", "text").mapInPandas(run, f"key {dict(rows.dtypes)['key']}, {_SCHEMA}")
+    return rows.select("key", "text").mapInPandas(run, f"key string, {_SCHEMA}")
+
+
+def _id_of(key: str, kind: DataType) -> Column:
+    """The id in a row_key, null if the row has none."""
+    named = F.expr(f"substring({key}, instr({key}, ':') + 1)")
+    return F.when(named != "null", F.substring(named, 2, 1 << 30)).cast(kind)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_id: str, item_text: str, without_id: bool) -> DataFrame:
     """As ``contaminated``, with row_key as doc_id."""
-    items = benchmark.select(F.col(item_id).alias("key"), text_of(item_text).alias("text")).where("key is not null")
-    known = materialize(template_windows(items, None), "benchmark-windows").withColumnsRenamed({"key": "item_id", "pos": "item_pos", "slots": "item_slots", "total": "n_windows"})
+    items = benchmark.where(F.col(item_id).isNotNull()).select(row_key(item_id, item_text).alias("key"), text_of(item_text).alias("text")).dropDuplicates(["key"])
+    known = materialize(template_windows(items, None), "benchmark-windows").withColumnsRenamed({"key": "item", "pos": "item_pos", "slots": "item_slots", "total": "n_windows"})
     n = known.count()
     # The bitmap has a fixed size: its set positions come a distinct slot at a time, 2**BITMAP_BITS at most.
     place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS).cast("int")
@@ -229,32 +237,44 @@ def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str,
     for part in known.select(place.alias("p")).distinct().toLocalIterator():
         wanted[part["p"]] = True
     lengths = tuple(sorted(x["length"] for x in known.where("length > 0").select("length").distinct().collect()))  # a number a length
-    known = F.broadcast(known) if n <= BROADCAST_WINDOWS else known
+    small = F.broadcast if n <= BROADCAST_WINDOWS else (lambda df: df)
     rows = docs if without_id else docs.where(F.col(id_col).isNotNull())
     rows = rows.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    hits = template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total").join(known, ["hash", "length"])
+    seen = materialize(template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total"), "benchmark-seen")
+
+    # A document must hold some of the item's rarest windows: with n of them and k needed, one of the n - k + 1 rarest.
+    # So boilerplate that many items and documents share brings no pair forward; it is only looked up for pairs found otherwise.
+    often = seen.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("often"))
+    met = materialize(often.join(small(known.select("hash", "length", "item", "item_pos", "n_windows")), ["hash", "length"]), "benchmark-met")
+    places = known.select("item", "item_pos", "n_windows").distinct().join(met.groupBy("item", "item_pos").agg(F.sum("often").alias("often")), ["item", "item_pos"], "left")
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "item_pos")
+    probes = places.withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(coverage - 1e-9)) + 1)
+    probes = materialize(met.join(probes.where("often > 0").select("item", "item_pos"), ["item", "item_pos"]).select("hash", "length", "item").distinct(), "benchmark-probes")
+    candidates = seen.select("doc_id", "hash", "length").join(small(probes), ["hash", "length"]).select("doc_id", "item").distinct()
+    hits = seen.join(candidates, "doc_id").join(small(known), ["item", "hash", "length"])
+
     pairs = F.expr("arrays_zip(item_slots, slots)")
-    diagonals = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    diagonals = hits.groupBy("doc_id", "item", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     diagonals = diagonals.where("size(array_distinct(transform(pairs, p -> p.item_slots))) = size(pairs)")
     diagonals = diagonals.withColumn("changed", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
-    found = diagonals.select("doc_id", "item_id", "n_windows", "changed", F.explode("at").alias("p")).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("p").alias("found"), F.min("changed").alias("changed"))
-    return found.withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "coverage", "n_windows", "changed")
+    found = diagonals.select("doc_id", "item", "n_windows", "changed", F.explode("at").alias("p")).groupBy("doc_id", "item", "n_windows").agg(F.countDistinct("p").alias("found"), F.min("changed").alias("changed"))
+    found = found.withColumn("coverage", F.col("found") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    best = F.max(F.struct("coverage", (~F.col("changed")).alias("same"), "n_windows")).alias("b")  # of the texts of one item id
+    return found.groupBy("doc_id", _id_of("item", benchmark.schema[item_id].dataType).alias("item_id")).agg(best).select("doc_id", "item_id", "b.coverage", "b.n_windows", (~F.col("b.same")).alias("changed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", without_id: bool = False) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, changed) of each document that holds enough of an item.
 
     ``coverage`` is the share of the item's windows found on consistent diagonals, ``changed`` whether
-    a slot differs.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
+    a slot differs on all of these.  Texts that share an item id are items each; the best one counts.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
     words, or too many slots) matches its exact words in any case, one of fewer than LITERALS words
     only as whole lines; a text or item without words matches nothing.  Rows with one id are told
     apart by their texts, equal ones are one document; rows without id are left out unless
     ``without_id``.  Empty tables give no rows; other columns are ignored.
     """
     found = _found(docs, benchmark, coverage, id_col, text_col, item_id, item_text, without_id)
-    key = F.expr("substring(doc_id, instr(doc_id, ':') + 1)")
-    doc_id = F.when(key != "null", F.substring(key, 2, 1 << 30)).cast(docs.schema[id_col].dataType)
-    return found.select(doc_id.alias("doc_id"), "item_id", "coverage", "n_windows", "changed")
+    return found.select(_id_of("doc_id", docs.schema[id_col].dataType).alias("doc_id"), "item_id", "coverage", "n_windows", "changed")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
