@@ -47,30 +47,26 @@ def knn(queries: DataFrame, points: DataFrame, k: int, periodic: bool = False, f
     """Exact k nearest neighbours (qid, id, d2, rank) of points in the unit box.
 
     Rounds of range joins: a query with k points nearer than the radius is done, the others go on with
-    twice the radius, so dense regions never see far points.  Once the radius spans the box every
-    point is in reach.
+    twice the radius, so dense regions never see far points.  Queries that are left when the grid would
+    have few cells (outliers, or k near the number of points) meet all points in blocks.
     """
     n = points.count()
     if n == 0 or k < 1:
         return radius_search(queries, points, 0.1).withColumn("rank", F.lit(1)).limit(0)
-    r = first_radius or min(1.0, 1.3 * (3.0 * k / (4.0 * np.pi * n)) ** (1 / 3))
-    span = 0.9 if periodic else 1.8
+    r = first_radius or 1.3 * (3.0 * k / (4.0 * np.pi * n)) ** (1 / 3)
     done, left = None, queries
-    while True:
-        last = r >= span
-        near = radius_search(left, points, r, closed=False, periodic=periodic)
-        found = top_k(near, k)
-        if not last:
-            found = cut(found)
-            full = found.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min(k, n)).select("qid")
-            found = found.join(full, "qid", "left_semi")
+    while r < 1 / 3:
+        found = cut(top_k(radius_search(left, points, r, closed=False, periodic=periodic), k))
+        full = found.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min(k, n)).select("qid")
+        found = found.join(full, "qid", "left_semi")
         done = found if done is None else done.unionByName(found)
-        if last:
-            return done
         left = cut(left.join(full, F.col("id") == F.col("qid"), "left_anti"))
         if left.isEmpty():
             return done
-        r = min(2 * r, span)
+        r *= 2
+    as_vector = lambda df: df.select("id", F.array(*AXES).alias("embedding"))
+    rest = vector_knn(as_vector(left), as_vector(points), k, "box" if periodic else "l2").withColumnRenamed("distance", "d2")
+    return rest if done is None else done.unionByName(rest)
 
 
 def ghosts(points: DataFrame, pad: float) -> DataFrame:
@@ -96,6 +92,7 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     out = np.empty((len(q), len(v)))
     for i, row in enumerate(q):  # differences, not expanded squares: near vectors keep their digits
         d = v - row
+        d = d - np.floor(d + 0.5) if metric == "box" else d  # nearest images in the unit box
         out[i] = np.abs(d).sum(1) if metric == "l1" else np.einsum("ij,ij->i", d, d)
     return out
 
@@ -113,8 +110,8 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     ``where`` filters the vectors before they are ranked.  Both sides are packed into blocks, every
     query block meets every vector block in some task, and a meeting keeps its own k best of each query;
     only those are ranked together.  ``per`` names a kept column of whose values each gives its own k.
-    Metrics: l2 (squared), l1, ip (1 - inner product), so2 (wrapped angle, one component).  Null vectors
-    are left out; ``keep`` columns come along.
+    Metrics: l2 (squared), box (the same to nearest images in the unit box), l1, ip (1 - inner product),
+    so2 (wrapped angle, one component).  Null vectors are left out; ``keep`` columns come along.
     """
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select("id", vector, *keep).where(F.col(vector).isNotNull())
