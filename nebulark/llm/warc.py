@@ -24,6 +24,8 @@ from nebulark.llm._common import attach_groups, materialize, work_dir
 
 CHUNK_BYTES = 256 * 1024
 BLOCK = 64 * 1024
+#: Payload bytes from which records are spread over more archives than there are cores.
+ARCHIVE_BYTES = 512 << 20
 
 
 def _base32(sha: "hashlib._Hash") -> str:
@@ -80,15 +82,21 @@ def _urn(page: object, record: object) -> str:
 
 
 def write_archives(chunks: DataFrame, types: DataFrame, folder: str) -> DataFrame:
-    """Write gzip WARC files (a member a record) below ``folder``; returns the manifest (path, records)."""
+    """Write gzip WARC files (a member a record) below ``folder``; returns the manifest (path, records).
+
+    The chunks of a record go to one task by an explicit repartition, which neither a broadcast join nor
+    an adaptive plan undoes; a task that still meets a later chunk first fails.
+    """
+    total = types.where("type = 'response'").agg(F.sum("bytes")).first()[0] or 0
+    files = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES))
     kinds = types.select(F.col("record_id").alias("rid"), F.col("bytes").alias("total"), F.col("digest").alias("payload_digest"), "type", F.col("refers_to.page_id").cast("string").alias("ref_page"), F.col("refers_to.record_id").cast("string").alias("ref_record"))
-    rows = chunks.join(kinds, F.col("record_id") == F.col("rid")).where((F.col("type") == "response") | (F.col("chunk_no") == 0))
+    rows = chunks.repartition(files, "record_id").join(kinds, F.col("record_id") == F.col("rid")).where((F.col("type") == "response") | (F.col("chunk_no") == 0))
     rows = rows.select("record_id", F.col("page_id").cast("string").alias("page_id"), "url", "chunk_no", "last", "total", "payload_digest", "type", "ref_page", "ref_record", F.when(F.col("type") == "response", F.col("data")).alias("data"))
     rows = rows.sortWithinPartitions("record_id", "chunk_no")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        path, out, gz, n = "", None, None, 0
+        path, out, gz, n, record = "", None, None, 0, None
         for b in batches:
             for r in b.itertuples(index=False):
                 if out is None:
@@ -96,13 +104,15 @@ def write_archives(chunks: DataFrame, types: DataFrame, folder: str) -> DataFram
                     path = f"part-{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{base}/{path}")
                 if r.chunk_no == 0:
-                    n += 1
+                    n, record = n + 1, r.record_id
                     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
                     head = [f"WARC-Type: {r.type}", f"WARC-Record-ID: {_urn(r.page_id, r.record_id)}", f"WARC-Target-URI: {' '.join(r.url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{r.payload_digest}", f"X-Payload-Length: {r.total}"]
                     if r.type == "revisit":
                         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(r.ref_page, r.ref_record)}"]
                     head.append(f"Content-Length: {r.total if r.type == 'response' else 0}")
                     out.write(gz.compress(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode()))
+                elif r.record_id != record:
+                    raise ValueError(f"record {r.record_id} begins with chunk {r.chunk_no}")
                 if r.data:
                     out.write(gz.compress(r.data))
                 if r.last or r.type == "revisit":
@@ -151,9 +161,10 @@ class _Members:
 def read_archives(manifest: DataFrame, with_data: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table read back: page_id, type, ref_page, url, header digest and length, chunk_no, last, bytes, digest, data.
 
-    ``digest`` is computed from the bytes read; a revisit has one empty chunk.
+    ``digest`` is computed from the bytes read; a revisit has one empty chunk.  Each archive is a task of
+    its own: as many ranges of paths as archives.
     """
-    files = manifest.select("path").repartition(F.col("path"))
+    files = manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
 
     def page(urn: str | None) -> str | None:
         return urn.strip("<>").split(":")[2] or None if urn else None

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import pyarrow.fs as pafs
 from tokenizers import Tokenizer
 
@@ -89,6 +90,27 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_records(warc.archive_pages(df.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_records_stay_whole_in_one_task_and_archives_spread(spark, tmp_path):
+    big = "0123456789abcdef" * 40_000
+    df = spark.createDataFrame([(i, "u", big + str(i)) for i in range(6)], "page_id long, url string, html string")
+    chunks = warc.materialize(warc.record_chunks(df.repartition(3), chunk_bytes=20_000), "test-chunks")
+    conf = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "100m"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        manifest = warc.write_archives(chunks, warc.record_types(chunks), f"file://{tmp_path}/split")
+        got = {x.page_id: x.payload_digest for x in warc.read_records(manifest).collect()}
+        assert got == {i: sha32((big + str(i)).encode()) for i in range(6)}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    back = warc.read_archives(manifest, with_data=False)
+    parts = back.select(warc.F.spark_partition_id().alias("p")).distinct().count()
+    assert manifest.count() > 1 and parts == manifest.count()
+    with pytest.raises(Exception, match="begins with chunk"):
+        warc.write_archives(chunks.where("chunk_no > 0"), warc.record_types(chunks), f"file://{tmp_path}/cut").count()
+
+
 def test_large_ids_beside_null_ids_stay_exact(spark, tmp_path):
     big = 2**62 + 1
     df = spark.createDataFrame([(big, "a"), (None, "a"), (big + 2, "b c")], "doc_id long, text string").coalesce(1)
