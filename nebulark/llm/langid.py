@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nebulark.llm._common import mapped, materialize, text_of
 
@@ -103,10 +104,10 @@ class Filters:
         return [self.langs[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], np.where(known, np.minimum(score, 1.0), 0.0)
 
 
-def train(docs: DataFrame, where: Column | None = None, most: int = TRAIN_DOCS) -> Filters:
+def train(docs: DataFrame, where: Column | None = None, most: int = TRAIN_DOCS, ngrams: int = NGRAMS) -> Filters:
     """Filters learned from (doc_id, text, lang); rows without lang, text or id are left out.
 
-    ``where`` bounds the rows.  Without rows there are no languages and every text is unknown.
+    ``where`` bounds the rows, ``most`` the documents of a language and ``ngrams`` its n-grams.  Without rows there are no languages and every text is unknown.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     if where is not None:
@@ -132,12 +133,15 @@ def train(docs: DataFrame, where: Column | None = None, most: int = TRAIN_DOCS)
     rated = grams.withColumn("rate", F.col("n") / total[F.col("lang")])
     by_gram = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate", "n")).alias("in_langs"))  # a row a language at most
     own = by_gram.select("gram", "top", F.explode("in_langs").alias("x")).where((F.col("x.rate") >= OWN_SHARE * F.col("top")) & (F.col("x.n") >= 3)).select("gram", "x.lang", "x.n")
-    own = materialize(own, "langid-own")
+    # A language's n-grams come from its sample alone, so one window partition a language is bounded.
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    kept = own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ngrams)
+    places = [F.shiftrightunsigned("gram", i * SLOT_BITS).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for i in range(1, HASHES + 1)]
+    bits = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]), F.col("lang") % 64 + 1)
+    slots = kept.select(F.explode(F.array(*places)).alias("slot"), F.floor(F.col("lang") / 64).cast("int").alias("word"), bits.alias("bits"))
+    filled = slots.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()  # a row a slot and 64 languages at most
     table = np.zeros((1 << SLOT_BITS, (len(langs) + 63) // 64), np.uint64)
-    for lang in range(len(langs)):
-        keep = own.where(F.col("lang") == lang).orderBy(F.col("n").desc(), "gram").limit(NGRAMS).select("gram").toPandas()["gram"]
-        for s in _slots(keep.to_numpy(np.int64).view(np.uint64)):
-            table[s, lang // 64] |= np.uint64(1 << (lang % 64))
+    table[filled["slot"], filled["word"]] = filled["bits"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return Filters(langs, table, fill**HASHES, number[max(langs, key=lambda x: count[x])])
 

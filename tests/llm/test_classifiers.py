@@ -54,6 +54,17 @@ def test_language_edge_cases(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), filters).count() == 0
 
 
+def test_more_languages_than_bits_in_a_word(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: letters[k % 26] + letters[k // 26] + letters[(k + i) % 26] + letters[(3 * k + i) % 26] + letters[k % 26]
+    text = lambda k, at: " ".join(word(k, i) for i in range(at, at + 24))
+    rows = [(100 * k + j, text(k, j), f"l{k:02d}") for k in range(70) for j in range(4)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.table.shape == (1 << langid.SLOT_BITS, 2)
+    got = langid.identify(spark.createDataFrame([(k, text(k, 7)) for k in range(70)], "doc_id long, text string"), filters).collect()
+    assert sum(x.lang_pred == f"l{x.doc_id:02d}" for x in got) >= 68
+
+
 def test_sliced_filter_equals_plain_sets():
     grams = {0: langid.ngram_hashes(langid._clean("alpha beta gamma")), 1: langid.ngram_hashes(langid._clean("beta delta"))}
     table = np.zeros((1 << langid.SLOT_BITS, 1), np.uint64)
