@@ -22,9 +22,13 @@ from nebulark.llm._common import mapped, text_of
 
 #: Labelled rows that training reads at most (each with its whole text).
 TRAIN_ROWS = 20_000
+#: Rows of ``docs`` that may share a labelled id.
+REPEATS = 16
 BUCKETS = 1 << 20
 FEATURES = 4096
 PREFIXES = (4, 5, 6, 7, 8)
+#: Words that a task remembers at most (some 130 MB); then it forgets them all and starts again.
+REMEMBER = 500_000
 #: Weight of a toxic row in the loss: they are the fewer.
 TOXIC_WEIGHT = 2.0
 #: Swapped within a line.
@@ -63,7 +67,7 @@ class Reader:
                 got = buckets(word)
                 if kept is not None:
                     got = tuple(kept[x] for x in got if x in kept)
-                if len(self) >= 500_000:
+                if len(self) >= REMEMBER:
                     self.clear()
                 self[word] = got
                 return got
@@ -89,13 +93,13 @@ class Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column | None, most: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, toxic) of at most ``most`` labelled rows, chosen by a hash of the id.
 
-    Rows without id or label are left out; of several labels of a document the largest counts.
+    Rows without id or label, and ids of more than REPEATS rows of ``docs``, are left out; of several labels of a document the largest counts.
     ``train`` is a condition on doc_id.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if train is not None:
         known = known.where(train)
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.join(docs.groupBy("doc_id").count().where(F.col("count") <= REPEATS), "doc_id", "left_semi")
     return known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
 
 
@@ -111,10 +115,10 @@ def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": at, "seen": seen[at], "toxic": toxic[at]})
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most: int = TRAIN_ROWS, penalty: float = 1.0, ridge: float = 2e-3, steps: int = 400) -> Model:
-    """Fit on labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``where`` bounds the ids.
-
-    No labelled rows give a model of score 0.
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most: int = TRAIN_ROWS, penalty: float = 1.0, ridge: float = 2e-3, steps: int = 400, features: int = FEATURES) -> Model:
+    """Fit on labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``where`` bounds the ids,
+    ``most`` the labelled ids and ``features`` the model's size.  A label holds for every row of its id, up to
+    REPEATS of them; ids of more rows are left out.  No labelled rows give a model of score 0.
     """
     sample = labelled_sample(docs, labels, where, most)
     ids = sample.toPandas()  # TRAIN_ROWS pairs of numbers at most
@@ -129,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most:
     gap = F.col("toxic") / p - (F.col("seen") - F.col("toxic")) / F.greatest(n - p, F.lit(1.0))
     rate = F.col("seen") / n
     chi = gap * gap / (rate * (1.0 + 1.0 / n - rate))
-    top = counts.where("seen >= 4").orderBy(chi.desc(), "bucket").limit(FEATURES).select("bucket").toPandas()["bucket"]  # FEATURES at most
+    top = counts.where("seen >= 4").orderBy(chi.desc(), "bucket").limit(features).select("bucket").toPandas()["bucket"]  # so many numbers at most
     identity = [b for g in IDENTITY_GROUPS for t in g for b in buckets(t)[:1]]
     kept = np.array(list(dict.fromkeys([*top.tolist(), *identity])), np.int64)
     place = {int(b): i for i, b in enumerate(kept)}
@@ -156,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, most:
 
 
 def _fit(kept: np.ndarray, data: pd.DataFrame, penalty: float, ridge: float, steps: int) -> Model:
-    """Adam on the logistic loss + penalty x mean squared score change of the swaps + ridge."""
+    """Adam from fixed starts (the same rows give the same model) on the logistic loss + penalty x mean squared score change of the swaps + ridge."""
     y = data["toxic"].to_numpy(np.float64)
     n, row_weight = len(y), np.where(y > 0, TOXIC_WEIGHT, 1.0)
     row = np.repeat(np.arange(n), [len(f) for f in data["f"]])

@@ -118,6 +118,32 @@ def test_mix_edge_cases(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_whole_rows_and_rows_without_id(spark):
+    r = random.Random(7)
+    rows = [(None if k % 2 else 7, " ".join("w" * r.randint(1, 4) for _ in range(r.randint(1, 90))) + f" {k}", "s", k, {"k": k}) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, extra map<string,int>")
+    whole = mixing.mix_sources(df, whole_rows=True)
+    assert whole.columns == ["doc_id", "text", "source", "extra", "size", "source_size", "target", "taken", "copies", "spans"]
+    got = whole.collect()
+    assert sorted(x.text for x in got) == sorted(t for _, t, *_ in rows) and all(x["size"] == len(x.text.split()) for x in got)
+    narrow = mixing.mix_sources(df).collect()
+    assert sorted((str(x.doc_id), x["size"], x.taken) for x in got) == sorted((str(x.doc_id), x["size"], x.taken) for x in narrow)
+    shard = F.pmod(F.xxhash64("text", "doc_id", F.lit(17)), F.lit(5))
+    assert df.select(shard.alias("s")).distinct().count() == 5
+
+
+def test_work_tables_go_with_their_scope(spark):
+    from nebulark.llm import _common
+
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    with _common.scratch(spark) as outside:
+        inside = _common.work_dir(spark)
+        materialize(spark.range(3), "inside")
+        kept = materialize(spark.range(3), "kept", f"{outside}/kept")
+        assert fs(inside) and inside.startswith(outside)
+    assert not fs(inside) and kept.count() == 3 and _common.work_dir(spark) == outside
+
+
 def test_query_digests(spark):
     from nebulark.llm.queries import op2_exact_dedup
 

@@ -74,6 +74,22 @@ def test_links_join_all_near_fingerprints(spark, block):
     assert [root.get(f, f) for f in fps] == plain_components(unsigned)
 
 
+def test_any_number_of_groups_finds_the_same_components(spark):
+    r, fps = random.Random(6), set()
+    for _ in range(8):
+        f = r.getrandbits(64)
+        for _ in range(12):
+            f ^= sum(1 << r.randrange(64) for _ in range(r.randint(1, 5)))
+            fps.add(f)
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = plain_components([(f, f & (1 << 64) - 1) for f in fps])
+    assert [simhash.groups_for(n) for n in (0, 10**6, 10**8, 10**9)] == [7, 7, 9, 11]
+    for groups in (7, 9):
+        root = {x.node: x.root for x in components(simhash.near_links(df, groups=groups)).collect()}
+        assert [root.get(f, f) for f in fps] == want
+
+
 def test_near_duplicates_edge_cases(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away into the deep dark wood at night"
     rows = [(5, base), (3, base.upper()), (9, None), (2, ""), (7, " \t\n"), (None, base), (8, "word " * 30_000), (8, "word " * 30_000), (1, "nothing like the rest of these at all")]
