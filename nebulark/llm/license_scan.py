@@ -3,7 +3,7 @@
 Paragraphs become sparse word n-grams; a multinomial logistic regression over them names a
 licence family or ``unknown``.  It is trained here on cut and noised templates of the families and
 on a bounded sample of the corpus' own paragraphs as ``unknown``; a temperature and a threshold fitted
-on held-out paragraphs calibrate it.  A prediction stands only if a template of the family shares
+on templates and paragraphs that its model was not taught calibrate it.  A prediction stands only if a template of the family shares
 enough of its words in order with the paragraph.  A paragraph is the stretch of a text, over line
 ends and inside long lines, in which a template's word pairs lie close together, with a few words
 around it; a line without such a stretch is one paragraph.
@@ -223,19 +223,33 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 3, steps: int = 2
     filler = sorted({w for line in corpus[:500] for w in line})
     r = np.random.default_rng(seed)
     families = [*TEMPLATES, UNKNOWN]
-    x, y = [], []
+    x, y, fold = [], [], []  # fold: 0 or 1 by template; -1 (a family's only template) is always taught
     for k, f in enumerate(families[:-1]):
-        for template in TEMPLATES[f]:
+        for i, template in enumerate(TEMPLATES[f]):
             x += [tokens(template), *(_noised(r, template, filler) for _ in range(COPIES))]
             y += [k] * (COPIES + 1)
+            fold += [i % 2 if len(TEMPLATES[f]) > 1 else -1] * (COPIES + 1)
     vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(tokens(t))})
     words = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)})
     decoys = [[words[i] for i in r.integers(0, len(words), r.integers(3, 15))] for _ in range(1500)]  # the same words in no order
-    x, y = x + corpus + decoys, np.array(y + [len(families) - 1] * (len(corpus) + len(decoys)))
-    model = Model(families, {g: i for i, g in enumerate(vocabulary)}, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, 0.5)
-    held = r.random(len(x)) < 0.25
-    _fit(model, [w for w, h in zip(x, held, strict=True) if not h], y[~held], steps)
-    _calibrate(model, [w for w, h in zip(x, held, strict=True) if h], y[held])
+    others = corpus + decoys
+    fold = np.array(fold + [i % 2 for i in range(len(others))])
+    x, y = x + others, np.array(y + [len(families) - 1] * len(others))
+    place = {g: i for i, g in enumerate(vocabulary)}
+
+    def fitted(rows: np.ndarray) -> Model:
+        model = Model(families, place, np.zeros((len(place), len(families))), np.zeros(len(families)), 1.0, 0.5)
+        _fit(model, [x[i] for i in rows], y[rows], steps)
+        return model
+
+    # Calibration sees templates that its model was not taught: each half is judged by the model of the other half.
+    z = np.zeros((len(x), len(families)))
+    for half in (0, 1):
+        model, unseen = fitted(np.flatnonzero(fold != half)), np.flatnonzero(fold == half)
+        for i in unseen:
+            z[i] = model.logits(x[i], model.known(x[i]) or [])
+    model, judged = fitted(np.arange(len(x))), fold >= 0
+    _calibrate(model, z[judged], y[judged])
     return model
 
 
@@ -246,18 +260,19 @@ def _fit(model: Model, x: list[list[str]], y: np.ndarray, steps: int) -> None:
     scale = 1 / np.sqrt(np.maximum(1.0, np.array([len(w) for w in x]) / 8))
     dense = np.zeros((len(x), len(model.place)), np.float32)
     dense[row, col] = scale[row]
-    onehot = np.eye(len(model.families))[y]
+    onehot = np.eye(len(model.families), dtype=np.float32)[y]
+    weights, bias = model.weights.astype(np.float32), model.bias.astype(np.float32)
     for _ in range(steps):
-        z = dense @ model.weights + model.bias
+        z = dense @ weights + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        e = (p / p.sum(axis=1, keepdims=True) - onehot) / len(x)
-        model.weights -= 20.0 * (dense.T @ e + 1e-5 * model.weights)
-        model.bias -= 2.0 * e.sum(axis=0)
+        e = (p / p.sum(axis=1, keepdims=True) - onehot) / np.float32(len(x))
+        weights -= np.float32(20.0) * (dense.T @ e + np.float32(1e-5) * weights)
+        bias -= np.float32(2.0) * e.sum(axis=0)
+    model.weights, model.bias = weights.astype(np.float64), bias.astype(np.float64)
 
 
-def _calibrate(model: Model, x: list[list[str]], y: np.ndarray) -> None:
-    """The temperature with the best held-out likelihood; the lowest threshold with few false families."""
-    z = np.array([model.logits(w, model.known(w) or []) for w in x])
+def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
+    """The temperature with the best likelihood of the unseen rows; the lowest threshold with few false families."""
 
     def soft(t: float) -> np.ndarray:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)

@@ -189,6 +189,28 @@ def test_wrapped_notices_of_every_family(spark):
     assert [(t, got[i].families) for i, (f, t) in enumerate(texts) if got[i].families != [f] or got[i].n_licences != 1] == []
 
 
+def test_cut_and_edited_notices_are_recalled_and_prose_is_not(spark):
+    import random
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = license_scan.train(docs)
+    r = random.Random(41)
+    plain = [w for x in docs.where("lang = 'en'").limit(30).collect() for w in x.text.split() if w.isalpha() and w.islower()]
+    texts = []
+    for family, templates in license_scan.TEMPLATES.items():
+        for words in (t.split() for t in templates if len(t.split()) >= 8):
+            for _ in range(12):
+                cut = words[: len(words) - r.randint(0, len(words) // 5)]
+                edited = [r.choice(plain) if r.random() < 0.05 else w for w in cut]
+                at = r.randint(1, len(edited) - 1)
+                texts.append((family, f"{' '.join(r.choices(plain, k=40))}\n{' '.join(edited[:at])}\n  {' '.join(edited[at:])}\n{' '.join(r.choices(plain, k=40))}"))
+    texts += [(None, " ".join(r.choices(plain + ["license", "free", "software", "rights", "public"], k=120))) for _ in range(200)]
+    got = {x.doc_id: x.families for x in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    hits = [f in got[i] for i, (f, _) in enumerate(texts) if f]
+    assert sum(hits) >= 0.9 * len(hits)
+    assert not any(got[i] for i, (f, _) in enumerate(texts) if f is None)
+
+
 def test_notices_of_every_template_inside_one_long_line(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = license_scan.train(docs)
