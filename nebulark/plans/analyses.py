@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nebulark.config import AnalysisConfig, RadialBins, SpspBins
-from nebulark.operators import fft, jackknife, mesh, moments, pairs, spectrum
+from nebulark.operators import catalog, fft, jackknife, mesh, moments, pairs, spectrum
 from nebulark.plans import programs
 from nebulark.plans.fixtures import view, view_sql
 from nebulark.plans.queries import (
     BOX, JK_LEVEL, JK_SLICES, K_BINS, LAG_BINS, ORACLE, PROGRAM, QUERIES, R_BINS, SMU, SPSP, N,
     _asked, _AUTO, _batch_dft_sql, _binned_sql, _CROSS, _delta, _FOLD, _JK, _JKN, _KLEN, _leave_sql, _NH, _NP, _NR, _NT, _OWNER, _P, _PB, _randoms, _rounded, _SELECTED, _shell, _SIG, _SPINE2, _U, _w2_sql,
-    bin_sql, counts_sql, d, delta_sql, dft_sql, pairs_sql, query, r, rs,
+    bin_sql, counts_sql, d, delta_sql, dft_sql, hash_sql, pairs_sql, query, r, rs,
 )
 from nebulark.plans.work import work_path
 from nebulark.sources import domains, snapshot, tables
@@ -238,9 +238,19 @@ def program_matter_xi(spark, sf_dir):
 
 JK = replace(PROGRAM, estimator="RR", jk_level=2)
 
-@query("program_halo_xi_jackknife")
+_CUBE = _JK.split(" AS block_id")[0].split("SELECT *, ")[1]
+_EVEN = ", ".join(f"CAST({hash_sql(f'(g * 3 + {k})', 310 + k)} AS DOUBLE)/{d(float(catalog.HASH_MOD))} AS {c}" for k, c in enumerate("xyz"))
+
+@query(
+    "program_halo_xi_jackknife",
+    f"""{_H}, g AS (SELECT unnest(range((SELECT count(*) FROM h))) AS g), even AS (SELECT g AS id, {_EVEN} FROM g), hb AS (SELECT *, {_CUBE} AS block_id FROM h), rb AS (SELECT *, {_CUBE} AS block_id FROM even),
+    {_leave_sql('hb', 'hb', _PB, 8, 'dd')}, {_leave_sql('rb', 'rb', _PB, 8, 'rr')},
+    sz AS (SELECT CAST(k.range AS INT) AS block_id, CAST({_SIZE('rb')} AS DOUBLE)/{_SIZE('hb')} AS f FROM range(8) k),
+    x AS (SELECT block_id, ir, CASE WHEN rr.n > 0 THEN (f*f*dd.n - rr.n)/rr.n ELSE 0 END AS xi FROM dd JOIN rr USING (block_id, ir) JOIN sz USING (block_id))
+    SELECT ir, {rs('avg(xi)')} AS mean, {rs('sqrt((count(*) - 1)*var_pop(xi))')} AS se FROM x GROUP BY ir""",
+)
 def program_halo_xi_jackknife(spark, sf_dir):
-    return programs.halo_xi_jackknife(_halos(spark, sf_dir), JK)
+    return _rounded(programs.halo_xi_jackknife(_halos(spark, sf_dir), JK), "mean", "se")
 
 _MOMENTS = {"dens": ("rho",), "velc": ("ux", "uy", "uz"), "sigma": tuple(f"s{t}" for t in moments.TENSOR)}
 
@@ -277,8 +287,6 @@ def xi_text(spark, sf_dir):
 @query("rows_by_id", f"WITH {view_sql('halos')} SELECT id, mvir FROM halos WHERE id % 1000 = 1")
 def rows_by_id(spark, sf_dir):
     """Point look-up: the rows of a table of ids."""
-    from nebulark.operators import catalog
-
     halos = view(spark, sf_dir, "halos").select("id", "mvir")
     return catalog.only_ids(halos, halos.where("id % 1000 = 1").select("id"))
 
