@@ -69,10 +69,10 @@ def sequences(words: np.ndarray, length: int) -> np.ndarray:
 class Templates:
     """Tokens of texts: a template hash, a slot type (0 literal) and the word, for each.
 
-    Raw words are remembered in growing arrays, up to a bound (some 90 MB).
+    Raw words are remembered in growing arrays, up to a bound (some 55 MB).
     """
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self):
         self.forget()

@@ -27,8 +27,8 @@ REPEATS = 16
 BUCKETS = 1 << 20
 FEATURES = 4096
 PREFIXES = (4, 5, 6, 7, 8)
-#: Words that a task remembers at most (some 130 MB); then it forgets them all and starts again.
-REMEMBER = 500_000
+#: Words that a task remembers at most (some 30 MB); then it forgets them all and starts again.
+REMEMBER = 100_000
 #: Weight of a toxic row in the loss: they are the fewer.
 TOXIC_WEIGHT = 2.0
 #: Swapped within a line.
