@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ CHOICES = 8
 #: Words remembered by a worker at most (about 200 MB); then it forgets them all and starts again.
 REMEMBER = 1_000_000
 _LONG_WORD = 48
+_ENDS = b".,;:!?"
 
 
 class Encoder:
@@ -53,23 +55,36 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_str(vocabulary)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = {bytes([c]): self._of([bytes([c])])[0] for c in _ENDS}
         self.known: dict[bytes, bytes] = {}
 
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        coded = self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+        letter = "H" if self.kind.itemsize == 2 else "I"
+        return [struct.pack(f"<{len(e.ids)}{letter}", *e.ids) for e in coded]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; a mark after an ASCII letter is a token of its own, so the word without it is asked for."""
+        stems = {w: w[:-1] if w[-1:] in self.ends and w[-2:-1].isalpha() else w for w in words}
+        new = [s for s in set(stems.values()) if s not in self.known]
+        found = dict(zip(new, self._of(new), strict=True))
+        if len(self.known) + 2 * len(words) > REMEMBER:
+            found |= {s: self.known[s] for s in stems.values() if s not in found}
+            self.known.clear()
+        for w, s in stems.items():
+            if w is not s:
+                found[w] = (found[s] if s in found else self.known[s]) + self.ends[w[-1:]]
+        self.known.update((w, i) for w, i in found.items() if len(w) <= _LONG_WORD)
+        return found
+
     def ids(self, text: bytes) -> bytes:
         """The ids of a text, without the end id, as little-endian integers of ``kind``."""
-        known, words = self.known, (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(set(words))
-        coded = self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        found = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, coded, strict=True)}
-        known.update((w, i) for w, i in found.items() if len(w) <= _LONG_WORD)
-        return b"".join([found[w] if w in found else known[w] for w in words])
+        words = (text if b"<|" in text else text.lower()).split()
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            found = self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
+            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=1)
