@@ -62,66 +62,6 @@ def particle_mass(box: float, n: int, om: float) -> float:
     return om * RHO_CRIT * poisson_noise(box, n)
 
 
-def quad(f: Callable[[float], float], a: float, b: float, eps: float = 1e-10, depth: int = 20) -> float:
-    """Adaptive Simpson quadrature with the Richardson term."""
-
-    def rule(fa: float, fm: float, fb: float, h: float) -> float:
-        return h / 6 * (fa + 4 * fm + fb)
-
-    def part(lo: float, hi: float, fa: float, fm: float, fb: float, whole: float, tol: float, left: int) -> float:
-        mid = (lo + hi) / 2
-        fl, fr = f((lo + mid) / 2), f((mid + hi) / 2)
-        one, two = rule(fa, fl, fm, mid - lo), rule(fm, fr, fb, hi - mid)
-        gap = one + two - whole
-        if left <= 0 or abs(gap) <= 15 * tol:
-            return one + two + gap / 15
-        return part(lo, mid, fa, fl, fm, one, tol / 2, left - 1) + part(mid, hi, fm, fr, fb, two, tol / 2, left - 1)
-
-    fa, fm, fb = f(a), f((a + b) / 2), f(b)
-    return part(a, b, fa, fm, fb, rule(fa, fm, fb, b - a), eps, depth)
-
-
-def find_root(f: Callable[[float], float], a: float, b: float, tol: float = 1e-13, most: int = 200) -> float:
-    """A root bracketed by [a, b], by the secant through the ends safeguarded with bisection.
-
-    ValueError if the ends do not bracket one or it does not converge.
-    """
-    fa, fb = f(a), f(b)
-    if fa == 0.0:
-        return a
-    if fb == 0.0:
-        return b
-    if fa * fb > 0:
-        raise ValueError("the root is not bracketed")
-    for i in range(most):
-        x = b - fb * (b - a) / (fb - fa) if i % 3 else (a + b) / 2
-        if not min(a, b) < x < max(a, b):
-            x = (a + b) / 2
-        fx = f(x)
-        if fx == 0.0 or abs(b - a) < tol * max(1.0, abs(x)):
-            return x
-        if fa * fx < 0:
-            b, fb = x, fx
-        else:
-            a, fa = x, fx
-    raise ValueError("no convergence")
-
-
-def invert_increasing(f: Callable[[float], float], y: float, low: float, high: float, most: int = 60) -> float:
-    """x with f(x) = y for an increasing f; the bracket grows up to ``most`` times."""
-    for _ in range(most):
-        if f(low) <= y <= f(high):
-            return find_root(lambda x: f(x) - y, low, high)
-        low, high = low / 2, high * 2
-    raise ValueError("the value is out of reach")
-
-
-def _age(a: float, om: float, ol: float) -> float:
-    # a = s^2 takes the square-root start out of the integrand.
-    ok = 1.0 - om - ol
-    return quad(lambda s: 2 * s * s / math.sqrt(om + ok * s * s + ol * s**6), 0.0, math.sqrt(a))
-
-
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 

@@ -16,17 +16,30 @@ LABELS = {
 }
 #: Modulus of the portable row hash: a prime whose squares fit a long.
 HASH_MOD = 2147483647
+#: Buckets of a histogram of hashes, and rows of a bucket that are few enough to be ranked at once.
+BUCKETS, BORDER_ROWS = 1024, 10_000
 
 
 def row_hash(key: Column, seed: int) -> Column:
-    """A hash of an integer key in [0, HASH_MOD): two rounds of squaring, in plain arithmetic that any engine repeats."""
+    """A hash of an integer key in [0, HASH_MOD): two rounds of squaring, in plain arithmetic that any engine repeats.
+
+    Remainder and quotient of the key enter in rounds of their own, the second with a factor of the
+    seed, so keys that meet under one seed part under another.
+    """
     p = F.lit(HASH_MOD)
-    k = F.pmod(key.cast("long"), p)
-    a = F.pmod(k * 48_271 + F.floor(key / p).cast("long") % p * 40_692 + F.lit(seed * 69_621 + 11), p)
-    b = F.pmod(F.pmod(a * a, p) * 16_807 + a * 40_692 + 12_345, p)
+    key = key.cast("long")
+    k = F.pmod(key, p)
+    q = F.pmod(F.call_function("div", key - k, p), p)  # whole numbers all the way
+    a = F.pmod(k * 48_271 + q * 40_692 + F.lit(seed * 69_621 + 11), p)
+    b = F.pmod(F.pmod(a * a, p) * 16_807 + a * 40_692 + 12_345 + q * F.lit(second_factor(seed)), p)
     return F.pmod(F.pmod(b * b, p) * 48_271 + b * 69_621 + a, p)
 
 
+def second_factor(seed: int) -> int:
+    """What the quotient of a key is multiplied with in the second round."""
+    return (seed * 7_919 + 31_337) % 65_521
+
+
 def select_range(df: DataFrame, column: str, low: float, high: float, closed: str = "both") -> DataFrame:
     """Rows with low <= v <= high (``both``) or low <= v < high (``left``); cuts compose with AND."""
     v = F.col(column)
@@ -66,8 +79,31 @@ def sample_bernoulli(df: DataFrame, rate: float, seed: int = 100, key: str = "id
 
 
 def sample_exact(df: DataFrame, ratio: float, seed: int = 100, key: str = "id") -> DataFrame:
-    """floor(n * ratio) rows without replacement, those with the smallest hashes (ties by key)."""
-    return df.orderBy(row_hash(F.col(key), seed), key).limit(int(df.count() * ratio))
+    """floor(n * ratio) rows without replacement, those with the smallest hashes (ties by key).
+
+    Two histograms of the hashes find the narrow range in which the last of them lies; what is below is
+    taken by a filter, and only the rows of that range, about n / BUCKETS**2 of them, are ranked.
+    """
+    hashed = df.withColumn("__h", row_hash(F.col(key), seed))
+    low, width, missing = 0, -(-HASH_MOD // BUCKETS), None
+    while True:
+        inside = hashed.where((F.col("__h") >= low) & (F.col("__h") < low + width * BUCKETS))
+        counts = dict(inside.groupBy(F.floor((F.col("__h") - F.lit(low)) / F.lit(width)).cast("int").alias("b")).count().collect())  # BUCKETS rows at most
+        if missing is None:
+            missing = int(sum(counts.values()) * ratio)
+        bucket = 0
+        while bucket < BUCKETS and counts.get(bucket, 0) <= missing:
+            missing -= counts.get(bucket, 0)
+            bucket += 1
+        low += bucket * width
+        if bucket == BUCKETS or width == 1 or counts.get(bucket, 0) <= BORDER_ROWS:
+            break
+        width = max(1, -(-width // BUCKETS))
+    below = hashed.where(F.col("__h") < low)
+    if missing:
+        border = hashed.where((F.col("__h") >= low) & (F.col("__h") < low + width))
+        below = below.unionByName(border.orderBy("__h", key).limit(missing))
+    return below.drop("__h")
 
 
 def in_box_units(df: DataFrame, size: float) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nebulark.config import RadialBins, SmuBins
 from nebulark.functions import geometry as G
+from nebulark.operators import ordering
 from nebulark.operators.catalog import row_hash
 from nebulark.operators.pairs import counted, project_smu, range_pairs, separated, spine
 
@@ -25,22 +25,15 @@ def shuffle_blocks(cat: DataFrame, blocks: int, seed: int = 10, key: str = "id")
     """Equal slices of the rows in the order of a hash, one row a block that holds it.
 
     m = ceil(N / B) rows, slices start at b * floor((N - m) / (B - 1)); they may overlap by a few rows
-    and leave a few at the end.  Rows are numbered by hash range, so no task sorts all of them.
+    and leave a few at the end.  Rows are numbered by a range partitioning, so no task sorts all of them.
     """
     n = cat.count()
     m = -(-n // blocks)
     step = (n - m) // (blocks - 1) if blocks > 1 else 0
-    h = row_hash(F.col(key), seed)
-    spread = cat.withColumn("__h", h).withColumn("__part", F.floor(F.col("__h") / F.lit(1 << 22)))  # 512 ranges
-    within = Window.partitionBy("__part").orderBy("__h", key)
-    sizes = spread.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__off"))
-    pos = F.col("__off") + F.row_number().over(within) - 1
-    numbered = spread.join(F.broadcast(offsets), "__part").withColumn("__pos", pos)  # 512 rows at most
+    numbered = ordering.numbered(cat.withColumn("__h", row_hash(F.col(key), seed)), F.col("__h"), key, "__pos")
     slices = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(b * step).alias("lo"), F.lit(b * step + m).alias("hi")) for b in range(blocks)])
     mine = F.filter(slices, lambda s: (F.col("__pos") >= s["lo"]) & (F.col("__pos") < s["hi"]))
-    return numbered.withColumn("block_id", F.explode(F.transform(mine, lambda s: s["b"]))).drop("__h", "__part", "__off", "__pos")
+    return numbered.withColumn("block_id", F.explode(F.transform(mine, lambda s: s["b"]))).drop("__h", "__pos")
 
 
 def block_sizes(cat: DataFrame) -> DataFrame:

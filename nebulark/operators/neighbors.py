@@ -24,6 +24,8 @@ AXES = G.AXES
 #: Query vectors and vectors of a block: every block of the ones meets every block of the others.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
+#: Rows of an index that a task files, about.
+CELL_TASK_ROWS = 1_000_000
 
 
 def radius_search(queries: DataFrame, points: DataFrame, r: float, closed: bool = True, periodic: bool = False) -> DataFrame:
@@ -104,12 +106,13 @@ def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(*packed).drop("block")
 
 
-def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", where: Column | None = None, vector: str = "embedding", keep: tuple[str, ...] = (), per: str | None = None) -> DataFrame:
+def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", where: Column | None = None, vector: str = "embedding", keep: tuple[str, ...] = (), per: str | None = None, most: int | None = None) -> DataFrame:
     """(qid, id, distance, rank) of the k nearest vectors of each query (id, embedding), by brute force.
 
     ``where`` filters the vectors before they are ranked.  Both sides are packed into blocks, every
     query block meets every vector block in some task, and a meeting keeps its own k best of each query;
-    only those are ranked together.  ``per`` names a kept column of whose values each gives its own k.
+    only those are ranked together.  ``per`` names a kept column of whose values each gives its own k, and with
+    ``most`` only so many values a meeting, the nearest ones.  Ids keep their types.
     Metrics: l2 (squared), box (the same to nearest images in the unit box), l1, ip (1 - inner product),
     so2 (wrapped angle, one component).  Null vectors are left out; ``keep`` columns come along.
     """
@@ -117,7 +120,7 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     pool = pool.select("id", vector, *keep).where(F.col(vector).isNotNull())
     asked = queries.select("id", vector).where(F.col(vector).isNotNull())
     kinds = dict(pool.dtypes)
-    schema = "qid long, id long, distance double" + "".join(f", {c} {kinds[c]}" for c in keep)
+    schema = f"qid {dict(asked.dtypes)['id']}, id {kinds['id']}, distance double" + "".join(f", {c} {kinds[c]}" for c in keep)
     q = _blocks(asked, QUERY_BLOCK, "id", vector).withColumnsRenamed({"id": "qid", vector: "__q"})
     v = _blocks(pool.withColumn("__keep", F.struct(F.lit(1).alias("one"), *keep)), VECTOR_BLOCK, "id", vector, "__keep")
 
@@ -125,13 +128,20 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].values for name in batch.schema.names}
-                qid, at = (row[c].to_numpy(zero_copy_only=False) for c in ("qid", "id"))
+                qid, at = row["qid"], row["id"].to_numpy(zero_copy_only=False)
+                at = at.astype(str) if at.dtype == object else at
                 matrix = lambda c, n: row[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
                 d = _distances(matrix("__q", len(qid)), matrix(vector, len(at)), metric)
                 kept = row["__keep"]
                 group = np.zeros(len(at), np.int64) if per is None else pd.factorize(kept.field(per).to_pandas(), use_na_sentinel=False)[0]
                 who, place = [], []
-                for members in (np.flatnonzero(group == g) for g in np.unique(group)):
+                for j in range(len(qid) if most else 0):
+                    order = np.lexsort((at, d[j]))
+                    g = group[order]
+                    for c in g[np.sort(np.unique(g, return_index=True)[1])[:most]]:
+                        place.append(order[g == c][:k])
+                        who.append(np.full(len(place[-1]), j))
+                for members in () if most else (np.flatnonzero(group == g) for g in np.unique(group)):
                     m = min(k, len(members))
                     for j in range(len(qid)):
                         one = d[j, members]
@@ -140,7 +150,7 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
                         place.append(p)
                         who.append(np.full(m, j))
                 who, place = np.concatenate(who), np.concatenate(place)
-                columns = [pa.array(qid[who], pa.int64()), pa.array(at[place], pa.int64()), pa.array(d[who, place])]
+                columns = [qid.take(pa.array(who)), row["id"].take(pa.array(place)), pa.array(d[who, place])]
                 columns += [kept.field(c).take(pa.array(place)) for c in keep]
                 yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "distance", *keep])
 
@@ -166,11 +176,16 @@ def until_documents(ranked: DataFrame, documents: int, doc: str = "label") -> Da
 def in_documents(queries: DataFrame, vectors: DataFrame, documents: int, doc: str = "label", vector: str = "embedding") -> DataFrame:
     """All vectors of the ``documents`` nearest documents of each query: qid, id, doc, distance, doc_rank, in squared L2.
 
-    A document is as near as its nearest vector (ties: the smaller vector id).  Blocks keep one row for
-    each query and document, so pairs of single vectors are never ranked; the vectors of the documents
-    found are joined back by document.
+    A document is as near as its nearest vector (ties: the smaller vector id).  A meeting of blocks keeps one
+    row for each of a query's ``documents`` nearest documents: a document among the nearest of all is among
+    those of the meeting that holds its nearest vector.  The vectors of the documents found are joined back.
     """
-    near = vector_knn(queries, vectors, 1, "l2", vector=vector, keep=(doc,), per=doc)
+    near = vector_knn(queries, vectors, 1, "l2", vector=vector, keep=(doc,), per=doc, most=documents).drop("rank")
+    return document_vectors(near, queries, vectors, documents, doc, vector)
+
+
+def document_vectors(near: DataFrame, queries: DataFrame, vectors: DataFrame, documents: int, doc: str, vector: str) -> DataFrame:
+    """All vectors of the ``documents`` nearest documents, from each query's nearest vector of each document (or of those that can matter)."""
     order = Window.partitionBy("qid").orderBy("distance", "id")
     first = near.withColumn("doc_rank", F.row_number().over(order)).where(F.col("doc_rank") <= documents).select("qid", F.col(doc).alias("__doc"), "doc_rank")
     asked = queries.select(F.col("id").alias("qid"), F.col(vector).alias("__q"))
@@ -237,11 +252,24 @@ def _probe(queries: DataFrame, centres: np.ndarray, probe: int, vector: str) ->
     return q.withColumn("cell", F.explode("cells"))
 
 
-def _filed(vectors: DataFrame, centres: np.ndarray, homes: int, vector: str) -> DataFrame:
-    p = nearest_cells(vectors.select("id", vector).where(F.col(vector).isNotNull()), centres, homes, vector).withColumnRenamed("cells", "homes")
+def _filed(vectors: DataFrame, centres: np.ndarray, homes: int, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    p = nearest_cells(vectors.select("id", vector, *keep).where(F.col(vector).isNotNull()), centres, homes, vector).withColumnRenamed("cells", "homes")
     return p.withColumn("cell", F.explode("homes"))
 
 
+def _write_cells(filed: DataFrame, centres: np.ndarray, rows: int, path: str, vector: str) -> None:
+    """Folders a cell, and beside them how far the vectors whose nearest centroid a cell has lie from it.
+
+    A cell's rows go to as many tasks as they may need, by a salt of the id.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // CELL_TASK_ROWS)))
+    filed.repartition("cell", salt).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    spark = filed.sparkSession
+    middle = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "__c int, centre array<double>")  # a row a cell
+    own = spark.read.parquet(f"{path}/cells").where(F.col("homes")[0] == F.col("cell")).join(F.broadcast(middle), F.col("cell") == F.col("__c"))
+    own.groupBy("cell").agg(F.max(F.sqrt(l2(F.col(vector), F.col("centre")))).alias("radius")).write.mode("overwrite").parquet(f"{path}/radii")
+
+
 def _nearest_filed(q: DataFrame, p: DataFrame, k: int, vector: str) -> DataFrame:
     near = q.join(p, "cell").where(F.col("cell") == F.array_intersect("homes", "cells")[0])
     near = near.select("qid", "id", l2(F.col("q"), F.col(vector)).alias("distance"))
@@ -260,21 +288,24 @@ def ivf_knn(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray,
     return _nearest_filed(_probe(queries, centres, probe, vector), _filed(vectors, centres, homes, vector), k, vector)
 
 
-def save_index(vectors: DataFrame, centres: np.ndarray, path: str, homes: int = 2, vector: str = "embedding") -> None:
-    """An inverted file on storage: ``path``/centres, and the filed vectors in ``path``/cells, a folder a cell."""
+def save_index(vectors: DataFrame, centres: np.ndarray, path: str, homes: int = 2, vector: str = "embedding", keep: tuple[str, ...] = ()) -> None:
+    """An inverted file on storage: ``path``/centres, and the filed vectors in ``path``/base/cells, a folder a cell.
+
+    ``keep`` columns are filed along.
+    """
     spark = vectors.sparkSession
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
-    _filed(vectors, centres, homes, vector).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    _write_cells(_filed(vectors, centres, homes, vector, keep), centres, vectors.count() * homes, f"{path}/base", vector)
 
 
 def load_centres(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # a row a cell
 
 
-def add_to_index(vectors: DataFrame, path: str, batch: str, homes: int = 2, vector: str = "embedding") -> None:
+def add_to_index(vectors: DataFrame, path: str, batch: str, homes: int = 2, vector: str = "embedding", keep: tuple[str, ...] = ()) -> None:
     """File new vectors under the saved centres, as a batch that takes its own place when it is written again."""
-    filed = _filed(vectors, load_centres(vectors.sparkSession, path), homes, vector)
-    filed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/added/{batch}")
+    centres = load_centres(vectors.sparkSession, path)
+    _write_cells(_filed(vectors, centres, homes, vector, keep), centres, vectors.count() * homes, f"{path}/added/{batch}", vector)
 
 
 def delete_from_index(ids: DataFrame, path: str, batch: str) -> None:
@@ -288,17 +319,29 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().toString() for x in fs.listStatus(root)] if fs.exists(root) else []
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, probe: int, vector: str = "embedding") -> DataFrame:
-    """The k nearest of each query in a saved index; the folders of cells that no query probes are not read."""
-    centres = load_centres(spark, path)
-    q = _probe(queries, centres, probe, vector)
-    filed = spark.read.parquet(f"{path}/cells")
+def filed_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a saved index, the base and the batches less what was deleted; a condition on cell leaves folders out."""
+    filed = spark.read.parquet(f"{path}/base/cells")
     for batch in _folders(spark, f"{path}/added"):
-        filed = filed.unionByName(spark.read.parquet(batch))
+        filed = filed.unionByName(spark.read.parquet(f"{batch}/cells"))
     if gone := _folders(spark, f"{path}/deleted"):
         ids = spark.read.parquet(*gone).select(F.col("id").alias("__gone")).distinct()
         filed = filed.join(ids, F.col("id") == F.col("__gone"), "left_anti")
-    return _nearest_filed(q, filed, k, vector)
+    return filed
+
+
+def cell_radii(spark: SparkSession, path: str, cells: int) -> np.ndarray:
+    """How far the vectors of each cell lie from its centroid at most; -1 for a cell that is nobody's nearest."""
+    out = np.full(cells, -1.0)
+    for part in (f"{path}/base", *_folders(spark, f"{path}/added")):
+        for r in spark.read.parquet(f"{part}/radii").collect():  # a row a cell
+            out[r["cell"]] = max(out[r["cell"]], r["radius"])
+    return out
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, probe: int, vector: str = "embedding") -> DataFrame:
+    """The k nearest of each query in a saved index; the folders of cells that no query probes are not read."""
+    return _nearest_filed(_probe(queries, load_centres(spark, path), probe, vector), filed_vectors(spark, path), k, vector)
 
 
 def in_degrees(neighbours: DataFrame) -> DataFrame:

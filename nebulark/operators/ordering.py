@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nebulark.functions import geometry as G
-
-#: Ranges whose rows are numbered apart; their offsets are as many rows.
-RANGES = 1024
+from nebulark.plans.work import cut
 
 
 def by_key(df: DataFrame, key: str, ascending: bool = True, tie: str = "id") -> DataFrame:
@@ -30,15 +28,18 @@ def top(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def numbered(df: DataFrame, key: Column, low: float, high: float, tie: str = "id", name: str = "position") -> DataFrame:
-    """A global 0-based rank by ``key`` without one task holding all rows: ranks inside equal-width ranges of
-    [low, high] plus the ranges' offsets (RANGES rows, broadcast)."""
-    part = F.least(F.greatest(F.floor((key - F.lit(low)) / F.lit((high - low) / RANGES)), F.lit(0)), F.lit(RANGES - 1)).cast("int")
-    spread = df.withColumn("__part", part)
+def numbered(df: DataFrame, key: Column, tie: str = "id", name: str = "position") -> DataFrame:
+    """A global 0-based rank by ``key``, equal keys by ``tie``, without one task holding all rows.
+
+    A range partitioning follows the data, however they are spread; ranks are taken inside its parts
+    and shifted by the parts' offsets (a row a part, broadcast).
+    """
+    parts = df.withColumn("__key", key).repartitionByRange(F.col("__key").asc_nulls_first(), F.col(tie).asc_nulls_first())
+    spread = cut(parts.withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__off"))
-    within = Window.partitionBy("__part").orderBy(key, tie)
-    return spread.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__off") + F.row_number().over(within) - 1).cast("long")).drop("__part", "__off")
+    within = Window.partitionBy("__part").orderBy(F.col("__key").asc_nulls_first(), F.col(tie).asc_nulls_first())
+    return spread.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__off") + F.row_number().over(within) - 1).cast("long")).drop("__part", "__off", "__key")
 
 
 def cell_offsets(points: DataFrame, n: int) -> DataFrame:

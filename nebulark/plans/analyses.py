@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from nebulark.operators import catalog, fft, jackknife, mesh, moments, pairs, sp
 from nebulark.plans import programs
 from nebulark.plans.fixtures import view, view_sql
 from nebulark.plans.queries import (
-    BOX, JK_LEVEL, JK_SLICES, K_BINS, LAG_BINS, ORACLE, PROGRAM, QUERIES, R_BINS, SMU, SPSP, N,
-    _asked, _AUTO, _batch_dft_sql, _binned_sql, _CROSS, _delta, _FOLD, _JK, _JKN, _KLEN, _leave_sql, _NH, _NP, _NR, _NT, _OWNER, _P, _PB, _randoms, _rounded, _SELECTED, _shell, _SIG, _SPINE2, _U, _w2_sql,
-    bin_sql, counts_sql, d, delta_sql, dft_sql, hash_sql, pairs_sql, query, r, rs,
+    BOX, JK_LEVEL, JK_SLICES, K_BINS, LAG_BINS, MESH, ORACLE, PROGRAM, QUERIES, R_BINS, SMU, SPSP, N,
+    _asked, _AUTO, _batch_dft_sql, _binned_sql, _cells_sql, _CROSS, _delta, _FOLD, _JK, _JKN, _KLEN, _leave_sql, _NH, _NP, _NR, _NT, _OWNER, _P, _PB, _randoms, _rounded, _SELECTED, _shell, _SIG, _SPINE2, _U, _w2_sql,
+    bin_sql, counts_sql, d, delta_sql, dft_sql, exploded_sql, hash_sql, pairs_sql, query, r, rs,
 )
 from nebulark.plans.work import work_path
-from nebulark.sources import domains, snapshot, tables
+from nebulark.sources import domains, fields, snapshot, tables
+from nebulark.streaming import mesh as streams
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -317,3 +319,53 @@ def domain_particles(spark, sf_dir):
     halos = view(spark, sf_dir, "halos").withColumn("mass", F.lit(1.0)).withColumns(cells)
     domains.write(halos.select("id", "mass", "x", "y", "z", "vx", "vy", "vz", "ix", "iy", "iz"), prefix, (2, 1, 2))
     return _rounded(spark.read.format("domains").load(prefix).where("ix = 1").select("id", "x", "y", "z", "ix"), "x", "y", "z")
+
+
+# ---- binary sinks and the stream of arriving files
+
+_MESH_FILE = exploded_sql("particles", MESH, "cic")
+
+@query("mesh_file", f"WITH {view_sql('particles')}, {_MESH_FILE}, m AS (SELECT ix, iy, iz, sum(w) AS val FROM e GROUP BY 1, 2, 3) SELECT c.ix, c.iy, c.iz, {rs('coalesce(val, 0)')} AS val FROM {_cells_sql(MESH)} c LEFT JOIN m ON m.ix = c.ix AND m.iy = c.iy AND m.iz = c.iz WHERE c.ix BETWEEN 2 AND 4")
+def mesh_file(spark, sf_dir):
+    """A mesh as three binary files that come into place together, and the slabs of a range of ix read back."""
+    path = work_path(spark, "mesh") + "/field"
+    fields.write(mesh.assign(view(spark, sf_dir, "particles"), MESH, "cic"), path, MESH, BOX.size, "val", files=3, kind="f8")
+    return _rounded(fields.read(spark, path, "val", kind="f8").where("ix >= 2 and ix <= 4"), "val")
+
+_D32 = f"WITH {view_sql('halos')}, dp AS (SELECT {', '.join(f'{_F32(c)} AS {c}' for c in ('x', 'y', 'z', 'vx', 'vy', 'vz'))}, CAST(child_level + 1 AS DOUBLE) AS mass FROM halos), {exploded_sql('dp', N, 'tsc', 'mass, vx, vy, vz')}, {_U}"
+
+@query("program_domain_velc", f"{_D32} SELECT ix, iy, iz, {', '.join(f'{rs(v, 2)} AS {v}' for v in ('ux', 'uy', 'uz'))} FROM u")
+def program_domain_velc(spark, sf_dir):
+    """Domain files to mean velocities to a binary moment field of two files, and back."""
+    where = work_path(spark, "domain-moment")
+    cells = {f"i{c}": F.floor(F.col(c) * F.lit(2.0)).cast("int") for c in "xyz"}
+    rows = view(spark, sf_dir, "halos").withColumn("mass", (F.col("child_level") + 1).cast("double")).withColumns(cells)
+    domains.write(rows, f"{where}/in", (2, 2, 2), "_nbody")
+    programs.domain_moment(spark, f"{where}/in", "_nbody", replace(PROGRAM, scheme="tsc"), "velc", f"{where}/out/velc", files=2)
+    return _rounded(fields.read(spark, f"{where}/out/velc", "ux", "uy", "uz", layout="moment"), "ux", "uy", "uz", digits=2)
+
+_NU = {"a": 0.25, "box": 2.0, "omega_nu": 0.01, "rho_crit": 27.5e5}
+
+@query(
+    "program_species_dens",
+    f"""WITH {view_sql('tracers')}, sp AS (SELECT x/2 AS x, y/2 AS y, z/2 AS z, mass FROM tracers WHERE species = 'click'), {exploded_sql('sp', N, 'tsc', 'mass')}, m AS (SELECT ix, iy, iz, sum(mass*w) AS rho FROM e GROUP BY 1, 2, 3)
+    SELECT c.ix, c.iy, c.iz, {rs(f"1 + coalesce(rho, 0)*{d(N**3 / (_NU['omega_nu'] * _NU['rho_crit'] * 8))}", 3)} AS rho FROM {_cells_sql(N)} c LEFT JOIN m ON m.ix = c.ix AND m.iy = c.iy AND m.iz = c.iz""",
+)
+def program_species_dens(spark, sf_dir):
+    """One species of a particle table over the mean neutrino mass of the box, to a binary moment field and back."""
+    where = work_path(spark, "species-moment")
+    view(spark, sf_dir, "tracers").withColumns({f"v{c}": F.lit(1.0) for c in "xyz"}).write.partitionBy("species").parquet(f"{where}/in")
+    programs.species_moment(spark, f"{where}/in", _NU, "click", replace(PROGRAM, scheme="tsc"), "dens", f"{where}/out/dens", files=3)
+    return _rounded(fields.read(spark, f"{where}/out/dens", "rho", layout="moment"), "rho", digits=3)
+
+@query("stream_snapshot", f"WITH {view_sql('halos')}, s AS (SELECT {', '.join(f'{_FOLDED(_F32(f'{c}*1000'))}/{d(1000.0)} AS {c}' for c in 'xyz')} FROM halos), {exploded_sql('s', N, 'cic')} SELECT ix, iy, iz, {rs('sum(w)')} AS val FROM e GROUP BY 1, 2, 3")
+def stream_snapshot(spark, sf_dir):
+    """The running mesh of binary snapshot files as a stream, read to its present end."""
+    snapshot.register(spark)
+    prefix, name = f"{work_path(spark, 'live')}/snap", f"live_{uuid.uuid4().hex}"
+    halos = view(spark, sf_dir, "halos").select("id", *[(F.col(c) * 1000.0).alias(c) for c in "xyz"], "vx", "vy", "vz", "pot")
+    snapshot.write(halos, prefix, 4, box=1000.0)
+    live = spark.readStream.format("snapshot").option("velocities", "false").option("potentials", "false").load(prefix)
+    live = live.withColumns({c: F.col(c) / F.lit(1000.0) for c in "xyz"})
+    streams.start_into_memory(streams.mesh_stream(live, N, "cic"), name).awaitTermination()
+    return _rounded(spark.table(name), "val")

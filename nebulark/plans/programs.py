@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from nebulark.config import AnalysisConfig, RadialBins, SmuBins, SpspBins
 from nebulark.operators import catalog, jackknife, mesh, moments, pairs, spectrum
+from nebulark.sources import domains, fields, tables
+
+#: The columns that each moment field is written with.
+MOMENT_VALUES = {"dens": ("rho",), "velc": ("ux", "uy", "uz"), "sigma": tuple(f"s{t}" for t in moments.TENSOR)}
 
 
 def prepared(halos: DataFrame, config: AnalysisConfig, redshift_space: bool = False, gravitational: bool = False) -> DataFrame:
@@ -105,3 +109,22 @@ def moment(particles: DataFrame, config: AnalysisConfig, kind: str, background:
     if kind == "dens":
         return moments.density(particles, config.mesh, config.scheme, background)
     return {"velc": moments.mean_velocity, "sigma": moments.dispersion}[kind](particles, config.mesh, config.scheme)
+
+
+def species_moment(spark: SparkSession, path: str, header: dict, species: str, config: AnalysisConfig, kind: str, out: str, files: int = 1) -> None:
+    """A moment field of one species of a particle table to binary files, from the table's header.
+
+    The header has the box, the scale factor, omega_nu and the critical density today in the table's units; the
+    mean neutrino mass of the box, their product with its volume, is the background of a density contrast.
+    """
+    rows = tables.read_species(spark, path, species, header["a"], header["box"])
+    background = header["omega_nu"] * header["rho_crit"] * header["box"] ** 3
+    field = moment(rows, config, kind, background if kind == "dens" else None)
+    fields.write(field, out, config.mesh, header["box"], *MOMENT_VALUES[kind], layout="moment", files=files)
+
+
+def domain_moment(spark: SparkSession, prefix: str, suffix: str, config: AnalysisConfig, kind: str, out: str, files: int = 1) -> None:
+    """A moment field of domain-decomposed particles (positions in box units, masses as they are) to binary files."""
+    domains.register(spark)
+    rows = spark.read.format("domains").option("suffix", suffix).load(prefix)
+    fields.write(moment(rows, config, kind), out, config.mesh, 1.0, *MOMENT_VALUES[kind], layout="moment", files=files)

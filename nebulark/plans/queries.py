@@ -19,7 +19,7 @@ from nebulark.functions import cosmology as C
 from nebulark.functions import geometry as G
 from nebulark.functions import kernels as K
 from nebulark.functions import spectral as S
-from nebulark.operators import catalog, fft, jackknife, massfunction, mesh, moments, neighbors, ordering, pairs, pairwise, spectrum
+from nebulark.operators import catalog, fft, indexsearch, jackknife, massfunction, mesh, moments, neighbors, ordering, pairs, pairwise, spectrum
 from nebulark.plans import programs
 from nebulark.plans.fixtures import VIEWS, view, view_sql
 from nebulark.plans.work import work_path
@@ -191,7 +191,7 @@ def select_position(spark, sf_dir):
 def hash_sql(key: str, seed: int) -> str:
     p = catalog.HASH_MOD
     a = f"(({key} % {p} * 48271 + {key} // {p} % {p} * 40692 + {seed * 69621 + 11}) % {p})"
-    b = f"(({a} * {a} % {p} * 16807 + {a} * 40692 + 12345) % {p})"
+    b = f"(({a} * {a} % {p} * 16807 + {a} * 40692 + 12345 + {key} // {p} % {p} * {catalog.second_factor(seed)}) % {p})"
     return f"(({b} * {b} % {p} * 48271 + {b} * 69621 + {a}) % {p})"
 
 
@@ -777,7 +777,7 @@ def ivf_knn(spark, sf_dir):
     asked, v = _vectors(spark, sf_dir)
     return neighbors.ivf_knn(asked, v, 10, neighbors.train_cells(v, 16), 8)
 
-@query("ivf_recall", "SELECT CAST(count(*) AS BIGINT)*10 AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+@query("ivf_recall", f"{_vec_sql('l2')} SELECT count(*) AS wanted, CAST(sum(id) AS BIGINT) AS ids, true AS enough FROM k WHERE rank <= 10")
 def ivf_recall(spark, sf_dir):
     """Of the exact ten neighbours of each query, at least nine in ten are found by the saved index."""
     asked, v = _vectors(spark, sf_dir)
@@ -785,7 +785,25 @@ def ivf_recall(spark, sf_dir):
     neighbors.save_index(v, neighbors.train_cells(v, 16), path)
     exact = neighbors.vector_knn(asked, v, 10).select("qid", "id")
     found = neighbors.search_index(spark, path, asked, 10, 8).select("qid", "id", F.lit(1).alias("hit"))
-    return exact.join(found, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    return exact.join(found, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.sum("id").alias("ids"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+@query("index_eps", f"{_vec_sql('l2')} SELECT qid, id, {rs('distance')} AS distance, rank FROM k WHERE rank <= 60 AND (distance <= 1.2 OR rank <= 3)")
+def index_eps(spark, sf_dir):
+    """All vectors within a distance, at least 3 and at most 60, from a saved index: cells are read until a bound proves that none is missing."""
+    asked, v = _vectors(spark, sf_dir)
+    path = work_path(spark, "cells")
+    neighbors.save_index(v, neighbors.train_cells(v, 16), path)
+    found = indexsearch.search(spark, path, asked, indexsearch.WithinDistance(1.2, 3, 60))
+    return _rounded(found.select("qid", "id", "distance", "rank"), "distance")
+
+@query("index_documents", ORACLE["knn_multivector_docs"])
+def index_documents(spark, sf_dir):
+    """All vectors of the three nearest documents, from a saved index that grew by a batch."""
+    asked, v = _vectors(spark, sf_dir)
+    path = work_path(spark, "cells")
+    neighbors.save_index(v.where("id % 5 > 0"), neighbors.train_cells(v, 16), path, keep=("label",))
+    neighbors.add_to_index(v.where("id % 5 = 0"), path, "more", keep=("label",))
+    return _rounded(indexsearch.documents(spark, path, asked, v, 3), "distance")
 
 @query("knn_in_degree", f"{_vec_sql('l2')} SELECT id, count(*) AS n, CAST(sum(CASE WHEN id = qid THEN 1 ELSE 0 END) AS BIGINT) AS self_links, CAST(0 AS BIGINT) AS repeats FROM k WHERE rank <= 10 GROUP BY id")
 def knn_in_degree(spark, sf_dir):
@@ -815,13 +833,11 @@ def kd_buckets(spark, sf_dir):
 
 @query("sort_by_key", f"WITH {view_sql('halos')} SELECT id, mvir, row_number() OVER (ORDER BY mvir, id) - 1 AS position FROM halos")
 def sort_by_key(spark, sf_dir):
-    halos = view(spark, sf_dir, "halos").select("id", "mvir")
-    low, high = halos.agg(F.min("mvir"), F.max("mvir")).first()
-    return ordering.by_key(ordering.numbered(halos, F.col("mvir"), low or 0.0, (high or 0.0) + 1.0), "mvir")
+    return ordering.by_key(ordering.numbered(view(spark, sf_dir, "halos").select("id", "mvir"), F.col("mvir")), "mvir")
 
 @query("sort_by_axis", f"WITH {view_sql('halos')} SELECT id, y, row_number() OVER (ORDER BY y, id) - 1 AS position FROM halos")
 def sort_by_axis(spark, sf_dir):
-    return ordering.by_axis(ordering.numbered(view(spark, sf_dir, "halos").select("id", "x", "y", "z"), F.col("y"), 0.0, 1.0), 1).select("id", "y", "position")
+    return ordering.by_axis(ordering.numbered(view(spark, sf_dir, "halos").select("id", "x", "y", "z"), F.col("y")), 1).select("id", "y", "position")
 
 @query("sort_xyz", f"WITH {view_sql('halos')} SELECT id, x, y, z FROM halos ORDER BY x, y, z")
 def sort_xyz(spark, sf_dir):
@@ -901,8 +917,7 @@ def mesh_table(spark, sf_dir):
 def radix_order(spark, sf_dir):
     """Rank by the order-preserving integer of a signed double, and turn it back."""
     rows = view(spark, sf_dir, "halos").select("id", "vz").withColumn("bits", bits.ordered_long("vz"))
-    edge = float(2**63)
-    ranked = ordering.numbered(rows, F.col("bits"), -edge, edge)
+    ranked = ordering.numbered(rows, F.col("bits"))
     return ranked.select("id", "vz", "position", (bits.from_ordered_long("bits") == F.col("vz")).alias("same"))
 
 

@@ -13,14 +13,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from nebulark.functions import cosmology as C
+from nebulark.sources.staged import StagedWriter, save
 from nebulark.sources.tables import PARTICLES
 
 # The header's layout. Flags, domains by axis, processes, the file's own domain; global and local
@@ -55,31 +56,36 @@ def velocity_unit(head: dict) -> float:
 
 
 def write(particles: DataFrame, prefix: str, domains: tuple[int, int, int], suffix: str = "") -> int:
-    """Write (id, mass, x, y, z, vx, vy, vz, ix, iy, iz) as a file a domain; returns the row count.
+    """Write (id, mass, x, y, z, vx, vy, vz, ix, iy, iz) as a file a domain, all or none; returns the row count.
 
     A task holds a domain's rows; domains without rows get a file with a header alone.
     """
+    register(particles.sparkSession)
     total = particles.count()
+    _, ny, nz = domains
+    part = F.col("iz") + F.lit(nz) * (F.col("iy") + F.lit(ny) * F.col("ix"))
+    save(particles.select(*SCHEMA.names), "domains", prefix, part, math.prod(domains), total, domains=",".join(map(str, domains)), suffix=suffix)
+    return total
+
+
+class _Writer(StagedWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.domains, self.suffix = tuple(map(int, options["domains"].split(","))), options.get("suffix", "")
+        super().__init__(options, overwrite)
 
-    def put(domain: tuple[int, int, int], rows: np.ndarray) -> None:
-        fs, name = pafs.FileSystem.from_uri(file_name(prefix, domain, suffix))
-        fs.create_dir(name.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(name) as out:
-            out.write(pack_header(domains, domain, len(rows), total) + rows.tobytes())
+    def _domain(self, part: int) -> tuple[int, int, int]:
+        return tuple(int(i) for i in np.unravel_index(part, self.domains))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        domain = tuple(int(rows[c].iloc[0]) for c in ("ix", "iy", "iz"))
-        out = np.zeros(len(rows), RECORD)
+    def name(self, part: int) -> str:
+        return file_name(self.path, self._domain(part), self.suffix)
+
+    def body(self, part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        rows = list(batches)
+        out = np.zeros(sum(b.num_rows for b in rows), RECORD)
         for c in RECORD.names:
-            out[c] = rows[c].to_numpy()
-        put(domain, out)
-        return pd.DataFrame({c: [i] for c, i in zip(("ix", "iy", "iz"), domain, strict=True)})
-
-    done = {tuple(r) for r in particles.groupBy("ix", "iy", "iz").applyInPandas(one, "ix int, iy int, iz int").collect()}  # a row a file
-    for domain in np.ndindex(*domains):
-        if domain not in done:
-            put(domain, np.zeros(0, RECORD))
-    return total
+            out[c] = np.concatenate([b.column(c).to_numpy() for b in rows] or [[]])
+        yield pack_header(self.domains, self._domain(part), len(out), self.total)
+        yield out.tobytes()
 
 
 class _Split(InputPartition):
@@ -137,6 +143,9 @@ class DomainSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> StagedWriter:
+        return _Writer(self.options, overwrite)
+
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -14,14 +14,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from nebulark.sources.staged import StagedWriter, save
+
 # The header's layout (6 species), padded to 256 bytes.
 HEADER = struct.Struct("<6I6d2d2i6I2i4d2i6I")
 HEADER_BYTES = 256
@@ -29,6 +30,7 @@ HEADER_BYTES = 256
 SLICE = 1 << 16
 #: Particles of a file, if the number of files is left open.
 FILE_ROWS = 1 << 22
+_ARROW = pa.schema([("id", pa.int64()), *[(c, pa.float64()) for c in ("x", "y", "z", "vx", "vy", "vz", "pot")]])
 SCHEMA = StructType([StructField("id", LongType()), *[StructField(c, DoubleType()) for c in ("x", "y", "z", "vx", "vy", "vz", "pot")]])
 
 
@@ -46,42 +48,51 @@ def pack_header(count: int, total: int, mass: float, a: float, files: int, box:
     return raw.ljust(HEADER_BYTES, b"\0")
 
 
-def write_file(path: str, header: bytes, pos: np.ndarray, vel: np.ndarray, ids: np.ndarray, pot: np.ndarray) -> None:
-    """Write one file of the format (for fixtures and exports of a partition)."""
-    fs, name = pafs.FileSystem.from_uri(path)
-    fs.create_dir(name.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(name) as out:
-        for block in (header, pos.astype("<f4").tobytes(), vel.astype("<f4").tobytes(), ids.astype("<u8").tobytes(), pot.astype("<f4").tobytes()):
-            mark = struct.pack("<I", len(block))
-            out.write(mark + block + mark)
+def blocks(header: bytes, pos: np.ndarray, vel: np.ndarray, ids: np.ndarray, pot: np.ndarray) -> Iterator[bytes]:
+    """The framed blocks of one file."""
+    for block in (header, pos.astype("<f4").tobytes(), vel.astype("<f4").tobytes(), ids.astype("<u8").tobytes(), pot.astype("<f4").tobytes()):
+        mark = struct.pack("<I", len(block))
+        yield mark + block + mark
 
 
 def write(particles: DataFrame, prefix: str, files: int | None = None, box: float = 1.0, a: float = 1.0, om: float = 0.3, ol: float = 0.7, h: float = 0.7) -> int:
-    """Write (id, x, y, z, vx, vy, vz, pot) as ``files`` files, one a group of rows by id; returns the row count.
+    """Write (id, x, y, z, vx, vy, vz, pot) as ``files`` files by a hash of the id, all or none; returns the row count.
 
     A task holds a file's rows: left open, ``files`` follows the number of rows, about FILE_ROWS each.
     """
+    register(particles.sparkSession)
     total = particles.count()
     files = files or max(1, -(-total // FILE_ROWS))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        k, n = int(rows["k"].iloc[0]), len(rows)
-        stack = lambda *c: rows[list(c)].to_numpy()
-        pot = np.stack([rows["pot"].to_numpy(), np.zeros(n)], 1)
-        write_file(file_name(prefix, k, files), pack_header(n, total, 1.0, a, files, box, om, ol, h), stack("x", "y", "z"), stack("vx", "vy", "vz") / a**0.5, rows["id"].to_numpy(), pot)
-        return pd.DataFrame({"k": [k], "n": [n]})
-
-    def empty(k: int) -> None:
-        write_file(file_name(prefix, k, files), pack_header(0, total, 1.0, a, files, box, om, ol, h), *(np.zeros((0, w)) for w in (3, 3)), np.zeros(0), np.zeros((0, 2)))
-
-    numbered = particles.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(files)).cast("int"))
-    done = {r["k"] for r in numbered.groupBy("k").applyInPandas(one, "k int, n long").collect()}  # a row a file
-    for k in range(files):
-        if k not in done:
-            empty(k)
+    save(particles.select(*SCHEMA.names), "snapshot", prefix, F.pmod(F.xxhash64("id"), F.lit(files)), files, total, box=box, a=a, om=om, ol=ol, h=h)
     return total
 
 
+class _Writer(StagedWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.facts = {k: float(options.get(k, d)) for k, d in (("box", 1.0), ("a", 1.0), ("om", 0.3), ("ol", 0.7), ("h", 0.7))}
+        super().__init__(options, overwrite)
+
+    def name(self, part: int) -> str:
+        return file_name(self.path, part, self.parts)
+
+    def replaced(self) -> list[str]:
+        for first in (file_name(self.path, 0, 1), file_name(self.path, 0, 1001)):
+            if self._exists(first):
+                fs, name = pafs.FileSystem.from_uri(first)
+                with fs.open_input_stream(name) as f:
+                    files = header_of(f.read(4 + HEADER_BYTES)[4:])["files"]
+                return [file_name(self.path, i, files) for i in range(files)]
+        return []
+
+    def body(self, part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        rows = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], schema=_ARROW)])
+        stack = lambda *c: np.stack([rows.column(x).to_numpy() for x in c], 1)
+        f, n = self.facts, rows.num_rows
+        pot = np.stack([rows.column("pot").to_numpy(), np.zeros(n)], 1)
+        head = pack_header(n, self.total, 1.0, f["a"], self.parts, f["box"], f["om"], f["ol"], f["h"])
+        yield from blocks(head, stack("x", "y", "z"), stack("vx", "vy", "vz") / f["a"] ** 0.5, rows.column("id").to_numpy(), pot)
+
+
 def file_name(prefix: str, number: int, files: int) -> str:
     return f"{prefix}.{number // 1000}/{number}" if files > 1000 else f"{prefix}.{number}"
 
@@ -105,7 +116,9 @@ class _Reader(DataSourceReader):
             yield f  # Spark checks them again
 
     def partitions(self):
-        fs, name = pafs.FileSystem.from_uri(self.prefix + ".0")
+        fs, name = pafs.FileSystem.from_uri(file_name(self.prefix, 0, 1))
+        if fs.get_file_info(name).type != pafs.FileType.File:  # many files: the first lies in a folder
+            fs, name = pafs.FileSystem.from_uri(file_name(self.prefix, 0, 1001))
         with fs.open_input_stream(name) as f:
             files = max(1, header_of(f.read(4 + HEADER_BYTES)[4:])["files"])
         return [_Split(file_name(self.prefix, i, files)) for i in range(files)]
@@ -135,8 +148,38 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(cols, names=SCHEMA.names)
 
 
+class _StreamReader(_Reader, DataSourceStreamReader):
+    """Files in the order of their numbers, as they arrive: the offset is the number of the next file.
+
+    A file counts once all before it are there, so the offset stays one number and none is read twice
+    or passed over, whenever the query stops and starts again.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"next": 0}
+
+    def latestOffset(self) -> dict:
+        fs, name = pafs.FileSystem.from_uri(self.prefix)
+        folder, _, stem = name.rpartition("/")
+        there = set()
+        for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            before, _, number = info.base_name.rpartition(".")
+            if before == stem and number.isdigit() and info.type == pafs.FileType.File:
+                there.add(int(number))
+        return {"next": next(k for k in range(len(there) + 1) if k not in there)}
+
+    def partitions(self, start: dict, end: dict):
+        return [_Split(file_name(self.prefix, i, 1)) for i in range(start["next"], end["next"])]
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for offsets that are done."""
+
+
 class SnapshotSource(DataSource):
-    """``spark.read.format("snapshot").load(prefix)``; options velocities and potentials (false skips the block)."""
+    """``spark.read.format("snapshot").load(prefix)``; options velocities and potentials (false skips the block).
+
+    ``readStream`` takes the files prefix.0, prefix.1, ... as they arrive.  :func:`write` writes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -148,6 +191,12 @@ class SnapshotSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> StagedWriter:
+        return _Writer(self.options, overwrite)
+
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

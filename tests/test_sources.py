@@ -85,7 +85,7 @@ def test_streams(spark, tmp_path):
 def test_orders(spark):
     df = spark.createDataFrame([(i, float(i * 37 % 101), [float(-i), float(i)]) for i in range(100)], "id long, v double, pos array<double>")
     assert [x.id for x in ordering.by_axis(df, 0, "pos").limit(2).collect()] == [99, 98]
-    ranks = {x.id: x.position for x in ordering.numbered(df, F.col("v"), 0.0, 101.0).collect()}
+    ranks = {x.id: x.position for x in ordering.numbered(df, F.col("v")).collect()}
     want = sorted(range(100), key=lambda i: (i * 37 % 101, i))
     assert [ranks[i] for i in want] == list(range(100))
     assert [x.id for x in ordering.by_key(df, "v", ascending=False).limit(1).collect()] == [want[-1]]
