@@ -40,6 +40,14 @@ UNITS = frozenset(
     hz khz mhz ghz w kw mw v kv a ma j kj kcal cal pa kpa bar n kn mph kmh kph rpm bit bits byte bytes kb mb gb tb
     usd eur gbp dollar dollars euro euros pound pounds cent cents percent pct degree degrees celsius fahrenheit kelvin""".split()
 )
+#: Spelled-out units: metric prefixes before base units, singular and plural.
+UNITS |= {prefix + base + end for prefix in ("", "kilo", "mega", "giga", "centi", "milli", "micro", "nano") for base in "meter metre gram gramme liter litre watt volt hertz byte joule calorie second newton pascal".split() for end in ("", "s")}
+UNITS |= frozenset("ounce ounces ton tons tonne tonnes decade decades century centuries fortnight acre acres hectare hectares gallon gallons yen rupee rupees peso pesos".split())
+#: Spelled-out numbers that are no other word.
+NUMBER_WORDS = frozenset(
+    """two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty
+    thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice thrice""".split()
+)
 NAMES = frozenset(
     """james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica
     thomas sarah charles karen daniel lisa matthew nancy anthony betty mark sandra paul ashley steven emily andrew donna
@@ -100,6 +108,8 @@ class Templates:
             kind, shape = 3, "\0unit"
         elif word in NAMES:
             kind, shape = 2, "\0name"
+        elif word in NUMBER_WORDS:
+            kind, shape = 1, "\0number"
         elif not word.isalpha():
             if _NUMBER.match(word):
                 kind, shape = 1, "\0number"
@@ -226,9 +236,9 @@ def _id_of(key: str, kind: DataType) -> Column:
     return F.when(named != "null", F.substring(named, 2, 1 << 30)).cast(kind)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_id: str, item_text: str, without_id: bool) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
     """As ``contaminated``, with row_key as doc_id."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(row_key(item_id, item_text).alias("key"), text_of(item_text).alias("text")).dropDuplicates(["key"])
+    items = benchmark.select(row_key(item_id, item_text).alias("key"), text_of(item_text).alias("text")).dropDuplicates(["key"])
     known = materialize(template_windows(items, None), "benchmark-windows").withColumnsRenamed({"key": "item", "pos": "item_pos", "slots": "item_slots", "total": "n_windows"})
     n = known.count()
     # The bitmap has a fixed size: its set positions come a distinct slot at a time, 2**BITMAP_BITS at most.
@@ -238,8 +248,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str,
         wanted[part["p"]] = True
     lengths = tuple(sorted(x["length"] for x in known.where("length > 0").select("length").distinct().collect()))  # a number a length
     small = F.broadcast if n <= BROADCAST_WINDOWS else (lambda df: df)
-    rows = docs if without_id else docs.where(F.col(id_col).isNotNull())
-    rows = rows.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    rows = docs.select(row_key(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
     seen = materialize(template_windows(rows, wanted, lengths).withColumnRenamed("key", "doc_id").drop("total"), "benchmark-seen")
 
     # A document must hold some of the item's rarest windows: with n of them and k needed, one of the n - k + 1 rarest.
@@ -263,21 +272,21 @@ def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str,
     return found.groupBy("doc_id", _id_of("item", benchmark.schema[item_id].dataType).alias("item_id")).agg(best).select("doc_id", "item_id", "b.coverage", "b.n_windows", (~F.col("b.same")).alias("changed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", without_id: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, changed) of each document that holds enough of an item.
 
     ``coverage`` is the share of the item's windows found on consistent diagonals, ``changed`` whether
     a slot differs on all of these.  Texts that share an item id are items each; the best one counts.  Null texts are empty.  An item without a window that counts (fewer than WINDOW
     words, or too many slots) matches its exact words in any case, one of fewer than LITERALS words
     only as whole lines; a text or item without words matches nothing.  Rows with one id are told
-    apart by their texts, equal ones are one document; rows without id are left out unless
-    ``without_id``.  Empty tables give no rows; other columns are ignored.
+    apart by their texts, equal ones are one document; rows and items without id are rows and items like
+    others, with a null.  Empty tables give no rows; other columns are ignored.
     """
-    found = _found(docs, benchmark, coverage, id_col, text_col, item_id, item_text, without_id)
+    found = _found(docs, benchmark, coverage, id_col, text_col, item_id, item_text)
     return found.select(_id_of("doc_id", docs.schema[id_col].dataType).alias("doc_id"), "item_id", "coverage", "n_windows", "changed")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all their columns; rows without id stay unless ``without_id``."""
-    found = _found(docs, benchmark, COVERAGE, id_col, text_col, "item_id", "text", without_id).select(F.col("doc_id").alias("key")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns; nulls as in ``contaminated``."""
+    found = _found(docs, benchmark, COVERAGE, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("key")).distinct()
     return without_rows(docs, row_key(id_col, text_col), materialize(found, "benchmark-found"))

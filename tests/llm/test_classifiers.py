@@ -155,6 +155,10 @@ def test_rows_of_one_id_and_rows_without_id(spark, tmp_path):
     kept = dict(STAGES)["benchmark_decontamination"](spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1] != item)
+    nameless = spark.createDataFrame([(None, item), (None, "another item of some seven words here")], "item_id long, text string")
+    found = decontam.contaminated(docs, nameless).collect()
+    assert sorted((str(x.doc_id), x.item_id) for x in found) == [("1", None), ("None", None)]
+    assert sorted(str(x.doc_id) for x in decontam.drop_contaminated(docs, nameless).collect()) == ["1", "2", "2", "3", "None"]
 
 
 def test_licences_found_and_no_others(spark):

@@ -120,3 +120,24 @@ def test_items_of_one_id_and_other_types(spark):
     docs = spark.createDataFrame([(1, one), (2, two), (3, "nothing")], "doc_id int, text string")
     got = sorted((x.doc_id, x.item_id, x.coverage) for x in decontam.contaminated(docs, bench).collect())
     assert got == [(1, "a", 1.0), (2, "a", 1.0), (2, "b", 1.0)]
+
+
+def test_other_numbers_and_units_in_words(spark):
+    """Re-parameterised copies whose numbers are spelled out and whose units have other forms than the item's."""
+    items = [
+        (1, "A train covers 60 km in 2 hours along the coast. How far does it travel at this speed in 5 hours of steady driving?"),
+        (2, "The baker mixes 3 kg of flour with 500 ml of water for each tray. How much flour does she need for 12 trays?"),
+        (3, "A pump fills a tank of 900 liters in 45 minutes. How many liters does the pump move in one and a half hours?"),
+        (4, "Two boxes weigh 14 pounds together and one is 4 pounds heavier than the other. How heavy is the lighter box?"),
+    ]
+    copies = [
+        (10, "A train covers 85 kilometers in three hours along the coast. How far does it travel at this speed in seven hours of steady driving?", 1),
+        (11, "a train covers ninety kilometres in 3 h along the coast. how far does it travel at this speed in 8 h of steady driving?", 1),
+        (20, "The baker mixes seven kilograms of flour with 250 milliliters of water for each tray. How much flour does she need for twenty trays?", 2),
+        (30, "A pump fills a tank of 1200 gallons in thirty seconds. How many gallons does the pump move in one and a half days?", 3),
+        (40, "Two boxes weigh eighteen kilograms together and one is six kilograms heavier than the other. How heavy is the lighter box?", 4),
+    ]
+    clean = [(90, "Two old boats and three small dogs went to the coast for seven days of rest."), (91, "The baker sells ten loaves and walks home in an hour.")]
+    docs = spark.createDataFrame([(i, f"Some words before it.\n{t}\nAnd after it.") for i, t, _ in copies] + clean, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id, x.changed) for x in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, item, True) for i, _, item in copies}

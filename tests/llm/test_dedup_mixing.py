@@ -72,18 +72,45 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         capped |= over
 
 
-def test_divisor_gives_the_highest_quotients(spark):
-    r = random.Random(4)
-    votes = [r.uniform(0, 900) for _ in range(60)]
-    seats = 400
-    heap, quota = [(-v, k, 0) for k, v in enumerate(votes)], [0] * 60
+def plain_quotas(votes, seats):
+    heap, quota = [(-v, k, 0) for k, v in enumerate(votes)], [0] * len(votes)
     heapq.heapify(heap)
     for _ in range(seats):
         _, k, n = heapq.heappop(heap)
         quota[k] += 1
         heapq.heappush(heap, (-votes[k] / (2 * n + 3), k, n + 1))
-    d = mixing.divisor(spark.createDataFrame([(v,) for v in votes], "votes double"), seats, sum(votes) / seats)
-    assert [int(v / d + 0.5) for v in votes] == quota
+    return quota
+
+
+def test_quotas_are_the_highest_quotients(spark):
+    r = random.Random(4)
+    sources = {"many": ([r.uniform(0, 900) for _ in range(60)], 400), "tiny": ([0.5, 1.25, 3.0], 2), "one": ([7.0], 5), "none": ([4.0, 2.0], 0), "zero": ([0.0, 0.0], 0), "wide": ([1e-3, 1e6, 40.0], 90)}
+    sources["ties"] = ([2.5] * 41, 100)
+    rows = [(k, i, v, seats, "x") for k, (votes, seats) in sources.items() for i, v in enumerate(votes)]
+    got = {}
+    for x in mixing.quotas(spark.createDataFrame(rows, "skey string, shard long, votes double, seats long, other string")).collect():
+        got.setdefault(x.skey, {})[x.shard] = x.quota
+    for k, (votes, seats) in sources.items():
+        mine = [got[k][i] for i in range(len(votes))]
+        assert sum(mine) == seats
+        assert sorted(mine) == sorted(plain_quotas(votes, seats)) if k == "ties" else mine == plain_quotas(votes, seats)
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of one to ten words beside each other and beside a large one."""
+    for large in (0, 4000):
+        texts = [(f"s{i:03d}", "w " * (1 + i % 10)) for i in range(300)] + [("big", "b " * 50)] * (large // 50)
+        df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+        sizes, longest, took = {}, {}, {}
+        for s, t in texts:
+            sizes[s] = sizes.get(s, 0) + len(t.split())
+            longest[s] = len(t.split())
+        want = plain_targets(sizes)
+        for x in mixing.mix_sources(df).collect():
+            assert x.taken <= 2 * x["size"] and x.target == pytest.approx(want[x.source])
+            took[x.source] = took.get(x.source, 0) + x.taken
+        assert all(abs(took[s] - t) <= min(longest[s], 1.0) for s, t in want.items() if s != "big")
+        assert not large or abs(took["big"] - want["big"]) <= 50
 
 
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
