@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,34 @@ def so2(a: Column, b: Column) -> Column:
 
 #: so3 compares quaternions by their squared distance.
 METRICS = {"ip": ip_distance, "l2": l2, "l1": l1, "so3": l2, "l2_bytes": l2_bytes}
+
+
+def _rows(distance: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A metric of differences, a query at a time: near vectors keep their digits, and memory is a block's."""
+    return lambda q, v: np.array([distance(v - row) for row in q]).reshape(len(q), len(v))
+
+
+def _squares(d: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", d, d)
+
+
+def _angles(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d = np.abs(v[None, :, 0] - q[:, None, 0])
+    return np.where(d > np.pi, np.abs(d - 2 * np.pi), d)
+
+
+#: Distances of each query row to each vector row, by name; see :func:`register_metric`.
+BLOCK_METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "ip": lambda q, v: 1.0 - q @ v.T,
+    "l2": _rows(_squares),
+    "box": _rows(lambda d: _squares(d - np.floor(d + 0.5))),  # to nearest images in the unit box
+    "l1": _rows(lambda d: np.abs(d).sum(1)),
+    "so2": _angles,
+    "so3": _rows(_squares),
+    "l2_bytes": _rows(_squares),
+}
+
+
+def register_metric(name: str, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """A metric for block search: a function of query rows and vector rows (doubles) that gives their distances as a matrix."""
+    BLOCK_METRICS[name] = distance

@@ -3,22 +3,31 @@
 A pass transforms the planes of one axis (2-D, grouped by ix), the next the lines along it.  A group
 is one plane of n^2 cells, so memory is bounded by a plane and work spreads over n groups a pass;
 the shuffle between them is the transpose.  Cells travel as (ix, iy, iz, re, im); with ``batch``, a
-column that numbers meshes, many meshes are transformed in the same two passes.
+column that numbers meshes, many meshes are transformed in the same two passes.  Where a plane is too
+large for a task, ``pencil`` takes three passes of lines, a tile of lines a group.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ["ix", "iy", "iz"]
 #: The axis whose planes come first, and the axis of the planes in which the last lines lie.
 LAYOUTS = {"slab": ("ix", "iy"), "slab_y": ("iy", "ix"), "slab_z": ("iz", "iy")}
+#: Lines of cells in tiles of two axes; ``brick`` also lays the result out in tiles of three.
+TILED = ("pencil", "brick")
+#: Cells of a tile, about.
+TILE_CELLS = 1 << 22
 
 
 def _transform(cells: DataFrame, n: int, inverse: bool, layout: str, batch: str | None) -> DataFrame:
+    if layout in TILED:
+        return _tiled(cells, n, inverse, layout, batch)
     first, second = LAYOUTS[layout]
     fft2, fft1 = (np.fft.ifft2, np.fft.ifft) if inverse else (np.fft.fft2, np.fft.fft)
     scale2, scale1 = (n * n, n) if inverse else (1, 1)  # unnormalised both ways
@@ -45,6 +54,48 @@ def _transform(cells: DataFrame, n: int, inverse: bool, layout: str, batch: str
     return cells.groupBy(*lead, first).applyInPandas(planes, schema).groupBy(*lead, second).applyInPandas(lines, schema)
 
 
+def tiles_of(n: int) -> int:
+    """Tiles of an axis, at least two, for which n^3 cells in square tiles of lines have some TILE_CELLS each."""
+    return min(n, max(2, math.ceil((n**3 / TILE_CELLS) ** 0.5)))
+
+
+def _tile(axis: str, n: int, tiles: int) -> Column:
+    return F.expr(f"int({axis} * {tiles} div {n})")
+
+
+def _lines(cells: DataFrame, n: int, along: str, tiles: int, inverse: bool, lead: list[str], schema: str) -> DataFrame:
+    """Transform along one axis; a group is a tile of the other two axes."""
+    across = [c for c in AXES if c != along]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        first, end = ([-(-(int(k) + j) * n // tiles) for k in key[-2:]] for j in (0, 1))
+        shape = [e - f for f, e in zip(first, end, strict=True)]
+        values = np.zeros((*shape, n), complex)
+        values[rows[across[0]] - first[0], rows[across[1]] - first[1], rows[along]] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        values = np.fft.ifft(values, axis=2) * n if inverse else np.fft.fft(values, axis=2)
+        i, j, k = np.indices(values.shape, dtype=np.int32)
+        out = {across[0]: i.ravel() + np.int32(first[0]), across[1]: j.ravel() + np.int32(first[1]), along: k.ravel(), "re": values.real.ravel(), "im": values.imag.ravel()}
+        out |= {c: np.int32(v) for c, v in zip(lead, key, strict=False)}
+        return pd.DataFrame(out)[[*lead, *AXES, "re", "im"]]
+
+    return cells.groupBy(*lead, *[_tile(c, n, tiles).alias(f"t{c}") for c in across]).applyInPandas(run, schema)
+
+
+def _tiled(cells: DataFrame, n: int, inverse: bool, layout: str, batch: str | None) -> DataFrame:
+    lead = [batch] if batch else []
+    schema = ", ".join([f"{c} int" for c in lead + AXES] + ["re double", "im double"])
+    tiles = tiles_of(n)
+    for along in reversed(AXES):
+        cells = _lines(cells, n, along, tiles, inverse, lead, schema)
+    return bricks(cells, n) if layout == "brick" else cells
+
+
+def bricks(cells: DataFrame, n: int) -> DataFrame:
+    """Cells laid out by bricks, near ones in one partition, a brick of about a tile's cells."""
+    side = min(n, max(2, math.ceil((n**3 / TILE_CELLS) ** (1 / 3))))
+    return cells.repartition(side**3, *[_tile(c, n, side) for c in AXES])
+
+
 def forward(mesh: DataFrame, n: int, layout: str = "slab", batch: str | None = None) -> DataFrame:
     """All n^3 modes of a real mesh (ix, iy, iz, val) whose missing cells are 0, provided each plane has a cell."""
     lead = [batch] if batch else []

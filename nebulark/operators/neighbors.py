@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nebulark.functions import geometry as G
-from nebulark.functions.metrics import l2
+from nebulark.functions.metrics import BLOCK_METRICS, l2
 from nebulark.operators.pairs import range_pairs
 from nebulark.plans.work import cut
 
@@ -84,21 +84,6 @@ def ghosts(points: DataFrame, pad: float) -> DataFrame:
     return out.where(inside).withColumn("ghost", image).drop("__s")
 
 
-def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of query rows to vector rows, in double."""
-    if metric == "ip":
-        return 1.0 - q @ v.T
-    if metric == "so2":  # one angle each
-        d = np.abs(v[None, :, 0] - q[:, None, 0])
-        return np.where(d > np.pi, np.abs(d - 2 * np.pi), d)
-    out = np.empty((len(q), len(v)))
-    for i, row in enumerate(q):  # differences, not expanded squares: near vectors keep their digits
-        d = v - row
-        d = d - np.floor(d + 0.5) if metric == "box" else d  # nearest images in the unit box
-        out[i] = np.abs(d).sum(1) if metric == "l1" else np.einsum("ij,ij->i", d, d)
-    return out
-
-
 def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
     """Rows packed into arrays of about ``size``, one row a block."""
     n = max(1, -(-rows.count() // size))
@@ -114,7 +99,7 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     only those are ranked together.  ``per`` names a kept column of whose values each gives its own k, and with
     ``most`` only so many values a meeting, the nearest ones.  Ids keep their types.
     Metrics: l2 (squared), box (the same to nearest images in the unit box), l1, ip (1 - inner product),
-    so2 (wrapped angle, one component).  Null vectors are left out; ``keep`` columns come along.
+    so2 (wrapped angle, one component), so3 (quaternions, as l2), l2_bytes, and those that were registered.  Null vectors are left out; ``keep`` columns come along.
     """
     pool = vectors if where is None else vectors.where(where)
     pool = pool.select("id", vector, *keep).where(F.col(vector).isNotNull())
@@ -124,6 +109,8 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     q = _blocks(asked, QUERY_BLOCK, "id", vector).withColumnsRenamed({"id": "qid", vector: "__q"})
     v = _blocks(pool.withColumn("__keep", F.struct(F.lit(1).alias("one"), *keep)), VECTOR_BLOCK, "id", vector, "__keep")
 
+    distances = BLOCK_METRICS[metric]
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -131,7 +118,7 @@ def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
                 qid, at = row["qid"], row["id"].to_numpy(zero_copy_only=False)
                 at = at.astype(str) if at.dtype == object else at
                 matrix = lambda c, n: row[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                d = _distances(matrix("__q", len(qid)), matrix(vector, len(at)), metric)
+                d = distances(matrix("__q", len(qid)), matrix(vector, len(at)))
                 kept = row["__keep"]
                 group = np.zeros(len(at), np.int64) if per is None else pd.factorize(kept.field(per).to_pandas(), use_na_sentinel=False)[0]
                 who, place = [], []
@@ -236,7 +223,7 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, probe: int, vector: s
     @F.pandas_udf("array<int>")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            d = _distances(np.array(s.tolist(), np.float64), shared.value, "l2")
+            d = BLOCK_METRICS["l2"](np.array(s.tolist(), np.float64), shared.value)
             yield pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)))
 
     return vectors.withColumn("cells", nearest(F.col(vector)))

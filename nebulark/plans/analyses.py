@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nebulark.config import AnalysisConfig, RadialBins, SpspBins
 from nebulark.operators import catalog, fft, jackknife, mesh, moments, pairs, spectrum
-from nebulark.plans import programs
+from nebulark.plans import indexes, programs  # noqa: F401  (indexes registers its queries)
 from nebulark.plans.fixtures import view, view_sql
 from nebulark.plans.queries import (
     BOX, JK_LEVEL, JK_SLICES, K_BINS, LAG_BINS, MESH, ORACLE, PROGRAM, QUERIES, R_BINS, SMU, SPSP, N,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 HALOS = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "z", "vx", "vy", "vz", "pot", "mvir")], T.StructField("child_level", T.IntegerType())])
 PARTICLES = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("mass", "x", "y", "z", "vx", "vy", "vz")]])
@@ -64,6 +65,34 @@ def read_text_header(spark: SparkSession, path: str) -> DataFrame:
     return line.select(F.regexp_extract("value", pattern, 1).alias("key"), F.expr("try_cast(nullif(regexp_extract(value, '^#\\\\s*([A-Za-z_]\\\\w*)\\\\s*[=:]\\\\s*([-+0-9.eE]+)', 2), '') as double)").alias("number")).where("key <> ''")
 
 
+def with_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A Parquet table with the place of each row, 0-based, over its files in order of their names."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = df.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))  # a row a file
+    return df.join(F.broadcast(offsets), "__file").withColumn(name, F.col("__off") + F.col("__row")).drop("__file", "__row", "__off")
+
+
+def zip_columns(spark: SparkSession, *paths: str) -> DataFrame:
+    """Tables that hold columns of the same rows in the same order, side by side, with the rows' position.
+
+    A row's place comes from its file and its place there, so nothing is sorted to find it; tables may be cut
+    into files differently.  ValueError if their lengths or column names clash.
+    """
+    tables = [with_positions(spark, p) for p in paths]
+    names = [c for t in tables for c in t.columns if c != "position"]
+    if len(set(names)) < len(names):
+        raise ValueError("the tables share column names")
+    lengths = [spark.read.parquet(p).count() for p in paths]  # from the files' footers
+    if len(set(lengths)) > 1:
+        raise ValueError(f"the tables have {', '.join(map(str, lengths))} rows")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, "position")
+    return out
+
+
 def write_mesh(mesh: DataFrame, path: str, n: int, size: float) -> None:
     """A cell table with the mesh size and the box in each file's rows, partitioned by slabs of ix."""
     mesh.withColumns({"n": F.lit(n), "size": F.lit(size)}).repartition("ix").write.mode("overwrite").parquet(path)
