@@ -215,6 +215,64 @@ def test_cut_and_edited_notices_are_recalled_and_prose_is_not(spark):
     assert not any(got[i] for i, (f, _) in enumerate(texts) if f is None)
 
 
+#: Notices in the words that projects use, none of them a template.
+NOTICES = {
+    "LGPL": (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this package; if not, see <https://example.org/licenses/>.",
+    ),
+    "AGPL": (
+        "This file is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3, as published by the Free Software Foundation.",
+        "Our server is licensed under the GNU Affero General Public License version 3 or later.",
+    ),
+    "GPL": (
+        "This package is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this file.  If not, write to us.",
+    ),
+    "BSD": (
+        "1. Redistributions of source code must retain the copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above notice, this list of\n   conditions and the following disclaimer in the documentation.",
+        "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without prior permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "MIT": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT.',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files (the Software), to deal in it without restriction",
+    ),
+    "CC-BY": ("This article is licensed under a Creative Commons Attribution 3.0 License.", "Content is licensed under CC BY 2.0."),
+    "CC-BY-SA": ("The text is available under the Creative Commons Attribution-ShareAlike 4.0 License; more terms may apply.", "Images: licensed under CC BY-SA 2.5."),
+    "CC-BY-NC": ("These slides are licensed under a Creative Commons Attribution-NonCommercial 4.0 License.",),
+    "Apache-2.0": ("This module is licensed under the Apache License, Version 2.0 (see LICENSE).",),
+    "EPL": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",),
+    "BSL-1.0": ("// Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of this software and accompanying documentation covered by this license"),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event shall the author be held liable for any damages arising from its use.",),
+    "WTFPL": ("This is licensed under the Do What The Fuck You Want To Public License.",),
+    "ISC": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that",),
+}
+#: Terms of no family that is known here.
+OTHERS = (
+    "Licensed under the European Union Public Licence.",
+    "This file is licensed under the Artistic License 2.0 as our distribution asks.",
+    "Use of this service is subject to the terms of the agreement that you signed with the provider.",
+    "You may redistribute this poem to your friends under the terms that your teacher sets.",
+    "The library is free for all students; software is lent for any purpose at no fee.",
+    "Creative people at common tables give attribution to each other.",
+)
+
+
+def test_notices_in_other_words_and_terms_of_no_known_family(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = license_scan.train(docs)
+    texts = [(f, t) for f, ts in NOTICES.items() for t in ts] + [(None, t) for t in OTHERS]
+    prose = "The river runs down to the sea while old boats lie on the shore.\n"
+    rows = [(i, prose + t + "\n" + prose) for i, (_, t) in enumerate(texts)]
+    got = {x.doc_id: x.families for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    wrong = [(f, got[i], t) for i, (f, t) in enumerate(texts) if got[i] != ([f] if f else [])]
+    named = [(f, got[i]) for i, (f, _) in enumerate(texts) if got[i]]
+    assert sum(f in g for f, g in named if f) >= 0.9 * sum(f is not None for f, _ in texts), wrong
+    assert sum(g == [f] for f, g in named) >= 0.9 * len(named), wrong
+
+
 def test_notices_of_every_template_inside_one_long_line(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = license_scan.train(docs)
