@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nebulark.plans.work import cut
+
 AXES = ("x", "y", "z")
 CELL = ["ix", "iy", "iz"]
 
@@ -94,7 +96,11 @@ def dense(mesh: DataFrame, n: int, value: str = "val") -> DataFrame:
 
 
 def contrast(mesh: DataFrame, n: int) -> DataFrame:
-    """delta = val / mean - 1 on every cell; 0 on an empty mesh."""
+    """delta = val / mean - 1 on every cell; 0 on an empty mesh.
+
+    The mesh is written once, n^3 rows at most: its mean and its cells come from one scatter.
+    """
+    mesh = cut(mesh)
     mean = mesh.agg((F.sum("val") / F.lit(float(n**3))).alias("mean"))
     cells = dense(mesh, n).crossJoin(F.broadcast(mean))  # one row
     return cells.select(*CELL, F.when(F.col("mean") != 0, F.col("val") / F.col("mean") - F.lit(1.0)).otherwise(F.lit(0.0)).alias("val"))

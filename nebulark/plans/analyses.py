@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nebulark.config import AnalysisConfig, RadialBins, SpspBins
 from nebulark.operators import catalog, fft, jackknife, mesh, moments, pairs, spectrum
 from nebulark.plans import indexes, programs  # noqa: F401  (indexes registers its queries)
-from nebulark.plans.fixtures import view, view_sql
+from nebulark.plans.fixtures import VIEWS, view, view_sql
 from nebulark.plans.queries import (
     BOX, JK_LEVEL, JK_SLICES, K_BINS, LAG_BINS, MESH, ORACLE, PROGRAM, QUERIES, R_BINS, SMU, SPSP, N,
     _asked, _AUTO, _batch_dft_sql, _binned_sql, _cells_sql, _CROSS, _delta, _FOLD, _JK, _JKN, _KLEN, _leave_sql, _NH, _NP, _NR, _NT, _OWNER, _P, _PB, _randoms, _rounded, _SELECTED, _shell, _SIG, _SPINE2, _U, _w2_sql,
@@ -211,6 +211,15 @@ def program_halo_xi2d_wp(spark, sf_dir):
     xi = programs.halo_xi_2d(_halos(spark, sf_dir), PROGRAM, "spsp", 3)
     return _rounded(programs.projected(xi, PROGRAM, "spsp", 3), "wp", digits=9)
 
+_XCROSS = f"""{_H}, {pairs_sql('h', 'tracers', _SMU2.r.high)}, c AS ({_smu_of('p', _SMU2)}), x AS (SELECT s.ir, s.im AS imu, coalesce(c.n, 0) AS n, CAST((SELECT count(*) FROM h) AS DOUBLE)*{_NT}*{_shell(_SMU2.r).replace('ir', 's.ir')}*{d(_SMU2.mu_step)} AS rr
+  FROM {_SPINE2.format(_SMU2.r.n, _SMU2.n_mu)} s LEFT JOIN c ON c.ir = s.ir AND c.imu = s.im)"""
+
+@query("program_halo_xi2d_cross", f"{_XCROSS} SELECT ir, imu, n, {rs('rr', 4)} AS rr, {rs('CASE WHEN rr > 0 THEN n/rr - 1 ELSE 0 END')} AS xi FROM x")
+def program_halo_xi2d_cross(spark, sf_dir):
+    """Two catalogues in bins of separation and angle."""
+    other = view(spark, sf_dir, "tracers").select("id", "x", "y", "z")
+    return _rounded(_rounded(programs.halo_xi_2d(_halos(spark, sf_dir), PROGRAM, "smu", 4, other), "xi"), "rr", digits=4)
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> str:
     """Halos as a snapshot of 32-bit floats in length units."""
     snapshot.register(spark)
@@ -369,3 +378,26 @@ def stream_snapshot(spark, sf_dir):
     live = live.withColumns({c: F.col(c) / F.lit(1000.0) for c in "xyz"})
     streams.start_into_memory(streams.mesh_stream(live, N, "cic"), name).awaitTermination()
     return _rounded(spark.table(name), "val")
+
+
+# ---- event time, and points made to the size of a catalogue
+
+_DAYS = f"WITH {view_sql('tracers')}, timed AS (SELECT t.*, e.ts FROM tracers t JOIN events e ON e.event_id = t.id), {exploded_sql('timed', 4, 'ngp', 'mass, ts')}"
+
+@query("windowed_mesh", f"{_DAYS} SELECT CAST(date_trunc('day', ts) AS DATE) AS day, ix, iy, iz, {rs('sum(w*mass)', 4)} AS val FROM e GROUP BY 1, 2, 3, 4")
+def windowed_mesh(spark, sf_dir):
+    """Mass by cell and day of a stream of events, read to its present end."""
+    path = f"{sf_dir}/events.parquet"
+    live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace(".parquet", ".parque[t]"))
+    at = "CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP) AS ts"  # days are UTC's, whatever the session's zone
+    live = live.selectExpr(at, *[f"{e} AS {c}" for c, e in VIEWS["tracers"][1].items()])
+    name = f"days_{uuid.uuid4().hex}"
+    streams.start_into_memory(streams.windowed_density(live, 4), name).awaitTermination()
+    return _rounded(spark.table(name).select(F.expr("date_from_unix_date(int(unix_seconds(window.start) div 86400))").alias("day"), "ix", "iy", "iz", "val"), "val", digits=4)
+
+_CORNERS = ", ".join(f"CASE WHEN g < n THEN {e}*{d(0.1)} ELSE {d(0.9)} + {e}*{d(0.1)} END AS {c}" for k, c in enumerate("xyz") for e in [f"(CAST({hash_sql(f'(g * 3 + {k})', 31 + k)} AS DOUBLE)/{d(float(catalog.HASH_MOD))})"])
+
+@query("corner_clusters", f"WITH {view_sql('halos')}, g AS (SELECT unnest(range(2*(SELECT count(*) FROM halos))) AS g, (SELECT count(*) FROM halos) AS n), c AS (SELECT g AS id, {_CORNERS} FROM g) SELECT id, {', '.join(f'{rs(c, 9)} AS {c}' for c in 'xyz')} FROM c")
+def corner_clusters(spark, sf_dir):
+    """Two clusters of as many points as the catalogue has halos."""
+    return _rounded(catalog.corner_clusters(spark, view(spark, sf_dir, "halos").count()), *"xyz", digits=9)
