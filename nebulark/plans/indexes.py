@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from nebulark.functions import metrics
 from nebulark.functions.geometry import AXES
-from nebulark.operators import fft, levels, mesh, neighbors, splits
+from nebulark.operators import fft, graph, levels, mesh, neighbors, splits
 from nebulark.plans.fixtures import view, view_sql
-from nebulark.plans.queries import ORACLE, N, _asked, _delta, _knn_sql, _rounded, d, query, rs
+from nebulark.plans.queries import ORACLE, N, _asked, _delta, _knn_sql, _rounded, _vec_sql, _vectors, d, query, rs
 from nebulark.plans.work import work_path
 from nebulark.sources import tables
 
@@ -137,3 +137,57 @@ def knn_bytes(spark, sf_dir):
     """Nearest vectors of small integers."""
     v = view(spark, sf_dir, "halos").select("id", F.array(*[F.floor(F.col(c) * 256).cast("short") for c in AXES]).alias("embedding"))
     return _rounded(neighbors.vector_knn(_asked(v), v, 5, "l2_bytes").select("qid", "distance", "rank"), "distance", digits=9)
+
+
+# ---- the neighbour graph
+
+
+_OTHERS = _vec_sql("l2", "q.id <> p.id")
+_FOUND = f"SELECT qid, count(*) AS wanted, CAST(sum(id) AS BIGINT) AS ids, {rs('max(distance)')} AS reach, true AS enough FROM k WHERE rank <= 10 GROUP BY qid"
+
+
+def _held_against(exact, found):
+    """The exact neighbours of each query, and whether nine in ten of all of them were found."""
+    sides = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    share = sides.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    each = sides.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"), F.sum("id").alias("ids"), F.max("distance").alias("reach"))
+    return _rounded(each.crossJoin(F.broadcast(share)), "reach")  # one row
+
+
+@query("graph_recall", f"{_OTHERS} {_FOUND}")
+def graph_recall(spark, sf_dir):
+    """Links of the descended graph against the exact neighbours."""
+    asked, v = _vectors(spark, sf_dir)
+    exact = neighbors.top_k(neighbors.vector_knn(asked, v, 11).drop("rank").where("qid <> id"), 10, "qid", "distance")
+    return _held_against(exact, graph.build(v, 10).withColumnsRenamed({"src": "qid", "dst": "id"}))
+
+
+@query("graph_search", f"{_vec_sql('l2')} {_FOUND}")
+def graph_search(spark, sf_dir):
+    """A search along the graph's diverse links, by a beam, against the exact neighbours."""
+    asked, v = _vectors(spark, sf_dir)
+    links = graph.both_ways(graph.build(v, 16), v, 16)
+    return _held_against(neighbors.vector_knn(asked, v, 10), graph.search(asked, links, v, 10, width=64))
+
+
+_SOUND = "CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS loose"
+
+
+@query("graph_degrees", f"SELECT count(*) AS vectors, 10*count(*) AS links, CAST(10 AS BIGINT) AS least_out, CAST(10 AS BIGINT) AS most_out, CAST(10 AS DOUBLE) AS mean_in, {_SOUND} FROM embeddings")
+def graph_degrees(spark, sf_dir):
+    """The descended graph is whole: ten links out of each vector, none to itself, twice or to nothing."""
+    v = view(spark, sf_dir, "vectors")
+    return graph.degrees(graph.build(v, 10), v).drop("least_in", "most_in")
+
+
+@query(
+    "knn_degrees",
+    f"""{_vec_sql('l2').replace('q AS (SELECT * FROM v WHERE id % 100 = 0)', 'q AS (SELECT * FROM v)').replace('WHERE true', 'WHERE q.id <> p.id')}, l AS (SELECT id, count(*) AS n FROM k WHERE rank <= 10 GROUP BY 1), o AS (SELECT qid, count(*) AS n FROM k WHERE rank <= 10 GROUP BY 1),
+    a AS (SELECT coalesce(l.n, 0) AS n_in, o.n AS n_out FROM embeddings e LEFT JOIN l ON l.id = e.vec_id JOIN o ON o.qid = e.vec_id)
+    SELECT count(*) AS vectors, CAST(sum(n_out) AS BIGINT) AS links, min(n_out) AS least_out, max(n_out) AS most_out, min(n_in) AS least_in, max(n_in) AS most_in, sum(n_in)/CAST(count(*) AS DOUBLE) AS mean_in, {_SOUND} FROM a""",
+)
+def knn_degrees(spark, sf_dir):
+    """Degrees of the exact graph of ten neighbours."""
+    v = view(spark, sf_dir, "vectors")
+    near = neighbors.vector_knn(v, v, 11).drop("rank").where("qid <> id")
+    return graph.degrees(neighbors.top_k(near, 10, "qid", "distance").withColumnsRenamed({"qid": "src", "id": "dst"}), v)
