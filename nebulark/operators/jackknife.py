@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.config import RadialBins, SmuBins
+from nebulark.config import RadialBins, SmuBins, SpspBins
 from nebulark.functions import geometry as G
 from nebulark.operators import ordering
 from nebulark.operators.catalog import row_hash
-from nebulark.operators.pairs import counted, project_smu, range_pairs, separated, spine
+from nebulark.operators.pairs import counted, project_smu, project_spsp, range_pairs, separated, spine
 
 
 def spatial_blocks(cat: DataFrame, level: int) -> DataFrame:
@@ -70,6 +70,16 @@ def leave_one_out_smu(cat: DataFrame, bins: SmuBins, blocks: int, axis: str = "z
     return _without(ends, frame, ["ir", "imu"], blocks)
 
 
+def leave_one_out_spsp(cat: DataFrame, bins: SpspBins, blocks: int, axis: str = "z") -> DataFrame:
+    """(block_id, iperp, ipar, n) of one catalogue with the part along the line of sight folded."""
+    pairs = range_pairs(cat, None, bins.reach, keep=("block_id",))
+    across = F.sqrt(G.square(tuple(F.col(f"d{c}") for c in G.AXES if c != axis)))
+    iperp, ipar = G.spsp_bins(across, F.col(f"d{axis}"), bins)
+    ends = counted(pairs.select(iperp.alias("iperp"), ipar.alias("ipar"), "block_id1", "block_id2"), "iperp", "ipar", "block_id1", "block_id2")
+    across_bins, along_bins = (cat.sparkSession.range(n).select(F.col("id").cast("int").alias(c)) for n, c in ((bins.perp.n, "iperp"), (bins.n_par, "ipar")))
+    return _without(ends, across_bins.crossJoin(F.broadcast(along_bins)), ["iperp", "ipar"], blocks)  # bins x bins
+
+
 def xi_blocks(dd: DataFrame, rr: DataFrame, dr: DataFrame | None, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int) -> DataFrame:
     """(block_id, ir, xi) from leave-one-out counts, RR without ``dr`` and LS with it (all D x R pairs)."""
     sizes = data_sizes.withColumnRenamed("m", "md").join(random_sizes.withColumnRenamed("m", "mr"), "block_id", "outer")
@@ -99,13 +109,23 @@ def xi_blocks_cross(dd: DataFrame, rr: DataFrame, d1r2: DataFrame, d2r1: DataFra
     return table.select(*keys, F.when(F.col("rr") > 0, F.try_divide(top, F.col("rr"))).otherwise(F.lit(0.0)).alias("xi"))
 
 
-def xi_smu_blocks(dd: DataFrame, rr: DataFrame, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int) -> DataFrame:
-    """(block_id, ir, xi): each block's f^2 DD / RR - 1 by (ir, imu), projected to xi(s) with its RR as weight."""
-    sizes = data_sizes.withColumnRenamed("m", "md").join(random_sizes.withColumnRenamed("m", "mr"), "block_id", "outer")
-    f = F.try_divide(F.lit(float(n_random)) - F.coalesce("mr", F.lit(0)), F.lit(float(n_data)) - F.coalesce("md", F.lit(0)))
-    table = dd.withColumnRenamed("n", "dd").join(rr.withColumnRenamed("n", "rr"), ["block_id", "ir", "imu"]).join(F.broadcast(sizes), "block_id", "left")  # a row a block
+def _contrast_2d(dd: DataFrame, rr: DataFrame, sizes: tuple[DataFrame, DataFrame], totals: tuple[int, int], keys: list[str]) -> DataFrame:
+    """(block_id, keys, rr, xi): each block's f^2 DD / RR - 1; sizes and totals of the data and the randoms."""
+    size = sizes[0].withColumnRenamed("m", "md").join(sizes[1].withColumnRenamed("m", "mr"), "block_id", "outer")
+    f = F.try_divide(F.lit(float(totals[1])) - F.coalesce("mr", F.lit(0)), F.lit(float(totals[0])) - F.coalesce("md", F.lit(0)))
+    table = dd.withColumnRenamed("n", "dd").join(rr.withColumnRenamed("n", "rr"), ["block_id", *keys]).join(F.broadcast(size), "block_id", "left")  # a row a block
     xi = F.when(F.col("rr") > 0, f * f * F.col("dd") / F.col("rr") - F.lit(1.0)).otherwise(F.lit(0.0))
-    return project_smu(table.select("block_id", "ir", "rr", xi.alias("xi")), "block_id")
+    return table.select("block_id", *keys, "rr", xi.alias("xi"))
+
+
+def xi_smu_blocks(dd: DataFrame, rr: DataFrame, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int) -> DataFrame:
+    """(block_id, ir, xi): each block's contrast by (ir, imu), projected to xi(s) with its RR as weight."""
+    return project_smu(_contrast_2d(dd, rr, (data_sizes, random_sizes), (n_data, n_random), ["ir", "imu"]), "block_id")
+
+
+def wp_blocks(dd: DataFrame, rr: DataFrame, data_sizes: DataFrame, random_sizes: DataFrame, n_data: int, n_random: int, bins: SpspBins) -> DataFrame:
+    """(block_id, iperp, wp): each block's contrast by (iperp, ipar), projected along the line of sight."""
+    return project_spsp(_contrast_2d(dd, rr, (data_sizes, random_sizes), (n_data, n_random), ["iperp", "ipar"]), bins, "block_id")
 
 
 def mean_and_error(xi: DataFrame, keys: list[str], value: str = "xi") -> DataFrame:

@@ -278,10 +278,10 @@ def project_smu(xi: DataFrame, *by: str) -> DataFrame:
     return xi.groupBy(*by, "ir").agg(F.when(w > 0, F.sum(F.col("rr") * F.col("xi")) / w).otherwise(F.lit(0.0)).alias("xi"))
 
 
-def project_spsp(xi: DataFrame, bins: SpspBins) -> DataFrame:
-    """w_p: the RR-weighted mean over s_par times its range, doubled if folded."""
+def project_spsp(xi: DataFrame, bins: SpspBins, *by: str) -> DataFrame:
+    """w_p: the RR-weighted mean over s_par times its range, doubled if folded; of each value of the columns ``by``."""
     w, span = F.sum("rr"), (bins.par_high - bins.par_low) * (2.0 if bins.half else 1.0)
-    return xi.groupBy("iperp").agg(F.when(w > 0, F.sum(F.col("rr") * F.col("xi")) / w * F.lit(span)).otherwise(F.lit(0.0)).alias("wp"))
+    return xi.groupBy(*by, "iperp").agg(F.when(w > 0, F.sum(F.col("rr") * F.col("xi")) / w * F.lit(span)).otherwise(F.lit(0.0)).alias("wp"))
 
 
 def plot_quadrants(xi: DataFrame, bins: SmuBins) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nebulark.config import AnalysisConfig, RadialBins, SpspBins
-from nebulark.operators import catalog, fft, jackknife, mesh, moments, pairs, spectrum
+from nebulark.functions import bits
+from nebulark.operators import catalog, fft, jackknife, mesh, moments, ordering, pairs, spectrum
 from nebulark.plans import indexes, programs  # noqa: F401  (indexes registers its queries)
 from nebulark.plans.fixtures import VIEWS, view, view_sql
 from nebulark.plans.queries import (
@@ -122,6 +123,29 @@ def jk_projected(spark, sf_dir):
     xi = jackknife.xi_smu_blocks(dd, rr, jackknife.block_sizes(h), jackknife.block_sizes(rc), *[c.count() for c in cats])
     return _rounded(jackknife.mean_and_error(xi, ["ir"]), "mean", "se")
 
+_LONG = f"CAST(floor((abs(dz) - {d(SPSP.par_low)})/{d(SPSP.par_step)}) AS INT)"
+
+def _left_spsp(a: str, name: str) -> str:
+    return f"""{pairs_sql(a, a, SPSP.reach, ', a.block_id AS b1, b.block_id AS b2', f'{name}_p')},
+    {name}_t AS (SELECT {bin_sql(_PERP, SPSP.perp)} AS iperp, {_LONG} AS ipar, b1, b2, count(*) AS n FROM {name}_p WHERE {_PERP} >= {d(SPSP.perp.low)} AND {_PERP} < {d(SPSP.perp.high)} AND {_LONG} < {SPSP.n_par} GROUP BY 1, 2, 3, 4),
+    {name} AS (SELECT CAST(k.range AS INT) AS block_id, s.ir AS iperp, s.im AS ipar, coalesce(sum(CASE WHEN b1 <> k.range AND b2 <> k.range THEN n END), 0) AS n FROM range({JK_LEVEL**3}) k CROSS JOIN {_SPINE2.format(SPSP.perp.n, SPSP.n_par)} s LEFT JOIN {name}_t t ON t.iperp = s.ir AND t.ipar = s.im GROUP BY 1, 2, 3)"""
+
+@query(
+    "jk_wp",
+    f"""WITH {view_sql('halos', 'random_catalog')}, {_JK}, {_left_spsp('h', 'dd')}, {_left_spsp('rc', 'rr')},
+    sz AS (SELECT CAST(k.range AS INT) AS block_id, CAST({_SIZE('rc')} AS DOUBLE)/{_SIZE('h')} AS f FROM range({JK_LEVEL**3}) k),
+    x AS (SELECT block_id, iperp, CAST(rr.n AS DOUBLE) AS rr, CASE WHEN rr.n > 0 THEN f*f*dd.n/rr.n - 1 ELSE 0 END AS xi FROM dd JOIN rr USING (block_id, iperp, ipar) JOIN sz USING (block_id)),
+    o AS (SELECT block_id, iperp, CASE WHEN sum(rr) > 0 THEN sum(rr*xi)/sum(rr)*{d((SPSP.par_high - SPSP.par_low) * 2)} ELSE 0 END AS wp FROM x GROUP BY 1, 2)
+    SELECT iperp, {rs('avg(wp)', 9)} AS mean, {rs('sqrt((count(*) - 1)*var_pop(wp))', 9)} AS se FROM o GROUP BY iperp""",
+)
+def jk_wp(spark, sf_dir):
+    """Jackknife mean and error of w_p from the (s_perp, s_par) counts of each block."""
+    cats = [view(spark, sf_dir, n).select("id", "x", "y", "z") for n in ("halos", "random_catalog")]
+    h, rc = (jackknife.spatial_blocks(c, JK_LEVEL) for c in cats)
+    dd, rr = (jackknife.leave_one_out_spsp(c, SPSP, JK_LEVEL**3) for c in (h, rc))
+    wp = jackknife.wp_blocks(dd, rr, jackknife.block_sizes(h), jackknife.block_sizes(rc), *[c.count() for c in cats], SPSP)
+    return _rounded(jackknife.mean_and_error(wp, ["iperp"], "wp"), "mean", "se", digits=9)
+
 def _cut_sql(source: str, name: str) -> str:
     cells = f"SELECT k.range AS b, ix, iy, iz, CASE WHEN {_OWNER} = k.range THEN 0 ELSE val*{d((_JKN / (_JKN - 1)) ** 0.5)} END AS v FROM {source}, range({_JKN}) k"
     return f"{name}_c AS ({cells}), {name} AS (SELECT b, ix, iy, iz, v - avg(v) OVER (PARTITION BY b) AS v FROM {name}_c)"
@@ -263,6 +287,30 @@ _EVEN = ", ".join(f"CAST({hash_sql(f'(g * 3 + {k})', 310 + k)} AS DOUBLE)/{d(flo
 def program_halo_xi_jackknife(spark, sf_dir):
     return _rounded(programs.halo_xi_jackknife(_halos(spark, sf_dir), JK), "mean", "se")
 
+_HE = f"{_H}, g AS (SELECT unnest(range((SELECT count(*) FROM h))) AS g), even AS (SELECT g AS id, {_EVEN} FROM g)"
+_CUBES = f"hb AS (SELECT *, {_CUBE} AS block_id FROM h), rb AS (SELECT *, {_CUBE} AS block_id FROM even)"
+
+def _slices_sql(source: str, name: str) -> str:
+    return f"""{name}_o AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('id', 10)}, id) - 1 AS pos FROM {source}), {name}_c AS (SELECT count(*) AS nn, CAST(ceil(count(*)/{d(8.0)}) AS BIGINT) AS m FROM {source}),
+    {name} AS (SELECT o.*, CAST(k.range AS INT) AS block_id FROM {name}_o o, {name}_c, range(8) k WHERE pos >= k.range*((nn - m)//7) AND pos < k.range*((nn - m)//7) + m)"""
+
+def _jk_ls_sql(blocks: str) -> str:
+    left = lambda source, b: f"((SELECT count(*) FROM {source}) - (SELECT count(*) FROM {b} WHERE block_id = k.range))"
+    return f"""{_HE}, {blocks}, {_leave_sql('hb', 'hb', _PB, 8, 'dd')}, {_leave_sql('rb', 'rb', _PB, 8, 'rr')}, {_leave_sql('hb', 'rb', _PB, 8, 'dr')},
+    sz AS (SELECT CAST(k.range AS INT) AS block_id, CAST({left('even', 'rb')} AS DOUBLE)/{left('h', 'hb')} AS f FROM range(8) k),
+    x AS (SELECT block_id, ir, CASE WHEN rr.n > 0 THEN (f*f*dd.n - f*dr.n + rr.n)/rr.n ELSE 0 END AS xi FROM dd JOIN rr USING (block_id, ir) JOIN dr USING (block_id, ir) JOIN sz USING (block_id))
+    SELECT ir, {rs('avg(xi)')} AS mean, {rs('sqrt((count(*) - 1)*var_pop(xi))')} AS se FROM x GROUP BY ir"""
+
+@query("program_halo_xi_jackknife_ls", _jk_ls_sql(_CUBES))
+def program_halo_xi_jackknife_ls(spark, sf_dir):
+    """The Landy-Szalay estimator over cubes."""
+    return _rounded(programs.halo_xi_jackknife(_halos(spark, sf_dir), replace(JK, estimator="LS")), "mean", "se")
+
+@query("program_halo_xi_jackknife_shuffle", _jk_ls_sql(f"{_slices_sql('h', 'hb')}, {_slices_sql('even', 'rb')}"))
+def program_halo_xi_jackknife_shuffle(spark, sf_dir):
+    """The Landy-Szalay estimator over slices of a shuffled order."""
+    return _rounded(programs.halo_xi_jackknife(_halos(spark, sf_dir), replace(JK, estimator="LS", jk_type="shuffle")), "mean", "se")
+
 _MOMENTS = {"dens": ("rho",), "velc": ("ux", "uy", "uz"), "sigma": tuple(f"s{t}" for t in moments.TENSOR)}
 
 for _kind, _values in _MOMENTS.items():
@@ -293,8 +341,66 @@ def xi_text(spark, sf_dir):
     tables.write_xi(xi.join(F.broadcast(mid), "ir"), path, layout="cross LS")  # a row a bin
     return _rounded(_rounded(tables.read_columns(spark, path, "r", "xi", *tables.XI_LAYOUTS["cross LS"]), "r", digits=9), "xi")
 
+@query("xi_text_2d", f"{_X2D} SELECT {rs(f'{d(_SMU2.r.low)} + (ir + 0.5)*{d(_SMU2.r.step)}', 9)} AS s, {rs(f'{d(_SMU2.mu_low)} + (imu + 0.5)*{d(_SMU2.mu_step)}', 9)} AS mu, {rs('CASE WHEN rr > 0 THEN n/rr - 1 ELSE 0 END')} AS xi FROM x")
+def xi_text_2d(spark, sf_dir):
+    """The 2-D program's xi in its text layout, read back."""
+    path, b = work_path(spark, "xi2d"), _SMU2
+    xi = programs.halo_xi_2d(_halos(spark, sf_dir), PROGRAM, "smu", 4)
+    mid = {"s": F.lit(b.r.low) + (F.col("ir") + 0.5) * F.lit(b.r.step), "mu": F.lit(b.mu_low) + (F.col("imu") + 0.5) * F.lit(b.mu_step)}
+    tables.write_xi(xi.withColumns(mid), path, ("s", "mu"), layout=None)
+    return _rounded(_rounded(tables.read_columns(spark, path, "s", "mu", "xi"), "s", "mu", digits=9), "xi")
+
+@query("xi_text_wp", f"{_XSP} SELECT {rs(f'{d(_SPSP2.perp.low)} + (iperp + 0.5)*{d(_SPSP2.perp.step)}', 9)} AS s_perp, {rs(f'CASE WHEN sum(rr) > 0 THEN sum(rr*(n/rr - 1))/sum(rr)*{d(_SPSP2.par_high * 2)} ELSE 0 END', 9)} AS wp FROM x GROUP BY iperp")
+def xi_text_wp(spark, sf_dir):
+    """The projected companion in its text layout, read back."""
+    path, b = work_path(spark, "wp"), _SPSP2.perp
+    wp = programs.projected(programs.halo_xi_2d(_halos(spark, sf_dir), PROGRAM, "spsp", 3), PROGRAM, "spsp", 3)
+    tables.write_xi(wp.withColumn("s_perp", F.lit(b.low) + (F.col("iperp") + 0.5) * F.lit(b.step)), path, ("s_perp",), "wp", None)
+    return _rounded(tables.read_columns(spark, path, "s_perp", "wp"), "s_perp", "wp", digits=9)
+
 # ---- catalogues
 
+@query("catalogue_header", f"WITH {view_sql('halos')} SELECT count(*) AS halos, {rs('max(mvir)', 4)} AS heaviest, CAST(max(child_level) AS BIGINT) AS deepest, {d(1000.0)} AS box FROM halos")
+def catalogue_header(spark, sf_dir):
+    """A catalogue's header of one row, written beside it and read back with its types."""
+    path = work_path(spark, "header")
+    facts = view(spark, sf_dir, "halos").agg(F.count(F.lit(1)).alias("halos"), F.max("mvir").alias("heaviest"), F.max("child_level").alias("deepest"), F.lit(BOX.size).alias("box"))
+    facts.write.json(path)
+    head = tables.read_header(spark, path)
+    return _rounded(spark.createDataFrame([tuple(head[c] for c in facts.columns)], "halos long, heaviest double, deepest long, box double"), "heaviest", digits=4)
+
+@query("sort_by_block", f"WITH {view_sql('halos')}, {_JK.split(', rc AS')[0]} SELECT id, block_id, row_number() OVER (ORDER BY block_id, id) - 1 AS position FROM h")
+def sort_by_block(spark, sf_dir):
+    """Ranks in the order of jackknife cubes."""
+    blocked = jackknife.spatial_blocks(view(spark, sf_dir, "halos"), JK_LEVEL).select("id", "block_id")
+    return ordering.numbered(blocked, F.col("block_id"))
+
+@query("add_registered", f"WITH {view_sql('halos')} SELECT id, CAST(child_level + 2 AS INT) AS total FROM halos")
+def add_registered(spark, sf_dir):
+    """A function that is registered for SQL."""
+    bits.register(spark)
+    return view(spark, sf_dir, "halos").selectExpr("id", "add(int(child_level), 2) AS total")
+
+_RANGES = {"x": (200.0, 700.0), "y": (100.0, 900.0), "z": (0.0, 650.0)}
+
+@query("snapshot_box", f"WITH {view_sql('halos')}, s AS (SELECT id, {', '.join(f'{_F32(f'{c}*1000')} AS {c}' for c in 'xyz')}, {_F32('vz')} AS vz FROM halos) SELECT id, {', '.join(f'{rs(c, 4)} AS {c}' for c in 'xyz')}, {rs('vz', 4)} AS vz FROM s WHERE {' AND '.join(f'{c} BETWEEN {d(a)} AND {d(b)}' for c, (a, b) in _RANGES.items())}")
+def snapshot_box(spark, sf_dir):
+    """A snapshot's particles in an inclusive range of each axis, with their velocities; the potentials' block is skipped."""
+    scan = spark.read.format("snapshot").option("potentials", "false").load(_snapshot(spark, sf_dir))
+    for c, (low, high) in _RANGES.items():
+        scan = catalog.select_range(scan, c, low, high)
+    return _rounded(scan.select("id", "x", "y", "z", "vz"), "x", "y", "z", "vz", digits=4)
+
+@query("stream_upkeep", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 7 <> 0")
+def stream_upkeep(spark, sf_dir):
+    """A stream of vectors into a table of batches, and a deletion."""
+    path, where = f"{sf_dir}/embeddings.parquet", work_path(spark, "upkeep")
+    live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace(".parquet", ".parque[t]"))
+    streams.append_batches(live.selectExpr("vec_id AS id", "label"), f"{where}/rows", f"{where}/log").awaitTermination()
+    table = spark.read.parquet(f"{where}/rows")
+    return catalog.without_ids(table, table.where("id % 7 = 0")).select("id", "label")
+
+
 @query("rows_by_id", f"WITH {view_sql('halos')} SELECT id, mvir FROM halos WHERE id % 1000 = 1")
 def rows_by_id(spark, sf_dir):
     """Point look-up: the rows of a table of ids."""

@@ -100,6 +100,13 @@ def loader_shift_z(spark, sf_dir):
     raw = view(spark, sf_dir, "halos").withColumn("z", F.col("z") * 1000.0)
     return _rounded(catalog.shift_while_loading(raw, BOX, "z").select("id", "z"), "z")
 
+_zp = f"(z*{d(1000.0)} - pot*{d(C.LIGHT_KMS)} / {d(100.0)})"
+
+@query("loader_shift_pot", f"WITH {view_sql('halos')} SELECT id, {rs(f'CASE WHEN {_zp} >= 1000 THEN {_zp} - 1000 WHEN {_zp} < 0 THEN {_zp} + 1000 ELSE {_zp} END')} AS z FROM halos")
+def loader_shift_pot(spark, sf_dir):
+    raw = view(spark, sf_dir, "halos").withColumn("z", F.col("z") * 1000.0)
+    return _rounded(catalog.shift_while_loading(raw, BOX, "z", "pot").select("id", "z"), "z")
+
 @query(
     "cosmo_scalars",
     f"""WITH {view_sql('halos')}, l AS (SELECT DISTINCT CAST(child_level AS DOUBLE) AS z, {_A} AS a, child_level FROM halos)
@@ -157,15 +164,22 @@ def _gpot_sql(dist: str, eps: float) -> str:
     far = f"(12/{x} + 128 + 14*{x}*(16 + {x}*(-32 + {x}*(20 + {x}*(-4 + {x}*(-1 + {x}*(8 - {x})/14.0))))))"
     return f"(CASE WHEN {x} > 1.999 THEN 0 WHEN {x} <= 1 THEN 1 - {x}/140.0*{near} ELSE 1 - {x}/140.0*{far} END)"
 
-@query("wendland_profile", f"SELECT i, {rs(_w_sql('q', 1.0), 9)} AS w, {rs(_dw_sql('q', 1.0), 9)} AS dw FROM (SELECT CAST(range AS BIGINT) AS i, CAST(range AS DOUBLE)*0.05 AS q FROM range(64))")
+_FROM_CENTRE = "sqrt((x - 0.5)*(x - 0.5) + (y - 0.5)*(y - 0.5) + (z - 0.5)*(z - 0.5))"
+_PROFILE = f"WITH {view_sql('halos')}, p AS (SELECT id, {_FROM_CENTRE}*4 AS q FROM halos)"
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "halos").select("id", F.expr(f"{_FROM_CENTRE}*4").alias("q"))
+
+@query("wendland_profile", f"{_PROFILE} SELECT id, {rs(_w_sql('q', 1.0), 9)} AS w, {rs(_dw_sql('q', 1.0), 9)} AS dw FROM p")
 def wendland_profile(spark, sf_dir):
-    q = F.col("id") * 0.05
-    return spark.range(64).select(F.col("id").alias("i"), r(K.wendland(q, 1.0), 9).alias("w"), r(K.wendland_slope(q, 1.0), 9).alias("dw"))
+    """Kernel and slope at each halo's distance from the centre."""
+    q = F.col("q")
+    return _profile(spark, sf_dir).select("id", r(K.wendland(q, 1.0), 9).alias("w"), r(K.wendland_slope(q, 1.0), 9).alias("dw"))
 
-@query("gfactor_profile", f"SELECT i, {rs(_g_sql('q', 1.5), 9)} AS g, {rs(_gpot_sql('q', 1.5), 9)} AS g_pot FROM (SELECT CAST(range AS BIGINT) AS i, CAST(range AS DOUBLE)*0.05 AS q FROM range(64))")
+@query("gfactor_profile", f"{_PROFILE} SELECT id, {rs(_g_sql('q', 1.5), 9)} AS g, {rs(_gpot_sql('q', 1.5), 9)} AS g_pot FROM p")
 def gfactor_profile(spark, sf_dir):
-    q = F.col("id") * 0.05
-    return spark.range(64).select(F.col("id").alias("i"), r(K.force_split(q, 1.5), 9).alias("g"), r(K.potential_split(q, 1.5), 9).alias("g_pot"))
+    q = F.col("q")
+    return _profile(spark, sf_dir).select("id", r(K.force_split(q, 1.5), 9).alias("g"), r(K.potential_split(q, 1.5), 9).alias("g_pot"))
 
 # ---- selections and samples
 
@@ -203,9 +217,12 @@ def sample_bernoulli(spark, sf_dir):
 def sample_exact(spark, sf_dir):
     return catalog.sample_exact(view(spark, sf_dir, "halos"), 0.25).select("id")
 
-@query("random_uniform", f"SELECT range AS id, {', '.join(rs(f'CAST({hash_sql(f'(range * 3 + {k})', 310 + k)} AS DOUBLE) / {d(float(catalog.HASH_MOD))}', 9) + f' AS {c}' for k, c in enumerate(G.AXES))} FROM range(20000)")
+_DRAWS = ", ".join(rs(f"CAST({hash_sql(f'(g * 3 + {k})', 310 + k)} AS DOUBLE) / {d(float(catalog.HASH_MOD))}", 9) + f" AS {c}" for k, c in enumerate(G.AXES))
+
+@query("random_uniform", f"WITH {view_sql('halos')}, g AS (SELECT unnest(range(2*(SELECT count(*) FROM halos))) AS g) SELECT g AS id, {_DRAWS} FROM g")
 def random_uniform(spark, sf_dir):
-    return _rounded(catalog.random_catalog(spark, 20000, 10), *G.AXES, digits=9)
+    """Two random points for each halo."""
+    return _rounded(catalog.random_catalog(spark, 2 * view(spark, sf_dir, "halos").count(), 10), *G.AXES, digits=9)
 
 @query("delete_and_replace", f"WITH {view_sql('halos')} SELECT id, CASE WHEN id % 11 = 0 THEN mvir * 2 ELSE mvir END AS mvir FROM halos WHERE id % 7 <> 0 OR id % 11 = 0")
 def delete_and_replace(spark, sf_dir):
@@ -487,13 +504,28 @@ def _cells_sql(n: int) -> str:
 
 _R2 = lambda n: "+".join(f"pow(({c} + 0.5)/{n}.0 - 0.5, 2)" for c in ("ix", "iy", "iz"))
 
-@query("gaussian_field", f"SELECT ix, iy, iz, {rs(f'exp(-({_R2(16)})/{d(2 * 0.1**2)})/{d((2 * math.pi * 0.1**2) ** 1.5)}')} AS val FROM {_cells_sql(16)}")
+_GAUSS = f"exp(-({_R2(N)})/{d(2 * 0.2**2)})/{d((2 * math.pi * 0.2**2) ** 1.5)}"
+_TOPHAT = f"CASE WHEN {_R2(N)} <= {d(0.3 * 0.3)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+_SEEN = f"WITH {view_sql('particles')}, {exploded_sql('particles', N, 'cic')}, m AS (SELECT ix, iy, iz, sum(w) AS val FROM e GROUP BY 1, 2, 3)"
+
+def _field_sql(weight: str) -> str:
+    return f"{_SEEN}, f AS (SELECT c.ix, c.iy, c.iz, {weight} AS wt FROM {_cells_sql(N)} c), s AS (SELECT ix, iy, iz, wt, wt*coalesce(val, 0) AS val FROM f LEFT JOIN m USING (ix, iy, iz))"
+
+def _under(spark: SparkSession, sf_dir: str, kind: str, size: float) -> DataFrame:
+    """Particles' mesh times an analytic field, on every cell: ix, iy, iz, wt, val."""
+    field = mesh.analytic_field(spark, N, kind, size).withColumnRenamed("val", "wt")
+    seen = mesh.assign(view(spark, sf_dir, "particles"), N, "cic")
+    return field.join(seen, list(mesh.CELL), "left").select(*mesh.CELL, "wt", (F.col("wt") * F.coalesce("val", F.lit(0.0))).alias("val"))
+
+@query("gaussian_field", f"{_field_sql(_GAUSS)} SELECT ix, iy, iz, {rs('wt')} AS wt, {rs('val', 4)} AS val FROM s")
 def gaussian_field(spark, sf_dir):
-    return _rounded(mesh.analytic_field(spark, 16, "gauss", 0.1), "val")
+    """The particles' mesh under a Gaussian window."""
+    return _rounded(_rounded(_under(spark, sf_dir, "gauss", 0.2), "wt"), "val", digits=4)
 
-@query("tophat_field", f"SELECT ix, iy, iz, CASE WHEN {_R2(16)} <= {d(0.15 * 0.15)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS val FROM {_cells_sql(16)}")
+@query("tophat_field", f"{_field_sql(_TOPHAT)} SELECT ix, iy, iz, wt, {rs('val', 4)} AS val FROM s")
 def tophat_field(spark, sf_dir):
-    return mesh.analytic_field(spark, 16, "tophat")
+    """The particles' mesh inside a ball."""
+    return _rounded(_under(spark, sf_dir, "tophat", 0.3), "val", digits=4)
 
 # ---- moments
 
@@ -545,10 +577,14 @@ def _w2_sql(scheme: str) -> str:
     one = lambda k: f"CASE WHEN {k} = 0 THEN 1 ELSE sin(pi()*{k}/{N}.0)/(pi()*{k}/{N}.0) END"
     return "(" + "*".join(f"pow({one(v)}, {2 * S.ORDER[scheme]})" for v in _FOLD.values()) + ")"
 
-@query("window_w2", f"SELECT ix, iy, iz, {', '.join(f'{rs(_w2_sql(s), 9)} AS {s}' for s in ('ngp', 'cic', 'tsc', 'pcs'))} FROM {_cells_sql(N)}")
+_TAKEN = ", ".join(f"CAST(floor({c}*{N}) AS INT) % {N} AS i{c}" for c in "xyz")
+
+@query("window_w2", f"WITH {view_sql('halos')}, c AS (SELECT DISTINCT {_TAKEN} FROM halos) SELECT ix, iy, iz, {', '.join(f'{rs(_w2_sql(s), 9)} AS {s}' for s in ('ngp', 'cic', 'tsc', 'pcs'))} FROM c")
 def window_w2(spark, sf_dir):
+    """The windows of the modes whose numbers are those of cells that hold halos."""
+    cells = view(spark, sf_dir, "halos").select(*[G.cell(F.col(c), N).cast("int").alias(f"i{c}") for c in G.AXES]).distinct()
     ks = tuple(S.folded(F.col(c), N).cast("double") for c in mesh.CELL)
-    return mesh.all_cells(spark, N).select(*mesh.CELL, *[r(S.window2(ks, N, s), 9).alias(s) for s in ("ngp", "cic", "tsc", "pcs")])
+    return cells.select(*mesh.CELL, *[r(S.window2(ks, N, s), 9).alias(s) for s in ("ngp", "cic", "tsc", "pcs")])
 
 _DELTA = f"WITH {view_sql('particles')}, {delta_sql('particles', N, 'tsc')}, {dft_sql('delta', N, 'modes')}"
 
@@ -604,6 +640,16 @@ def pk_cross(spark, sf_dir):
 def pk_integer_bins(spark, sf_dir):
     return _rounded(spectrum.integer_bins(fft.forward(mesh.contrast(_delta(spark, sf_dir), N), N), N), "p", digits=8)
 
+@query(
+    "pk_windowed",
+    f"""{_field_sql(_TOPHAT)}, {dft_sql('s', N, 'modes')}
+    SELECT CAST(floor({_KLEN}) AS INT) AS ik, count(*) AS modes, {rs(f'avg(re*re + im*im)/{d(float(N) ** 6)}', 4)} AS p FROM modes WHERE iz <= {N // 2} AND floor({_KLEN}) < {N // 2} GROUP BY 1""",
+)
+def pk_windowed(spark, sf_dir):
+    """An analytic field over the particles' mesh through the transform, by whole k."""
+    field = _under(spark, sf_dir, "tophat", 0.3).select(*mesh.CELL, "val")
+    return _rounded(spectrum.integer_bins(fft.forward(field, N), N), "p", digits=4)
+
 @query("pk_length_units", f"{_DELTA}, b AS ({_binned_sql(_AUTO_P, (0,), 'modes').replace(', 8) + CAST(0 AS DOUBLE) AS p0', ', 30) AS p0')}) SELECT ik, {rs(f'({d(K_BINS.low)} + (ik + 0.5)*{d(K_BINS.step)})*{d(2 * math.pi / 1000)}', 9)} AS k, modes, {rs('p0*1e9', 1)} AS p0 FROM b WHERE ik > 0 AND {d(K_BINS.low)} + (ik + 0.5)*{d(K_BINS.step)} < {N / 2}")
 def pk_length_units(spark, sf_dir):
     n = view(spark, sf_dir, "particles").count()

@@ -136,9 +136,11 @@ def write_xi(table: DataFrame, path: str, lead: tuple[str, ...] = ("r",), value:
     """
     names = [*lead, value, *(XI_LAYOUTS[layout] if layout else ())]
     line = F.concat_ws(" ", *[F.format_string("%.10e", F.col(c).cast("double")) for c in names])
-    rows = table.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(lead)], line.alias("value")).orderBy(*[f"o{i}" for i in range(len(lead))])
-    head = table.sparkSession.createDataFrame([("# " + " ".join(names),)], "value string")
-    head.unionByName(rows.select("value")).coalesce(1).write.mode("overwrite").text(path)
+    order = [f"o{i}" for i in range(len(lead))]
+    rows = table.select(*[F.col(c).cast("double").alias(o) for c, o in zip(lead, order, strict=True)], line.alias("value"))
+    head = table.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(o) for o in order], F.lit("# " + " ".join(names)).alias("value"))
+    whole = head.unionByName(rows).coalesce(1).sortWithinPartitions(*[F.col(o).asc_nulls_first() for o in order])
+    whole.select("value").write.mode("overwrite").text(path)
 
 
 def read_columns(spark: SparkSession, path: str, *names: str) -> DataFrame:
