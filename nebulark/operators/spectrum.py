@@ -29,7 +29,7 @@ def shot_noise(n: int, particles: int | None) -> float:
     return n**6 / particles if particles else 0.0
 
 
-def mode_power(modes: DataFrame, n: int, scheme: str, noise: float = 0.0, modes2: DataFrame | None = None, hermitian: str = "half") -> DataFrame:
+def mode_power(modes: DataFrame, n: int, scheme: str, noise: float = 0.0, modes2: DataFrame | None = None) -> DataFrame:
     """Each stored mode's k, kz and power, window-corrected: |d|^2/W^2 - noise, or Re(d1 d2*)/W^2."""
     ks = _k(n)
     w2 = window2(ks, n, scheme)
@@ -39,8 +39,7 @@ def mode_power(modes: DataFrame, n: int, scheme: str, noise: float = 0.0, modes2
         other = modes2.select("ix", "iy", "iz", F.col("re").alias("re2"), F.col("im").alias("im2"))
         modes = modes.join(other, ["ix", "iy", "iz"])
         p = (F.col("re") * F.col("re2") + F.col("im") * F.col("im2")) / w2
-    rows = fft.half_space(modes, n) if hermitian == "half" else modes
-    return rows.select("ix", "iy", "iz", _length(ks).alias("k"), ks[2].alias("kz"), p.alias("p"))
+    return fft.half_space(modes, n).select("ix", "iy", "iz", _length(ks).alias("k"), ks[2].alias("kz"), p.alias("p"))
 
 
 def binned(power: DataFrame, n: int, bins: RadialBins, ells: tuple[int, ...] = (0,)) -> DataFrame:
@@ -56,8 +55,8 @@ def binned(power: DataFrame, n: int, bins: RadialBins, ells: tuple[int, ...] = (
 
 def power_spectrum(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, particles: int | None = None, mesh2: DataFrame | None = None, ells: tuple[int, ...] = (0,)) -> DataFrame:
     """P(k) of density meshes in units of the box volume, on bins of grid wave numbers."""
-    one = fft.forward(contrast(mesh, n), n)
-    two = None if mesh2 is None else fft.forward(contrast(mesh2, n), n)
+    one = fft.forward_half(contrast(mesh, n), n)
+    two = None if mesh2 is None else fft.forward_half(contrast(mesh2, n), n)
     return binned(mode_power(one, n, scheme, shot_noise(n, particles), two), n, bins, ells)
 
 
@@ -81,11 +80,11 @@ def integer_bins(modes: DataFrame, n: int) -> DataFrame:
 
 def correlation(mesh: DataFrame, n: int, scheme: str, bins: RadialBins, particles: int | None = None, mesh2: DataFrame | None = None) -> DataFrame:
     """(ir, cells, xi): the inverse transform of the mode power, averaged over cells by folded lag (box units)."""
-    one = fft.forward(contrast(mesh, n), n)
-    two = None if mesh2 is None else fft.forward(contrast(mesh2, n), n)
-    power = mode_power(one, n, scheme, shot_noise(n, particles), two, "full")
-    full = power.select("ix", "iy", "iz", F.when(F.col("k") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
-    lags = fft.inverse(full, n).select((_length(_k(n)) / F.lit(float(n))).alias("r"), (F.col("re") / F.lit(float(n) ** 6)).alias("v"))
+    one = fft.forward_half(contrast(mesh, n), n)
+    two = None if mesh2 is None else fft.forward_half(contrast(mesh2, n), n)
+    power = mode_power(one, n, scheme, shot_noise(n, particles), two)  # real and even, as is its transform
+    half = power.select("ix", "iy", "iz", F.when(F.col("k") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    lags = fft.inverse_half(half, n).select((_length(_k(n)) / F.lit(float(n))).alias("r"), (F.col("val") / F.lit(float(n) ** 6)).alias("v"))
     return lags.select(radial_bin(F.col("r"), bins).alias("ir"), "v").where("ir is not null").groupBy("ir").agg(F.count(F.lit(1)).alias("cells"), F.avg("v").alias("xi"))
 
 
@@ -104,7 +103,7 @@ def correlation_without_block(mesh: DataFrame, n: int, scheme: str, bins: Radial
         cells = cells.withColumn("val", F.when(F.col("owner") == F.col("block_id"), F.lit(0.0)).otherwise(F.col("val") * scale))
         means = cells.groupBy("block_id").agg(F.avg("val").alias("m"))
         cells = cells.join(F.broadcast(means), "block_id").withColumn("val", F.col("val") - F.col("m"))  # a row a block
-        return fft.forward(cells, n, batch="block_id")
+        return fft.forward_half(cells, n, batch="block_id")
 
     modes, ks = modes_of(mesh), _k(n)
     if mesh2 is None:
@@ -113,6 +112,6 @@ def correlation_without_block(mesh: DataFrame, n: int, scheme: str, bins: Radial
         cell = ["block_id", "ix", "iy", "iz"]
         modes = modes.join(modes_of(mesh2).select(*cell, F.col("re").alias("re2"), F.col("im").alias("im2")), cell)
         power = (F.col("re") * F.col("re2") + F.col("im") * F.col("im2")) / window2(ks, n, scheme)
-    full = modes.select("block_id", "ix", "iy", "iz", F.when(_length(ks) > 0, power).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
-    lags = fft.inverse(full, n, batch="block_id").select("block_id", radial_bin(_length(ks) / F.lit(float(n)), bins).alias("ir"), (F.col("re") / F.lit(float(n) ** 6)).alias("v"))
+    half = modes.select("block_id", "ix", "iy", "iz", F.when(_length(ks) > 0, power).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    lags = fft.inverse_half(half, n, batch="block_id").select("block_id", radial_bin(_length(ks) / F.lit(float(n)), bins).alias("ir"), (F.col("val") / F.lit(float(n) ** 6)).alias("v"))
     return lags.where("ir is not null").groupBy("block_id", "ir").agg(F.avg("v").alias("xi"))

@@ -329,7 +329,7 @@ for _kind, _values in _MOMENTS.items():
 @query("fourier_table", ORACLE["dft_modes"] + f" WHERE iz <= {N // 2}")
 def fourier_table(spark, sf_dir):
     path = work_path(spark, "modes")
-    tables.write_modes(fft.forward(mesh.contrast(_delta(spark, sf_dir), N), N), path, N, BOX.size)
+    tables.write_modes(fft.forward_half(mesh.contrast(_delta(spark, sf_dir), N), N), path, N, BOX.size)
     return _rounded(tables.read_field(spark, path, "re", "im"), "re", "im")
 
 @query("xi_text", f"{_TWO_LS}, f AS (SELECT CAST({_NR} AS DOUBLE)/{_NH} AS f1, CAST({_NR} AS DOUBLE)/{_NT} AS f2) SELECT {rs(f'{d(R_BINS.low)} + (ir + 0.5)*{d(R_BINS.step)}', 9)} AS r, {rs('CASE WHEN rr_.n > 0 THEN (f1*f2*dd.n - f1*d1.n - f2*d2.n + rr_.n)/rr_.n ELSE 0 END')} AS xi, CAST(dd.n AS DOUBLE) AS dd, CAST(d1.n AS DOUBLE) AS d1r2, CAST(d2.n AS DOUBLE) AS d2r1, CAST(rr_.n AS DOUBLE) AS rr FROM dd JOIN rr_ USING (ir) JOIN d1 USING (ir) JOIN d2 USING (ir), f")

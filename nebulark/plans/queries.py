@@ -638,7 +638,7 @@ def pk_cross(spark, sf_dir):
 
 @query("pk_integer_bins", f"{_DELTA} SELECT CAST(floor({_KLEN}) AS INT) AS ik, count(*) AS modes, {rs(f'avg(re*re + im*im)/{d(float(N) ** 6)}', 8)} AS p FROM modes WHERE iz <= {N // 2} AND floor({_KLEN}) < {N // 2} GROUP BY 1")
 def pk_integer_bins(spark, sf_dir):
-    return _rounded(spectrum.integer_bins(fft.forward(mesh.contrast(_delta(spark, sf_dir), N), N), N), "p", digits=8)
+    return _rounded(spectrum.integer_bins(fft.forward_half(mesh.contrast(_delta(spark, sf_dir), N), N), N), "p", digits=8)
 
 @query(
     "pk_windowed",
@@ -648,7 +648,7 @@ def pk_integer_bins(spark, sf_dir):
 def pk_windowed(spark, sf_dir):
     """An analytic field over the particles' mesh through the transform, by whole k."""
     field = _under(spark, sf_dir, "tophat", 0.3).select(*mesh.CELL, "val")
-    return _rounded(spectrum.integer_bins(fft.forward(field, N), N), "p", digits=4)
+    return _rounded(spectrum.integer_bins(fft.forward_half(field, N), N), "p", digits=4)
 
 @query("pk_length_units", f"{_DELTA}, b AS ({_binned_sql(_AUTO_P, (0,), 'modes').replace(', 8) + CAST(0 AS DOUBLE) AS p0', ', 30) AS p0')}) SELECT ik, {rs(f'({d(K_BINS.low)} + (ik + 0.5)*{d(K_BINS.step)})*{d(2 * math.pi / 1000)}', 9)} AS k, modes, {rs('p0*1e9', 1)} AS p0 FROM b WHERE ik > 0 AND {d(K_BINS.low)} + (ik + 0.5)*{d(K_BINS.step)} < {N / 2}")
 def pk_length_units(spark, sf_dir):
