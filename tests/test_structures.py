@@ -103,6 +103,14 @@ def test_tiled_transform_equals_numpy(spark, layout, n, monkeypatch):
     assert all(abs(x.re / n**3 - values[x.b, x.ix, x.iy, x.iz]) < 1e-9 for x in back)
 
 
+def test_zipped_columns_are_not_broadcast(spark, tmp_path):
+    """A column that packs well has small files but many rows: it moves by position, never whole through the driver."""
+    for name in ("a", "b"):
+        spark.range(1000).select((F.col("id") % 3).alias(name)).write.parquet(f"{tmp_path}/{name}")
+    plan = tables.zip_columns(spark, f"{tmp_path}/a", f"{tmp_path}/b")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [position" not in plan and "SortMergeJoin [position" in plan
+
+
 def test_column_files_are_zipped_by_place(spark, tmp_path):
     rows = spark.range(1000).select("id", (F.col("id") * 2).alias("twice"), F.lit(1).alias("id2"))
     for name, files in (("id", 5), ("twice", 3)):
