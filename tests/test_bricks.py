@@ -4,7 +4,7 @@ import random
 import pytest
 
 from nebulark.config import RadialBins
-from nebulark.operators import bricks, jackknife, pairs
+from nebulark.operators import bricks, jackknife, neighbors, pairs
 
 SCHEMA = "id long, x double, y double, z double"
 
@@ -46,3 +46,20 @@ def test_thresholds_are_the_bins(spark):
     for i, e in enumerate(edges[1:-1], 1):
         below = float(__import__("numpy").nextafter(e, 0))
         assert int((e**0.5 - bins.low) / bins.step) == i and int((below**0.5 - bins.low) / bins.step) == i - 1
+
+
+def test_bounded_meetings_keep_the_nearest(spark, monkeypatch):
+    """Many blocks of vectors: a first look bounds the distances; ties, copies and too few vectors in it lose nothing."""
+    monkeypatch.setattr(neighbors, "VECTOR_BLOCK", 10)
+    seen = []
+    blocks = neighbors._blocks
+    monkeypatch.setattr(neighbors, "_blocks", lambda *a, first=None: seen.append(first) or blocks(*a, first=first))
+    r = random.Random(5)
+    rows = [(i, [float(r.randrange(6)), float(r.randrange(6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for k in (3, 100):
+        got = {(x.qid, x["rank"]): x.id for x in neighbors.vector_knn(df.where("id % 50 = 0"), df, k).collect()}
+        assert 5 in seen
+        for q, v in rows[::50]:
+            order = sorted(rows, key=lambda w: ((w[1][0] - v[0]) ** 2 + (w[1][1] - v[1]) ** 2, w[0]))[:k]
+            assert [got[q, i + 1] for i in range(k)] == [w[0] for w in order]
