@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from nebulark.config import RadialBins
@@ -63,3 +65,29 @@ def test_bounded_meetings_keep_the_nearest(spark, monkeypatch):
         for q, v in rows[::50]:
             order = sorted(rows, key=lambda w: ((w[1][0] - v[0]) ** 2 + (w[1][1] - v[1]) ** 2, w[0]))[:k]
             assert [got[q, i + 1] for i in range(k)] == [w[0] for w in order]
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_counts_at_the_very_edges(near):
+    """Pairs at a bin's edge, or one bit off it, fall where full precision puts them; few elements are met for a pair."""
+    r = np.random.default_rng(4)
+    edges = pairs.square_edges(RadialBins(0.0, 0.05, 10))
+    n = 300
+    place = {c: r.random(n) * 0.1 + 0.4 for c in "xyz"}
+    left = pd.DataFrame({"id": np.arange(n), **place})
+    lag = np.sqrt(r.choice(edges[1:], n)) if near else r.random(n) * 0.06
+    right = pd.DataFrame({"id": np.arange(n) + n, **(place | {"z": np.nextafter(place["z"] + lag, r.choice([0.0, 1.0], n))})})
+    met = list(bricks.visits(left, right, 0.05, 12, False, True))
+    d = [left[c].to_numpy()[:, None] - right[c].to_numpy()[None] for c in "xyz"]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    assert sum(bricks.count_below(v, edges) for v in met).tolist() == [int((d2 < e).sum()) for e in edges]
+
+
+def test_few_elements_are_met_for_a_pair():
+    """The stretches that a few points meet follow the reach closely: under three elements a pair, where there were four."""
+    r = np.random.default_rng(4)
+    left = pd.DataFrame({"id": np.arange(4000), **{c: r.random(4000) * 0.08 + 0.4 for c in "xyz"}})
+    right = pd.DataFrame({"id": np.arange(46000), **{c: r.random(46000) * 0.18 + 0.35 for c in "xyz"}})
+    met = list(bricks.visits(left, right, 0.05, 50, False, True))
+    found = sum(bricks.count_below(v, pairs.square_edges(RadialBins(0.0, 0.05, 10)))[-1] for v in met)
+    assert sum(len(v.a) * len(v.b) for v in met) < 3 * found
