@@ -91,3 +91,25 @@ def test_few_elements_are_met_for_a_pair():
     met = list(bricks.visits(left, right, 0.05, 50, False, True))
     found = sum(bricks.count_below(v, pairs.square_edges(RadialBins(0.0, 0.05, 10)))[-1] for v in met)
     assert sum(len(v.a) * len(v.b) for v in met) < 3 * found
+
+
+@pytest.mark.parametrize("metric", ["l2", "l2_bytes"])
+def test_vectors_of_few_components_meet_in_near_boxes(spark, monkeypatch, metric):
+    """Queries meet the vectors of the boxes in their reach, not all; crowded places, ties and fewer vectors than k lose nothing."""
+    monkeypatch.setattr(neighbors, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(neighbors, "BOXED", 400)
+    monkeypatch.setattr(neighbors, "BOX_ROWS", 20)
+    monkeypatch.setattr(neighbors, "BOX_MOST", 30)
+    met = []
+    boxes = neighbors._knn_in_boxes
+    monkeypatch.setattr(neighbors, "_knn_in_boxes", lambda *a: met.append(1) or boxes(*a))
+    r = random.Random(6)
+    rows = [(i, [5, 5, 5] if i % 4 == 0 else [r.randrange(12) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, embedding array<short>")
+    for k in (4, 150):
+        got = {(x.qid, x["rank"]): (x.id, x.distance) for x in neighbors.vector_knn(df.where("id % 25 = 0 or id = 3"), df, k, metric).collect()}
+        assert len(got) == 17 * k
+        for q, v in [*rows[::25], rows[3]]:
+            order = sorted((sum((a - b) ** 2 for a, b in zip(w, v, strict=True)), i) for i, w in rows)[:k]
+            assert [got[q, i + 1] for i in range(k)] == [(i, float(d)) for d, i in order]
+    assert met == [1, 1]
