@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from nebulark.config import RadialBins
-from nebulark.operators import bricks, jackknife, neighbors, pairs
+from nebulark.operators import bricks, jackknife, neighbors, pairs, pairwise
 
 SCHEMA = "id long, x double, y double, z double"
 
@@ -113,3 +113,23 @@ def test_vectors_of_few_components_meet_in_near_boxes(spark, monkeypatch, metric
             order = sorted((sum((a - b) ** 2 for a, b in zip(w, v, strict=True)), i) for i, w in rows)[:k]
             assert [got[q, i + 1] for i in range(k)] == [(i, float(d)) for d, i in order]
     assert met == [1, 1]
+
+
+def test_kernel_sums_list_no_pairs(spark, monkeypatch):
+    """Sums over neighbours are taken where they meet: a task gives a row a point, and crowded bricks lose nothing."""
+    monkeypatch.setattr(bricks, "LEFT_ROWS", 40)
+    monkeypatch.setattr(bricks, "RIGHT_ROWS", 30)
+    assert not hasattr(pairwise, "range_pairs")  # that lists pairs
+    r = random.Random(8)
+    pts = [(i, *((0.97 + 0.1 * r.random()) % 1.0 for _ in "xyz"), 1.0 + r.random()) for i in range(150)]
+    df = spark.createDataFrame(pts, SCHEMA + ", mass double")
+    got = {x.id: x.phi for x in pairwise.gravity(df, df, 0.05, 1e-4).collect()}
+    for a in pts[::10]:
+        want = 0.0
+        for b in pts:
+            d = near(a, b)
+            if 1e-15 < d < 0.05:
+                x = 2 * d / 0.05
+                g = x / 140 * (208 + 14 * (-8 * x**2 + 4 * x**4 - x**5 - 8 / 14 * x**6 + 3 / 14 * x**7) if x <= 1 else 12 / x + 128 + 14 * (16 * x - 32 * x**2 + 20 * x**3 - 4 * x**4 - x**5 + 8 / 14 * x**6 - x**7 / 14))
+                want -= 0 if x > 1.999 else b[4] * (1 - g) / (d * d + 1e-4) ** 0.5
+        assert got[a[0]] == pytest.approx(want, rel=1e-9, abs=1e-12)
