@@ -45,6 +45,20 @@ def test_radius_search_by_boxes_equals_brute_force(spark, monkeypatch):
     assert splits.radius_search(points.where("false"), points, 0.1).count() == 0
 
 
+def test_what_a_radius_search_finds_leaves_a_task_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MEASURED", 700)
+    monkeypatch.setattr(splits, "TASK_PAIRS", 9000)
+    monkeypatch.setattr(splits, "TOP_BOXES", 3)
+    r = np.random.default_rng(9)
+    xyz = np.concatenate([r.random((400, 3)) ** 3, np.repeat([[0.1, 0.1, 0.1]], 120, axis=0)])
+    points = placed(spark, xyz)
+    got = splits.radius_search(points.where("id % 3 = 0"), points, 0.2, 8, 20).collect()
+    d = xyz[:, None] - xyz[None]
+    d2 = d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
+    assert sorted((x.qid, x.id) for x in got) == [tuple(w) for w in np.argwhere(d2 <= 0.2 * 0.2).tolist() if w[0] % 3 == 0]
+    assert all(x.d2 == d2[x.qid, x.id] for x in got)
+
+
 def test_levels_against_a_dictionary(spark, tmp_path):
     table, want, r = levels.Levels(spark, f"file://{tmp_path}/t", least=20), {}, np.random.default_rng(2)
     with pytest.raises(ValueError):
