@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nebulark.functions.metrics import l2
-from nebulark.operators.neighbors import cell_radii, document_vectors, filed_vectors, load_centres
+from nebulark.operators.neighbors import MET_TOGETHER, cell_radii, document_vectors, filed_vectors, in_meetings, load_centres
 from nebulark.plans.work import cut
 
 
@@ -27,6 +27,14 @@ def _ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
 
 
+def _least(d: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, ties by ``order``."""
+    if k < 1:
+        return np.zeros(0, np.int64)
+    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
+    return near[np.lexsort((order[near], d[near]))[:k]]
+
+
 @dataclass(frozen=True)
 class Nearest:
     """The ``k`` nearest vectors."""
@@ -34,6 +42,10 @@ class Nearest:
     k: int
     start = float("inf")
 
+    def chosen(self, d: np.ndarray, order: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Of a meeting, the places of what may be in the answer, from a query's distances."""
+        return _least(d, order, self.k)
+
     def kept(self, found: DataFrame) -> DataFrame:
         """What may still be in the answer."""
         return _ranked(found).where(F.col("rank") <= self.k).drop("rank")
@@ -59,6 +71,12 @@ class WithinDistance:
         """The limit of a query for which nothing was found yet."""
         return float("inf") if self.least else self.eps
 
+    def chosen(self, d: np.ndarray, order: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        near = np.flatnonzero(d <= self.eps)
+        if len(near) < self.least:
+            return _least(d, order, self.least)
+        return near if self.most is None else near[_least(d[near], order[near], max(self.least, self.most))]
+
     def kept(self, found: DataFrame) -> DataFrame:
         ranked = _ranked(found)
         ranked = ranked.where((F.col("distance") <= self.eps) | (F.col("rank") <= self.least))
@@ -81,6 +99,14 @@ class NearestDocuments:
     doc: str = "label"
     start = float("inf")
 
+    def chosen(self, d: np.ndarray, order: np.ndarray, groups: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        by, first = groups
+        ranked = d[by]
+        least = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.append(first, len(by))))
+        own = np.flatnonzero(ranked == least)  # by document, then id: the first of each document is its nearest
+        one = by[own[np.unique(np.searchsorted(first, own, "right"), return_index=True)[1]]]
+        return one[_least(d[one], order[one], self.documents)]
+
     def kept(self, found: DataFrame) -> DataFrame:
         own = Window.partitionBy("qid", self.doc).orderBy("distance", "id")
         first = found.withColumn("rank", F.row_number().over(own)).where("rank = 1")
@@ -118,6 +144,30 @@ def ordered_cells(queries: DataFrame, centres: np.ndarray, radii: np.ndarray, ve
     return asked.withColumn("order", order("q"))
 
 
+def _meetings(probed: DataFrame, filed: DataFrame, stop: Nearest | WithinDistance | NearestDocuments, vector: str) -> DataFrame:
+    """What a query's cells hold that may be in its answer; each task of a cell keeps only that."""
+    doc = getattr(stop, "doc", None)
+    columns = tuple(c for c in filed.columns if c not in ("cell", vector))
+
+    def choose(q: pa.Table, v: pa.Table, d) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        order, groups = np.unique(v["id"].to_pandas(), return_inverse=True)[1], None
+        if doc is not None:
+            code = pd.factorize(v[doc].to_pandas(), use_na_sentinel=False)[0]
+            by = np.lexsort((order, code))
+            groups = by, np.flatnonzero(np.diff(code[by], prepend=-1))
+        everything = np.arange(len(v))
+        for i in range(0, len(q), MET_TOGETHER):
+            some = np.arange(i, min(i + MET_TOGETHER, len(q)))
+            rows = d(some, everything)
+            places = [stop.chosen(row, order, groups) for row in rows]
+            who, place = np.repeat(some, [len(p) for p in places]), np.concatenate(places)
+            yield who, place, rows[who - i, place]
+
+    sent = probed.select(F.col("cell").cast("int").alias("key"), "qid", F.col("q").alias("__q"))
+    held = filed.select(F.col("cell").cast("int").alias("key"), *columns, F.col(vector).alias("__v"))
+    return in_meetings(sent, held, choose, ("qid",), columns)
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, stop: Nearest | WithinDistance | NearestDocuments, first: int = 2, vector: str = "embedding") -> DataFrame:
     """(qid, id, ..., distance, rank, cells_read): the exact answer of ``stop``, squared distances, ties to the smaller id.
 
@@ -132,7 +182,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, stop: Nearest | W
     while found is None or not waiting.isEmpty():
         step = F.filter(F.slice("order", F.col("at") + 1, F.lit(width)), lambda c: c["bound"] <= F.col("limit"))
         probed = waiting.select("qid", "q", F.explode(step).alias("c")).select("qid", "q", F.col("c.cell").alias("cell"))
-        here = probed.join(filed, "cell").withColumn("distance", l2(F.col("q"), F.col(vector))).drop("cell", "q", vector)
+        here = _meetings(cut(probed), filed, stop, vector)
         counts = waiting.select("qid", F.size(step).alias("cells"))
         found = cut(stop.kept(here if found is None else found.unionByName(here)))
         read = cut(counts if read is None else read.unionByName(counts).groupBy("qid").agg(F.sum("cells").cast("int").alias("cells")))

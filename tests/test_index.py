@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nebulark.operators import neighbors
+from nebulark.operators import indexsearch, neighbors
 from nebulark.sources import domains, snapshot, tables
 from nebulark.streaming import mesh as streams
 
@@ -101,3 +101,21 @@ def test_a_replayed_batch_takes_its_own_place(spark, tmp_path):
     for run in range(2):  # the second stream lost its checkpoint and replays the batch
         streams.append_batches(spark.readStream.schema(vectors(spark, 1).schema).parquet(src), table, f"file://{tmp_path}/c{run}").awaitTermination()
     assert spark.read.parquet(table).select("id").orderBy("id").agg(F.count("id"), F.countDistinct("id")).first() == (10, 10)
+
+
+def test_documents_meet_in_ways_and_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neighbors, "MET_ROWS", 40)
+    monkeypatch.setattr(neighbors, "MET_QUERIES", 5)
+    r = np.random.default_rng(12)
+    v = r.integers(0, 3, (300, 4)).astype(float)  # many ties
+    doc = [None if i % 11 == 0 else int(i % 5) for i in range(300)]
+    table = spark.createDataFrame([(i, [float(x) for x in v[i]], doc[i]) for i in range(300)], "id long, embedding array<float>, label int")
+    asked, path = table.where("id % 10 = 0"), f"file://{tmp_path}/index"
+    neighbors.save_index(table, neighbors.train_cells(table, 4), path, keep=("label",))
+    got = sorted((x.qid, x.id, x.distance, x.doc_rank) for x in indexsearch.documents(spark, path, asked, table, 2).collect())
+    d, want = ((v[:, None] - v[None]) ** 2).sum(2), []
+    for q in range(0, 300, 10):
+        near = sorted((min((d[q, i], i) for i in range(300) if doc[i] == one), one) for one in {*doc} - {None}) + [(min((d[q, i], i) for i in range(300) if doc[i] is None), None)]
+        for rank, (_, one) in enumerate(sorted(near, key=lambda x: x[0])[:2], 1):
+            want += [(q, i, d[q, i], rank) for i in range(300) if doc[i] == one]
+    assert got == sorted(want)
