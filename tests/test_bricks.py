@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from nebulark.config import RadialBins
+from nebulark.config import RadialBins, SmuBins, SpspBins
 from nebulark.operators import bricks, jackknife, neighbors, pairs, pairwise
 
 SCHEMA = "id long, x double, y double, z double"
@@ -133,3 +133,37 @@ def test_kernel_sums_list_no_pairs(spark, monkeypatch):
                 g = x / 140 * (208 + 14 * (-8 * x**2 + 4 * x**4 - x**5 - 8 / 14 * x**6 + 3 / 14 * x**7) if x <= 1 else 12 / x + 128 + 14 * (16 * x - 32 * x**2 + 20 * x**3 - 4 * x**4 - x**5 + 8 / 14 * x**6 - x**7 / 14))
                 want -= 0 if x > 1.999 else b[4] * (1 - g) / (d * d + 1e-4) ** 0.5
         assert got[a[0]] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("auto", [False, True])
+@pytest.mark.parametrize("lattice", [False, True])
+def test_counts_by_two_bins_list_no_pairs(monkeypatch, lattice, auto):
+    """Crowded visits get both bins of all their pairs at once; pairs at edges, copies and images fall as in full precision."""
+    monkeypatch.setattr(bricks, "FEW", 0)
+    r = np.random.default_rng(9)
+    smu, spsp = SmuBins(RadialBins(0.0, 0.05, 5), 4), SpspBins(RadialBins(0.001, 0.05, 8), 0.05, 3)
+    for start in (0.95, 0.45):
+        some = lambda n, at=start: (r.integers(0, 10, (n, 3)) * 0.01 if lattice else r.random((n, 3)) * 0.1) + at
+        one, two = (pd.DataFrame({"id": np.arange(n), **dict(zip("xyz", some(n).T % 1.0, strict=True))}) for n in (900, 700))
+        two = one if auto else two
+        d = [one[c].to_numpy()[:, None] - two[c].to_numpy()[None] for c in "xyz"]
+        d = [x - np.floor(x + 0.5) for x in d]
+        r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        for axis, bins in ((0, smu), (2, smu), (2, spsp)):
+            if bins is smu:
+                reach, binner, plane = 0.05, pairs.by_smu(smu, "xyz"[axis]), bricks.Plane(axis, False, 0.0, (smu.r.step, smu.mu_step), (5, 4))
+            else:
+                reach, binner, plane = spsp.reach, pairs.by_spsp(spsp, "z"), bricks.Plane(axis, True, 0.001, (spsp.perp.step, spsp.par_step), (8, 3))
+            ok = r2 < reach * reach
+            if auto:
+                ok &= one["id"].to_numpy()[:, None] < one["id"].to_numpy()[None]
+            (i, j), inside = binner(np.sqrt(r2[ok]), [x[ok] for x in d])
+            want = np.zeros(plane.bins, np.int64)
+            np.add.at(want, (i[inside], j[inside]), 1)
+            met = list(bricks.visits(one, two, reach, 20, auto, True))
+            got = np.zeros(plane.bins, np.int64)
+            for x in pairs._plane_counts(iter(met), reach, binner, {"one": plane.bins[0], "two": plane.bins[1]}, plane).itertuples():
+                got[x.one, x.two] += x.n
+            assert (got == want).all()
+            if start == 0.45:  # elsewhere a few visits hold points of both ends of the box
+                assert all(bricks.count_plane(v, plane, lambda r2, d: np.zeros(0, np.int64)) is not None for v in met)
