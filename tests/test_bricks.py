@@ -115,6 +115,39 @@ def test_vectors_of_few_components_meet_in_near_boxes(spark, monkeypatch, metric
     assert met == [1, 1]
 
 
+def met_in_boxes(spark, monkeypatch, rows, metric, k):
+    """(query, vector, distance) of a search whose 400 vectors are many enough for boxes, and whether it took them."""
+    for name, n in (("VECTOR_BLOCK", 20), ("BOXED", 400), ("BOX_ROWS", 20), ("BOX_MOST", 30)):
+        monkeypatch.setattr(neighbors, name, n)
+    met = []
+    boxes = neighbors._knn_in_boxes
+    monkeypatch.setattr(neighbors, "_knn_in_boxes", lambda *a: met.append(1) or boxes(*a))
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    found = neighbors.vector_knn(df.where("id % 25 = 0 or id = 3"), df, k, metric).collect()
+    return {(x.qid, x["rank"]): (x.id, x.distance) for x in found}, met
+
+
+def test_registered_metrics_meet_in_near_boxes(spark, monkeypatch):
+    """A metric of the caller's own that bounds the distance to a box does not meet all vectors; l1 does neither."""
+    from nebulark.functions import metrics
+    from nebulark.plans import indexes
+
+    for table in ("BLOCK_METRICS", "LEAST"):
+        monkeypatch.setattr(metrics, table, getattr(metrics, table))
+    metrics.register_metric("largest", indexes._largest, indexes._largest_gap)
+    r = random.Random(7)
+    rows = [(i, [5.0, 5.0, 5.0] if i % 4 == 0 else [float(r.randrange(12)) for _ in range(3)]) for i in range(400)]
+    for metric, total in (("largest", max), ("l1", sum)):
+        got, met = met_in_boxes(spark, monkeypatch, rows, metric, 4)
+        assert met == [1]
+        for q, v in [*rows[::25], rows[3]]:
+            order = sorted((total(abs(a - b) for a, b in zip(w, v, strict=True)), i) for i, w in rows)[:4]
+            assert [got[q, j + 1] for j in range(4)] == [(i, d) for d, i in order]
+    metrics.register_metric("largest", indexes._largest)  # without a bound all vectors are met, with the same result
+    plain, none = met_in_boxes(spark, monkeypatch, rows, "largest", 4)
+    assert none == [] and all(plain[q, 1][1] == 0 for q, _ in rows[::25])
+
+
 def test_kernel_sums_list_no_pairs(spark, monkeypatch):
     """Sums over neighbours are taken where they meet: a task gives a row a point, and crowded bricks lose nothing."""
     monkeypatch.setattr(bricks, "LEFT_ROWS", 40)
