@@ -148,6 +148,18 @@ def test_registered_metrics_meet_in_near_boxes(spark, monkeypatch):
     assert none == [] and all(plain[q, 1][1] == 0 for q, _ in rows[::25])
 
 
+def test_angles_meet_in_near_boxes(spark, monkeypatch):
+    """Angles go only to the boxes within reach, around the turn too, also angles beyond one turn and crowded ones."""
+    r = random.Random(8)
+    rows = [(i, [1.0] if i % 4 == 0 else [r.choice([r.random() * 6.28, 6.27 + 0.02 * r.random(), 0.01 * r.random(), 14.0 * r.random() - 7.0])]) for i in range(400)]
+    got, met = met_in_boxes(spark, monkeypatch, rows, "so2", 4)
+    assert met == [1]
+    turned = lambda d: abs(d - 2 * np.pi) if d > np.pi else d
+    for q, v in [*rows[::25], rows[3]]:
+        order = sorted((turned(abs(w[0] - v[0])), i) for i, w in rows)[:4]
+        assert [got[q, j + 1] for j in range(4)] == [(i, d) for d, i in order]
+
+
 def test_kernel_sums_list_no_pairs(spark, monkeypatch):
     """Sums over neighbours are taken where they meet: a task gives a row a point, and crowded bricks lose nothing."""
     monkeypatch.setattr(bricks, "LEFT_ROWS", 40)
