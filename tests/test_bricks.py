@@ -93,6 +93,33 @@ def test_few_elements_are_met_for_a_pair():
     assert sum(len(v.a) * len(v.b) for v in met) < 3 * found
 
 
+@pytest.mark.parametrize("auto", [False, True])
+def test_counts_between_mixed_blocks_take_one_product_a_block(monkeypatch, auto):
+    """Left rows of all blocks meet a right block at once: blocks that lie mixed do not cut a visit into a part a pair of blocks."""
+    r = np.random.default_rng(11)
+    some = lambda n, first: pd.DataFrame({"id": np.arange(n) + first, **{c: (r.random(n) * 0.1 + 0.95) % 1.0 for c in "xyz"}, "block": r.integers(0, 6, n).astype(np.int32)})
+    one = some(500, 0)
+    two = one if auto else some(400, 500)
+    edges, calls, got = pairs.square_edges(RadialBins(0.0, 0.05, 5)), [], {}
+    plain = bricks.count_below
+    monkeypatch.setattr(bricks, "count_below", lambda *a: calls.append(1) or plain(*a))
+    met = list(bricks.visits(one, two, 0.05, 10, auto, True))
+    for v in met:
+        for i, j, n in bricks.count_between(v, edges, "block"):
+            got[i, j] = got.get((i, j), 0) + n
+    assert len(calls) <= 6 * len(met)
+    d = [one[c].to_numpy()[:, None] - two[c].to_numpy()[None] for c in "xyz"]
+    d = [x - np.floor(x + 0.5) for x in d]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    if auto:
+        want = [int((d2[np.triu_indices(500, 1)] < e).sum()) for e in edges]
+        assert sum(got.values()).tolist() == want
+    else:
+        for i, j in itertools.product(range(6), repeat=2):
+            part = d2[(one["block"] == i).to_numpy()][:, (two["block"] == j).to_numpy()]
+            assert list(got.get((i, j), [0] * 6)) == [int((part < e).sum()) for e in edges]
+
+
 @pytest.mark.parametrize("metric", ["l2", "l2_bytes"])
 def test_vectors_of_few_components_meet_in_near_boxes(spark, monkeypatch, metric):
     """Queries meet the vectors of the boxes in their reach, not all; crowded places, ties and fewer vectors than k lose nothing."""
