@@ -154,6 +154,23 @@ def met_in_boxes(spark, monkeypatch, rows, metric, k):
     return {(x.qid, x["rank"]): (x.id, x.distance) for x in found}, met
 
 
+def test_long_vectors_meet_as_products(spark, monkeypatch):
+    """Blocks of long vectors do not take every distance from differences; copies, ties, NaN and a bound lose nothing."""
+    from nebulark.functions import metrics
+
+    monkeypatch.setitem(metrics.BLOCK_METRICS, "l2", lambda q, v: 1 / 0)
+    r = random.Random(9)
+    rows = [(i, [float(r.randrange(2)) for _ in range(9)]) for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, [float("nan")] * 9)], "id long, embedding array<double>")
+    for block in (1000, 10):
+        monkeypatch.setattr(neighbors, "VECTOR_BLOCK", block)
+        got = {(x.qid, x["rank"]): (x.id, x.distance) for x in neighbors.vector_knn(df.where("id % 40 = 0 and id < 900"), df, 6).collect()}
+        assert len(got) == 30
+        for q, v in rows[::40]:
+            order = sorted((sum((a - b) ** 2 for a, b in zip(w, v, strict=True)), i) for i, w in rows)[:6]
+            assert [got[q, j + 1] for j in range(6)] == [(i, d) for d, i in order]
+
+
 def test_registered_metrics_meet_in_near_boxes(spark, monkeypatch):
     """A metric of the caller's own that bounds the distance to a box does not meet all vectors; l1 does neither."""
     from nebulark.functions import metrics
